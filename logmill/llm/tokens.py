@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 from functools import cache
@@ -70,36 +71,67 @@ class ByteBpe:
 
 #: The pre-tokenizer's pattern of word_bpe_49k.json for the plain character set (fixed value).
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Of the plain set: combining or numeric characters whose class differs from what _WORDS takes them for.
-_NUMBERS = re.compile("[²³¹¼-¾]")
+#: Characters of the plain set that are left to the library: numbers that are no digits, and a letter whose lower case is two characters.
+_NUMBERS = re.compile("[²³¹¼-¾İ]")
+#: Characters of the plain set with which a pre-token doesn't end just where the class of a byte changes.
+_UNEVEN = re.compile("['¡-©«-´¶-¹»-¿×÷]")
+#: End of a pre-token; a control character, so no plain text has it.
+_STOP = b"\x01"
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.array([_SPACE if b in b" \t\n\r" else _DIGIT if chr(b).isdigit() and b < 128 else _LETTER if b >= 128 or chr(b).isalpha() else _OTHER for b in range(256)], np.uint8)
+
+
+def _stopped(text: str) -> str:
+    """Pre-tokens of a lower-case text without white space, each with a stop after it."""
+    if _UNEVEN.search(text):
+        return "".join(w + "\x01" for w in _WORDS.findall(text))
+    data = np.frombuffer(text.encode(), np.uint8)
+    kind = _CLASS[data]
+    ends = (kind != np.append(kind[1:], _SPACE)) | (kind == _DIGIT)
+    keep = np.flatnonzero(kind)
+    ends = ends[keep]
+    out = np.full(len(keep) + int(ends.sum()), _STOP[0], np.uint8)
+    out[np.arange(len(keep)) + np.cumsum(ends) - ends] = data[keep]
+    return out.tobytes().decode()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class WordBpe:
-    """``word_bpe_49k.json``: each pre-token is encoded by the library once and remembered, up to ``remember`` of them."""
+    """``word_bpe_49k.json``: byte pairs are merged by a second library, under ranks made from the tokenizer file's own merges.
+
+    A stop byte takes the place of the vocabulary's mark of word ends; it joins the last byte before all other merges.
+    """
+
+    def __init__(self, path: str | None = None):
+        import tiktoken
 
-    def __init__(self, path: str | None = None, remember: int = 400_000):
         self.path = path or path_of("word_bpe_49k.json")
-        self.remember = remember
-        self._known: dict[str, bytes] = {}
+        with open(self.path) as f:
+            model = json.load(f)["model"]
+        vocabulary, letters, end = model["vocab"], _byte_letters(), model["end_of_word_suffix"]
+
+        def spelt(token: str) -> bytes:
+            return bytes(letters[c] for c in token.removesuffix(end)) + (_STOP if token.endswith(end) else b"")
+
+        single = [c for c in letters if letters[c] != _STOP[0]]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        order = [*single, None, *(c + end for c in single), *merged]
+        self._ids = np.array([0 if t is None else vocabulary[t] for t in order], np.uint16)
+        self._fast = tiktoken.Encoding("word_bpe_49k", pat_str="[^\x01]+\x01", mergeable_ranks={_STOP if t is None else spelt(t): i for i, t in enumerate(order)}, special_tokens={})
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids below 65,536 as 16-bit integers."""
+        """Ids; they are below 65,536 and come as 16-bit integers."""
         if not text:
             return np.empty(0, np.uint16)
         if _ODD.search(text) or _NUMBERS.search(text):
             return _by_library(self.path, text).astype(np.uint16)
-        words, known = _WORDS.findall(text.lower()), self._known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.uint16)
-        except KeyError:
-            pass
-        missing = [w for w in set(words) if w not in known]
-        if len(known) + len(missing) > self.remember:
-            known.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, _library(self.path).encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint16)
+        return self._ids[np.array(self._fast.encode_ordinary(_stopped(text.lower())), np.int64)]
 
 
 @cache

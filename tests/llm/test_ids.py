@@ -31,12 +31,10 @@ def test_every_character_of_the_fast_path():
             assert tokens.word_bpe().ids(text).tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_remembered_words_are_bounded():
-    small = tokens.WordBpe(remember=5)
-    for i in range(20):
-        text = f"alpha beta{i} gamma{i} delta{i}"
-        assert small.ids(text).tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
-        assert len(small._known) <= 8
+def test_fast_paths_on_whole_documents(spark):
+    for r in common.table(spark, SF_MID, "documents").collect():
+        assert tokens.byte_bpe().ids(r.text).tolist() == library("byte_bpe_50k.json").encode(r.text, add_special_tokens=False).ids
+        assert tokens.word_bpe().ids(r.text).tolist() == library("word_bpe_49k.json").encode(r.text, add_special_tokens=False).ids
 
 
 def test_counts_against_the_library(spark):
