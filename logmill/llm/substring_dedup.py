@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common, elias_fano
 
 WINDOW = 13
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 LOAD = 8
 DEPTH = 2
 NULL_ID = 2**63 - 1
