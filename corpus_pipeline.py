@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logmill.llm import common, decontamination, language_mixture, packing, simhash, substring_dedup
 
 #: A document goes if it has no letter or no language has this share of it.
-LEAST_LANGUAGE_SHARE = 0.35
+LEAST_LANGUAGE_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
