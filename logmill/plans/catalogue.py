@@ -1,2 +1,397 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the driver's tables, one or more for each operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from logmill.functions import extract, normalize, scalars, severity
+from logmill.operators import dedup as d
+from logmill.operators import envelopes as v
+from logmill.plans import oracle
+from logmill.sources import readers, synth
+
+KEYS = ["host", "template", "severity", "source"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES = oracle.ORACLES
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.synth_lines(events(spark, sf))
+
+
+def patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return d.patterns(lines(spark, sf))
+
+
+def stripped(spark: SparkSession, sf: str) -> DataFrame:
+    return lines(spark, sf).withColumn("message", normalize.strip_prefix(F.col("raw")))
+
+
+def groups(spark: SparkSession, sf: str, gap: int = 14400, cycle: int | None = None) -> DataFrame:
+    return d.dedup(patterns(spark, sf), KEYS, gap, cycle_s=cycle, carry=("category", "event_id"))
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """One receiver row for each host and cycle."""
+    out = v.by_severity(groups(spark, sf, cycle=v.CYCLE_S), ["host", "cycle"])
+    seq = F.row_number().over(Window.partitionBy("host").orderBy("cycle")).cast("long")
+    at = F.timestamp_seconds((F.col("cycle") + 1) * v.CYCLE_S).cast("timestamp_ntz")
+    return out.select("*", seq.alias("seq"), at.alias("received_at"), F.concat(F.lit("boot"), F.floor(F.col("cycle") / 700).cast("string")).alias("boot_id"))
+
+
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id")
+    state = F.when(n % 3 == 0, "sent").when(n % 17 == 5, "failed").otherwise("queued")
+    return events(spark, sf).select(n, F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string")).alias("host"), F.col("ts").alias("queued_at"), F.lpad(n.cast("string"), 12, "0").alias("name"), (n * 7919 % 90000 + 1000).alias("bytes"), state.alias("state"))
+
+
+@query
+def event_patterns(spark, sf):
+    return patterns(spark, sf).groupBy("template", "severity", "category").agg(F.count("*").alias("n"))
+
+
+def _mask(name):
+    pattern, _ = normalize.PATTERN[name]
+    return lambda spark, sf: lines(spark, sf).where(F.col("raw").rlike(pattern)).select("event_id", normalize.mask(F.col("raw"), name).alias("masked"))
+
+
+for _name, _, _ in normalize.MASKS:
+    QUERIES[f"mask_{_name}"] = _mask(_name)
+
+
+def _normalized(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, normalize.normalize(F.col(text)).alias("t")).select(key, F.md5("t").alias("template_md5"), F.length("t").cast("long").alias("template_chars"))
+
+
+@query
+def normalize_documents(spark, sf):
+    return _normalized(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+
+
+@query
+def normalize_pages(spark, sf):
+    return _normalized(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "html")
+
+
+@query
+def strip_prefix(spark, sf):
+    return stripped(spark, sf).select("event_id", "message")
+
+
+@query
+def syslog_program(spark, sf):
+    return lines(spark, sf).select("event_id", normalize.syslog_program(F.col("raw")).alias("program"))
+
+
+@query
+def severity_finalize(spark, sf):
+    initial = F.when(F.col("priority").isNull(), "info").otherwise(severity.from_priority(F.col("priority")))
+    return lines(spark, sf).select("event_id", initial.alias("initial"), severity.finalize(initial, F.col("raw")).alias("severity"))
+
+
+@query
+def priority_to_severity(spark, sf):
+    return lines(spark, sf).select("event_id", severity.from_priority(F.col("priority")).alias("severity"))
+
+
+@query
+def drop_noise(spark, sf):
+    return lines(spark, sf).where(severity.keep(F.col("priority"))).select("event_id", "raw")
+
+
+@query
+def route_by_severity(spark, sf):
+    return patterns(spark, sf).groupBy(F.when(F.col("severity") == "critical", "critical").otherwise("normal").alias("route"), "source").agg(F.count("*").alias("n"))
+
+
+@query
+def categorize(spark, sf):
+    return patterns(spark, sf).select("event_id", "category")
+
+
+@query
+def categorize_program_gate(spark, sf):
+    return patterns(spark, sf).where(F.col("raw").rlike("Accepted|pam_unix")).groupBy("program", "category").agg(F.count("*").alias("n"))
+
+
+@query
+def pattern_id(spark, sf):
+    return patterns(spark, sf).select("event_id", normalize.pattern_id(F.col("template"), F.col("severity"), F.col("source")).alias("pattern_id"))
+
+
+@query
+def fingerprint(spark, sf):
+    """XXH3-64, which SQL lacks: held against known vectors in the tests."""
+    return patterns(spark, sf).groupBy("template", "severity", "source").agg(F.count("*").alias("n")).withColumn("fingerprint", normalize.fingerprint(F.col("template"), F.col("severity"), F.col("source")))
+
+
+@query
+def fields_regex(spark, sf):
+    m = F.col("message")
+    return stripped(spark, sf).select("event_id", *(extract.regex_field(m, k).alias("user_name" if k == "user" else k) for k in ("pid", "user", "dev", "unit")))
+
+
+@query
+def fields_logfmt(spark, sf):
+    pairs = extract.logfmt_pairs(F.col("message"), extract.ALLOW)
+    return stripped(spark, sf).select("event_id", F.explode(pairs).alias("e")).select("event_id", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+
+
+@query
+def fields_json_props(spark, sf):
+    return events(spark, sf).select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+@query
+def fields_all(spark, sf):
+    """All extractors of each session's first line; the balanced JSON scan has no SQL form."""
+    return d.with_fields(groups(spark, sf)).select("host", "template", "session", F.to_json("fields").alias("fields"))
+
+
+def _sessions(gap):
+    return lambda spark, sf: groups(spark, sf, gap).select(*KEYS, "session", F.col("count").alias("n"), "ts_first", "ts_last", "category", "first_raw")
+
+
+QUERIES["dedup_session_30s"] = _sessions(30)
+QUERIES["dedup_session_4h"] = _sessions(14400)
+
+
+@query
+def sample_raws_top3(spark, sf):
+    return groups(spark, sf).select(*KEYS, "session", F.array_join("sample_raws", "\n").alias("samples"))
+
+
+@query
+def cycle_window_30m(spark, sf):
+    return groups(spark, sf, cycle=v.CYCLE_S).groupBy("host", "cycle").agg(F.count("*").alias("n_events"), F.sum("count").alias("n_lines"))
+
+
+@query
+def cycle_counts_by_severity(spark, sf):
+    return v.by_severity(groups(spark, sf, cycle=v.CYCLE_S), ["host", "cycle"])
+
+
+@query
+def cycle_counts_by_category(spark, sf):
+    return v.by_category(groups(spark, sf, cycle=v.CYCLE_S), ["host", "cycle"])
+
+
+@query
+def cycle_cap(spark, sf):
+    """An ordered fold with eviction, which SQL lacks: held against its rules in the tests."""
+    per_day = groups(spark, sf, cycle=86400).select("host", "cycle", "event_id", "severity", "category")
+    return d.cycle_cap(per_day, ["host", "cycle"], 20)
+
+
+@query
+def severity_category_rollup(spark, sf):
+    out = patterns(spark, sf).rollup("severity", "category").agg(F.count("*").alias("n"))
+    return out.select(F.coalesce("severity", F.lit("*")).alias("severity"), F.coalesce("category", F.lit("*")).alias("category"), "n")
+
+
+@query
+def envelope_counts_json(spark, sf):
+    return v.envelopes(groups(spark, sf, cycle=v.CYCLE_S)).select("host", "cycle", F.to_json("by_category").alias("by_category"))
+
+
+@query
+def recv_logs_filter_limit(spark, sf):
+    latest, _ = v.logs(groups(spark, sf, cycle=v.CYCLE_S), 100, severity="critical", category="kernel.oom")
+    return latest.select("host", "template", "ts_first", "event_id", F.col("count").alias("n"))
+
+
+@query
+def recv_hosts(spark, sf):
+    return v.hosts(records(spark, sf))
+
+
+@query
+def recv_compare_fp(spark, sf):
+    return v.compare(groups(spark, sf, cycle=v.CYCLE_S), F.col("category") == "kernel.bug")
+
+
+@query
+def recv_idempotent(spark, sf):
+    own = records(spark, sf).select("host", "seq", "received_at")
+    twice = own.withColumn("copy", F.lit(0)).union(own.where("seq % 5 = 0").withColumn("copy", F.lit(1)))
+    return v.idempotent(twice, ["host", "seq"], "copy")
+
+
+@query
+def recv_analyze(spark, sf):
+    return events(spark, sf).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("received"), F.max("ts").alias("latest"))
+
+
+@query
+def seen_anti_join(spark, sf):
+    own = events(spark, sf).select("event_id")
+    return v.unseen(own, own.where("event_id % 3 = 0"), ["event_id"])
+
+
+@query
+def seq_gaps(spark, sf):
+    return v.seq_gaps(records(spark, sf).where("seq % 9 <> 4"))
+
+
+@query
+def host_silence_35m(spark, sf):
+    return v.silence(records(spark, sf))
+
+
+@query
+def alert_rules(spark, sf):
+    return v.alerts(groups(spark, sf, cycle=v.CYCLE_S)).groupBy("host", "cycle", "category", "reason").agg(F.count("*").alias("events"), F.sum("count").alias("n"))
+
+
+@query
+def error_surge(spark, sf):
+    return v.surges(records(spark, sf), factor=2).select("host", "cycle", "error", "before")
+
+
+@query
+def boot_changes(spark, sf):
+    return v.boot_changes(records(spark, sf)).select("host", "seq", "boot_id", "boot_before")
+
+
+@query
+def restart_loop_having(spark, sf):
+    units = stripped(spark, sf).select("host", extract.regex_field(F.col("message"), "unit").alias("unit")).where("unit is not null")
+    return units.groupBy("host", "unit").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query
+def raw_byte_budget(spark, sf):
+    own = lines(spark, sf).withColumn("at", F.struct("ts", "event_id"))
+    return v.byte_budget(own, 20000, "host", "at").select("host", "event_id", "used_bytes")
+
+
+@query
+def raw_time_window(spark, sf):
+    own = lines(spark, sf).where(F.col("source").isin("file.auth", "file.syslog"))
+    return v.time_range(own, "ts", F.lit(datetime(2024, 1, 5)), F.lit(datetime(2024, 1, 5, 12))).select("event_id", "raw")
+
+
+@query
+def parse_since(spark, sf):
+    n = F.col("event_id")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("s", "m", "h", "d", "x", "s")]), (n % 6 + 1).cast("int"))
+    text = F.when(n % 6 == 5, F.lit("1h30m")).otherwise(F.concat((n % 50).cast("string"), unit))
+    return events(spark, sf).select("event_id", scalars.parse_since(text).alias("seconds"))
+
+
+@query
+def parse_syslog_ts(spark, sf):
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return lines(spark, sf).select("event_id", scalars.parse_syslog_ts(F.col("raw"), now).cast("timestamp_ntz").alias("parsed"))
+
+
+@query
+def multiline_merge(spark, sf):
+    n = F.col("event_id")
+    own = lines(spark, sf).select(F.concat(F.lit("f"), (n % 4).cast("string")).alias("file"), n.alias("line_no"), F.when((n % 5).isin(1, 2), F.concat(F.lit("  at frame "), n.cast("string"))).otherwise(F.col("raw")).alias("raw"))
+    return readers.merge_lines(own)
+
+
+@query
+def retry_ttl_cap(spark, sf):
+    return v.retry_kept(ledger(spark, sf), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 168, 2_000_000).select("host", "name", "bytes", "newer_bytes")
+
+
+@query
+def drain_window(spark, sf):
+    ms = F.floor(d.micros(F.col("queued_at")) / 1000)
+    letters = [F.substring(F.lit(scalars.CROCKFORD), (F.shiftright(ms, 45 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(10)]
+    own = ledger(spark, sf).select("event_id", F.concat(*letters, F.lpad(F.col("event_id").cast("string"), 16, "0"), F.lit(".json")).alias("name"))
+    return v.drain_window(own.withColumn("ms", scalars.ulid_ms(F.col("name"))), F.col("ms"), 1704412800000, 1704844800000)
+
+
+@query
+def drain_status(spark, sf):
+    return v.drain_status(ledger(spark, sf), ["host"])
+
+
+@query
+def topk_by_size(spark, sf):
+    w = Window.partitionBy("host").orderBy(F.desc("bytes"), "name")
+    return ledger(spark, sf).select("host", "name", "bytes", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 20")
+
+
+@query
+def uid_lookup_join(spark, sf):
+    names = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return events(spark, sf).join(names, "user_id", "left").select("event_id", F.coalesce("c_name", F.col("user_id").cast("string")).alias("user_name"))
+
+
+@query
+def playbook_join(spark, sf):
+    playbook = spark.createDataFrame([("kernel.oom", "add memory"), ("disk.io_error", "replace disk"), ("auth.bruteforce", "block address")], "category string, remedy string")
+    return patterns(spark, sf).select("event_id", "category").join(F.broadcast(playbook), "category", "left")
+
+
+@query
+def incident_window(spark, sf):
+    """A range join by host and half-hour bucket; each line goes to its own bucket, each incident to those it reaches."""
+    bucket, reach = 1800, 1800
+    own = lines(spark, sf).select("host", "ts", "event_id")
+    sec = F.floor(d.micros(F.col("ts")) / 1_000_000)
+    hot = own.where("event_id % 97 = 0").select(F.col("event_id").alias("incident"), "host", F.col("ts").alias("at"), F.explode(F.sequence(F.floor((sec - reach) / bucket), F.floor((sec + reach) / bucket))).alias("b"))
+    near = own.withColumn("b", F.floor(sec / bucket)).join(hot, ["host", "b"]).where(F.abs(d.micros(F.col("ts")) - d.micros(F.col("at"))) <= reach * 1_000_000)
+    return near.groupBy("incident").agg(F.count("*").alias("near"))
+
+
+@query
+def sample_delta_rate(spark, sf):
+    w = Window.partitionBy("host", "dev").orderBy("ts", "event_id")
+    own = events(spark, sf).select(F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string")).alias("host"), F.col("event_type").alias("dev"), "event_id", "ts", (F.col("event_id") * 13).alias("counter"))
+    moved = F.col("counter") - F.lag("counter").over(w)
+    us = d.micros(F.col("ts")) - d.micros(F.lag("ts").over(w))
+    out = own.select("host", "dev", "event_id", moved.alias("moved"), us.alias("us")).where("moved is not null")
+    return out.select("host", "dev", "event_id", F.when(F.col("us") > 0, F.round(F.greatest("moved", F.lit(0)) * 1000000.0 / F.col("us"), 2)).alias("rate"))
+
+
+@query
+def parse_memory(spark, sf):
+    n = F.col("event_id")
+    text = F.concat((n % 900).cast("string"), F.element_at(F.array(*[F.lit(u) for u in ("m", "G", "", "k")]), (n % 4 + 1).cast("int")))
+    return events(spark, sf).select("event_id", scalars.parse_memory(text).alias("bytes"))
+
+
+@query
+def human_bytes(spark, sf):
+    return ledger(spark, sf).select("event_id", scalars.human_bytes(F.col("bytes")).alias("size"))
+
+
+@query
+def backoff(spark, sf):
+    return events(spark, sf).select("event_id", scalars.backoff(F.lit(5.0), F.col("event_id") % 12, F.lit(300.0)).alias("wait"))
+
+
+@query
+def is_partition(spark, sf):
+    dev = F.element_at(F.array(*[F.lit(x) for x in ("sda", "sda1", "nvme0n1", "nvme0n1p2", "loop3", "vdb2", "dm-0")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return events(spark, sf).select("event_id", dev.alias("dev"), scalars.is_partition(dev).alias("partition"))
+
+
+@query
+def dedup_ratio(spark, sf):
+    out = patterns(spark, sf).agg(F.count("*").alias("lines"), F.countDistinct("template").alias("templates"))
+    return out.withColumn("ratio", F.col("lines") * 1.0 / F.col("templates"))
+
+
+@query
+def set_union_intersect(spark, sf):
+    own = events(spark, sf)
+    return own.where("event_type = 'click'").select("user_id").intersect(own.where("event_type = 'view'").select("user_id"))
