@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logmill.functions.normalize import once
+
 DEFAULT = "system.general"
 _META = re.compile(r"[\\.+*?()|\[\]{}^$]")
 
@@ -97,14 +99,27 @@ def load(path: str) -> list[Rule]:
         return [Rule("", DEFAULT)]
 
 
+def _anchored(pattern: str, raw: Column, low: Column) -> Column:
+    """A regular expression, behind a test for the letters that it starts with."""
+    start = re.match(r"[A-Za-z ]{3,}", pattern)
+    test = raw.rlike(f"(?iu){pattern}")
+    if not start or "|" in pattern.split("(")[0] or pattern[start.end() : start.end() + 1] in ("?", "*", "{"):
+        return test
+    return F.contains(low, F.lit(start[0].lower())) & test
+
+
 def categorize(raw: Column, program: Column, logger: Column | None = None, rules: list[Rule] | None = None) -> Column:
     """Category of the first rule that matches; gated rules need the program or the logger."""
-    out = None
-    for r in RULES if rules is None else rules:
-        test = F.lit(True) if not r.pattern else raw.rlike(f"(?i){re.escape(r.pattern)}" if r.literal else f"(?iu){r.pattern}")
-        if r.program:
-            test &= F.coalesce(F.lower(program) == r.program.lower(), F.lit(False))
-        if r.logger:
-            test &= F.coalesce(logger.rlike(f"(?iu){r.logger}"), F.lit(False)) if logger is not None else F.lit(False)
-        out = F.when(test, r.category) if out is None else out.when(test, r.category)
-    return F.lit(DEFAULT) if out is None else out.otherwise(DEFAULT)
+
+    def first(low: Column, own: Column) -> Column:
+        out = None
+        for r in RULES if rules is None else rules:
+            test = F.lit(True) if not r.pattern else F.contains(low, F.lit(r.pattern.lower())) if r.literal else _anchored(r.pattern, raw, low)
+            if r.program:
+                test &= F.coalesce(own == r.program.lower(), F.lit(False))
+            if r.logger:
+                test &= F.coalesce(logger.rlike(f"(?iu){r.logger}"), F.lit(False)) if logger is not None else F.lit(False)
+            out = F.when(test, r.category) if out is None else out.when(test, r.category)
+        return F.lit(DEFAULT) if out is None else out.otherwise(DEFAULT)
+
+    return once(F.struct(F.lower(raw).alias("low"), F.lower(program).alias("own")), lambda x: first(x["low"], x["own"]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,20 +61,59 @@ def mask(text: Column, name: str, unicode: bool = False) -> Column:
     return F.regexp_replace(text, _flag(pattern, unicode), put)
 
 
+#: What a text must have, in lower case, for a mask to match: a test without a regular expression, but for runs of colons.
+_NEEDS = {
+    "uuid": ["-"],
+    "ip4": ["."],
+    "fpr": ["sha256:"],
+    "addr": ["[<"],
+    "cid": ["docker-"],
+    "veth": ["veth"],
+    "br": ["br-"],
+    "mnt": ["overlay2", "buildkit", "runc", "netns"],
+    "path": ["/"],
+    "dev": ["sd", "nvme", "vd", "hd", "loop"],
+    "hex": ["0x"],
+}
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it and wherever a filter copies it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _gate(name: str, pattern: str, text: Column, low: Column) -> Column:
+    test = text.rlike(pattern)
+    if name == "ip6":
+        return (F.contains(low, F.lit("::")) | low.rlike("^(?:[^:]*:){7}")) & test
+    if name == "mac":
+        return low.rlike("^(?:[^:]*:){5}") & test
+    needs = [F.contains(low, F.lit(x)) for x in _NEEDS.get(name, [])]
+    return reduce(or_, needs) & test if needs else test
+
+
 def normalize(text: Column, unicode: bool = False) -> Column:
     """All masks in order, each only if it matches the text as it came.
 
-    The text runs through one-element arrays, so that each step is computed once, though a step names it twice.
+    The text, its lower case and the state between masks run through one-element arrays, so that each is computed once,
+    however often a step names it.
     """
-    state = F.array(text)
-    for _, pattern, put in MASKS:
-        state = F.transform(state, _step(text, _flag(pattern, unicode), put))
-    return F.element_at(state, 1)
+
+    def all_masks(t: Column) -> Column:
+        def with_low(low: Column) -> Column:
+            state = F.array(t)
+            for name, pattern, put in MASKS:
+                state = F.transform(state, _step(_gate(name, _flag(pattern, unicode), t, low), _flag(pattern, unicode), put))
+            return F.element_at(state, 1)
+
+        return once(F.lower(t), with_low)
+
+    return once(text, all_masks)
 
 
-def _step(text: Column, pattern: str, put: str):
-    def step(t: Column) -> Column:
-        return F.when(text.rlike(pattern), F.regexp_replace(t, pattern, put)).otherwise(t)
+def _step(gate: Column, pattern: str, put: str):
+    def step(state: Column) -> Column:
+        return F.when(gate, F.regexp_replace(state, pattern, put)).otherwise(state)
 
     return step
 

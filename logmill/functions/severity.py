@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logmill.functions.normalize import once
+
 # Fixed values.
 CRITICAL = ["panic:", "kernel bug", "kernel panic", "out of memory: killed", "oops:", "rcu_sched self-detected stall", "nmi: not continuing", "remounting filesystem read-only", "machine check events logged"]
 ERROR = ["i/o error", "blk_update_request", "ext4-fs error", "xfs: internal error", "segfault at", "general protection fault", "hardware error", "edac mc"]
 LEVELS = ["critical", "error", "warn", "info"]
 
 
-def any_of(words: list[str]) -> str:
-    """One case-insensitive alternation (ASCII case alone)."""
-    return "(?i)" + "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in words)
+def any_of(words: list[str], low: Column) -> Column:
+    """Whether a lower-case text has one of the words."""
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
 
 
 def from_priority(priority: Column) -> Column:
@@ -31,7 +34,11 @@ def keep(priority: Column) -> Column:
 
 def finalize(initial: Column, raw: Column) -> Column:
     """Keywords raise the first severity and never lower it; an unknown one is info."""
-    return F.when(raw.rlike(any_of(CRITICAL)), "critical").when(initial == "critical", "critical").when(raw.rlike(any_of(ERROR)) | (initial == "error"), "error").when(initial == "warn", "warn").otherwise("info")
+
+    def raised(low: Column) -> Column:
+        return F.when(any_of(CRITICAL, low) | (initial == "critical"), "critical").when(any_of(ERROR, low) | (initial == "error"), "error").when(initial == "warn", "warn").otherwise("info")
+
+    return once(F.lower(raw), raised)
 
 
 def rank(severity: Column) -> Column:

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from logmill.functions import classify, extract, normalize, severity
 
 
-def patterns(lines: DataFrame, raw: str = "raw", unicode: bool = False) -> DataFrame:
+def patterns(lines: DataFrame, raw: str = "raw", unicode: bool = False, rules: list[classify.Rule] | None = None) -> DataFrame:
     """Add program, template, severity and category; empty messages are dropped.
 
     Severity and category read the raw line, the template the stripped one.
     """
-    r = F.col(raw)
+    r, message = F.col(raw), F.col("_message")
     initial = F.when(F.col("priority").isNotNull(), severity.from_priority(F.col("priority"))).otherwise("info") if "priority" in lines.columns else F.lit("info")
-    program = normalize.syslog_program(r, unicode)
-    stripped = normalize.strip_prefix(r, unicode)
-    logger = F.regexp_extract(stripped, r"\blogger=(\S+)", 1)
-    return lines.where(r.isNotNull() & (r != "")).withColumns({"program": program, "template": normalize.normalize(stripped, unicode), "severity": severity.finalize(initial, r), "category": classify.categorize(r, program, logger)})
+    # what several expressions read is a column of its own first: the optimizer doesn't merge such projections
+    read = lines.where(r.isNotNull() & (r != "")).withColumns({"program": normalize.syslog_program(r, unicode), "_message": normalize.strip_prefix(r, unicode)})
+    logger = F.when(F.contains(message, F.lit("logger=")), F.regexp_extract(message, r"\blogger=(\S+)", 1)) if any(x.logger for x in rules or classify.RULES) else None
+    out = {"template": normalize.normalize(message, unicode), "severity": severity.finalize(initial, r), "category": classify.categorize(r, F.col("program"), logger, rules)}
+    return read.withColumns(out).drop("_message")
 
 
 def micros(ts: Column) -> Column:
