@@ -61,10 +61,9 @@ def mask(text: Column, name: str, unicode: bool = False) -> Column:
     return F.regexp_replace(text, _flag(pattern, unicode), put)
 
 
-#: What a text must have, in lower case, for a mask to match: a test without a regular expression, but for runs of colons.
+#: What a text must have, in lower case, for a mask to match.
 _NEEDS = {
     "uuid": ["-"],
-    "ip4": ["."],
     "fpr": ["sha256:"],
     "addr": ["[<"],
     "cid": ["docker-"],
@@ -82,14 +81,16 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _gate(name: str, pattern: str, text: Column, low: Column) -> Column:
-    test = text.rlike(pattern)
-    if name == "ip6":
-        return (F.contains(low, F.lit("::")) | low.rlike("^(?:[^:]*:){7}")) & test
+def _needed(name: str, text: Column, low: Column) -> Column | None:
+    """A cheap test that every text passes which the mask matches."""
+    if name == "ip4":
+        return F.contains(low, F.lit(".")) & text.rlike(r"\d\.\d")
+    if name == "ip6":  # a pair of colons, or seven of them
+        return F.contains(low, F.lit("::")) | (F.substring_index(low, ":", 7) != low)
     if name == "mac":
-        return low.rlike("^(?:[^:]*:){5}") & test
+        return F.substring_index(low, ":", 5) != low
     needs = [F.contains(low, F.lit(x)) for x in _NEEDS.get(name, [])]
-    return reduce(or_, needs) & test if needs else test
+    return reduce(or_, needs) if needs else None
 
 
 def normalize(text: Column, unicode: bool = False) -> Column:
@@ -103,7 +104,7 @@ def normalize(text: Column, unicode: bool = False) -> Column:
         def with_low(low: Column) -> Column:
             state = F.array(t)
             for name, pattern, put in MASKS:
-                state = F.transform(state, _step(_gate(name, _flag(pattern, unicode), t, low), _flag(pattern, unicode), put))
+                state = F.transform(state, _step(t, _needed(name, t, low), _flag(pattern, unicode), put))
             return F.element_at(state, 1)
 
         return once(F.lower(t), with_low)
@@ -111,9 +112,11 @@ def normalize(text: Column, unicode: bool = False) -> Column:
     return once(text, all_masks)
 
 
-def _step(gate: Column, pattern: str, put: str):
+def _step(text: Column, needed: Column | None, pattern: str, put: str):
     def step(state: Column) -> Column:
-        return F.when(gate, F.regexp_replace(state, pattern, put)).otherwise(state)
+        # a state that is the text as it came needs no gate: where nothing matches nothing is replaced
+        test = (state == text) | text.rlike(pattern)
+        return F.when(test if needed is None else needed & test, F.regexp_replace(state, pattern, put)).otherwise(state)
 
     return step
 

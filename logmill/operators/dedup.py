@@ -11,18 +11,32 @@ from pyspark.sql import functions as F
 from logmill.functions import classify, extract, normalize, severity
 
 
-def patterns(lines: DataFrame, raw: str = "raw", unicode: bool = False, rules: list[classify.Rule] | None = None) -> DataFrame:
-    """Add program, template, severity and category; empty messages are dropped.
+def templates(lines: DataFrame, raw: str = "raw", unicode: bool = False) -> DataFrame:
+    """Add program, template and severity; empty messages are dropped.
 
-    Severity and category read the raw line, the template the stripped one.
+    Severity reads the raw line, the template the stripped one.
     """
     r, message = F.col(raw), F.col("_message")
     initial = F.when(F.col("priority").isNotNull(), severity.from_priority(F.col("priority"))).otherwise("info") if "priority" in lines.columns else F.lit("info")
     # what several expressions read is a column of its own first: the optimizer doesn't merge such projections
     read = lines.where(r.isNotNull() & (r != "")).withColumns({"program": normalize.syslog_program(r, unicode), "_message": normalize.strip_prefix(r, unicode)})
-    logger = F.when(F.contains(message, F.lit("logger=")), F.regexp_extract(message, r"\blogger=(\S+)", 1)) if any(x.logger for x in rules or classify.RULES) else None
-    out = {"template": normalize.normalize(message, unicode), "severity": severity.finalize(initial, r), "category": classify.categorize(r, F.col("program"), logger, rules)}
-    return read.withColumns(out).drop("_message")
+    return read.withColumns({"template": normalize.normalize(message, unicode), "severity": severity.finalize(initial, r)}).drop("_message")
+
+
+def category_of(raw: Column, rules: list[classify.Rule] | None = None, unicode: bool = False) -> Column:
+    """Category of a line with its header."""
+    logger = F.regexp_extract(normalize.strip_prefix(raw, unicode), r"\blogger=(\S+)", 1) if any(x.logger for x in rules or classify.RULES) else None
+    return classify.categorize(raw, normalize.syslog_program(raw, unicode), logger, rules)
+
+
+def patterns(lines: DataFrame, raw: str = "raw", unicode: bool = False, rules: list[classify.Rule] | None = None) -> DataFrame:
+    """``templates`` with the category of every line."""
+    return templates(lines, raw, unicode).withColumn("category", category_of(F.col(raw), rules, unicode))
+
+
+def pattern_counts(lines: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("template", "severity", "source"), rules: list[classify.Rule] | None = None) -> DataFrame:
+    """Counts by pattern; only one line of each, the first in order of its text, is categorised, after the aggregation."""
+    return templates(lines, raw).groupBy(*keys).agg(F.count("*").alias("n"), F.min(raw).alias("first_raw")).withColumn("category", category_of(F.col("first_raw"), rules))
 
 
 def micros(ts: Column) -> Column:

@@ -29,7 +29,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.synth_lines(events(spark, sf))
+    return synth.synth_lines(readers.spread(events(spark, sf)))
 
 
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,9 @@ def stripped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf: str, gap: int = 14400, cycle: int | None = None) -> DataFrame:
-    return d.dedup(patterns(spark, sf), KEYS, gap, cycle_s=cycle, carry=("category", "event_id"))
+    """Sessions of patterns; only the first line of each is categorised."""
+    found = d.dedup(d.templates(lines(spark, sf)), KEYS, gap, cycle_s=cycle, carry=("event_id",))
+    return found.withColumn("category", d.category_of(F.col("first_raw")))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +75,7 @@ for _name, _, _ in normalize.MASKS:
 
 
 def _normalized(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, normalize.normalize(F.col(text)).alias("t")).select(key, F.md5("t").alias("template_md5"), F.length("t").cast("long").alias("template_chars"))
+    return readers.spread(df.select(key, text)).select(key, normalize.normalize(F.col(text)).alias("t")).select(key, F.md5("t").alias("template_md5"), F.length("t").cast("long").alias("template_chars"))
 
 
 @query

@@ -17,6 +17,15 @@ PATHS = {
 RAW_EVENT = "log_parser_severity string, log_parser_source string, timestamp timestamp, host string, MESSAGE string, PRIORITY string, _SYSTEMD_UNIT string, _PID string, file_message string, file string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than there are cores to all cores; a scan of many splits stays as it is, without a shuffle.
+
+    For small files whose lines cost far more to parse than to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def os_family(os_release: str) -> str | None:
     """Debian or rhel by ID, then ID_LIKE, of an os-release text."""
     values = dict(line.split("=", 1) for line in os_release.splitlines() if "=" in line)
