@@ -85,9 +85,6 @@ def fit(classes: DataFrame, sample: int = SAMPLE, cell: int = CELL, most: int =
     return d, spherical_kmeans(x, max(1, min(most, round(n / cell), len(x) // 4 or 1)))
 
 
-ROW = "cell long, part_a int, part_b int, role int, id long, own long, probes array<long>, n long, unit binary"
-
-
 def _dealt(classes: DataFrame, d: int, centres: np.ndarray, probes: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
@@ -153,8 +150,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     sizes, _ = common.materialise(sizes, "embedding-sizes")
     common_columns = ("id", "own", "probes", "n", "unit")
     slot = F.xxhash64("id")
-    member = dealt.join(F.broadcast(sizes), F.col("own") == F.col("cell")).select("cell", F.pmod(slot, F.col("m")).cast("int").alias("part_a"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("part_b"), F.lit(0).alias("role"), *common_columns)
-    asker = dealt.select(F.explode("probes").alias("asked"), *common_columns).join(F.broadcast(sizes), F.col("asked") == F.col("cell")).select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part_a"), F.pmod(slot, F.col("q")).cast("int").alias("part_b"), F.lit(1).alias("role"), *common_columns)
+    member = dealt.join(sizes, F.col("own") == F.col("cell")).select("cell", F.pmod(slot, F.col("m")).cast("int").alias("part_a"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("part_b"), F.lit(0).alias("role"), *common_columns)
+    asker = dealt.select(F.explode("probes").alias("asked"), *common_columns).join(sizes, F.col("asked") == F.col("cell")).select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part_a"), F.pmod(slot, F.col("q")).cast("int").alias("part_b"), F.lit(1).alias("role"), *common_columns)
     found = member.union(asker).groupBy("cell", "part_a", "part_b").applyInArrow(_compare_blocks(threshold), "id long, links long, root long")
     found, _ = common.materialise(found, "embedding-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -50,7 +50,8 @@ def trigrams(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint32)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     letters = _letters()
-    low = np.where(points < len(letters), letters[np.minimum(points, len(letters) - 1)], points)
+    # beyond the table stand the ideographs of the later planes, and from 0x32400 on no letters
+    low = np.where(points < len(letters), letters[np.minimum(points, len(letters) - 1)], np.where(points < 0x32400, points, 32))
     low = np.concatenate(([32], low, [32])).astype(np.uint32)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
@@ -145,7 +146,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_share: float | None = None) -> DataFrame:
     """Add ``lang_pred``, ``lang_score`` and ``lang_mixture`` to every row; names already taken get a ``_`` before.
 
-    With ``min_share`` rows are kept instead, columns unchanged, if a language was found that holds such a share.
+    With ``min_share`` rows are kept instead, columns unchanged, if a language was found that holds such a share; where
+    no language could be learned, if they have a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [common.fresh_name(docs, x) for x in ("lang_pred", "lang_score", "lang_mixture")]
@@ -161,7 +163,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_s
                 score.append(min(1.0, float(pi[best])) if n else 0.0)
                 mixture.append(",".join(f"{m.languages[i]}:{pi[i]:.3f}" for i in np.argsort(-pi, kind="stable") if pi[i] > 0))
             if min_share is not None:
-                yield part.filter(pa.array([p != "und" and s >= min_share for p, s in zip(pred, score, strict=True)], pa.bool_()))
+                keep = [p != "und" and s >= min_share for p, s in zip(pred, score, strict=True)] if len(m) else [len(trigrams(t)) > 0 for t in part[text].to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
                 continue
             columns = [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])

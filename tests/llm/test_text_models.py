@@ -44,6 +44,8 @@ def test_language_edge_rows(spark):
     assert language_mixture.identify(empty(spark), none).count() == 0
     assert {r["_lang_pred"] for r in language_mixture.identify(docs, none).collect()} == {"und"}
     assert language_mixture.identify(docs, language_mixture.fit(docs), min_share=0.3).columns == docs.columns
+    assert {r.doc_id for r in language_mixture.identify(docs, none, min_share=0.3).collect()} == {1, 6, 7, 8, 9, 10, None, 12, 13}
+    assert not len(language_mixture.trigrams("\U000e0101 \U0001f600 12")) and len(language_mixture.trigrams("\U00020000"))
 
 
 def test_toxicity_on_held_out_labels(spark):
