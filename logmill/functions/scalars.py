@@ -75,6 +75,27 @@ def saturating_sub(a: Column, b: Column) -> Column:
     return F.greatest(a - b, F.lit(0))
 
 
+def rfc3339(ts: Column) -> Column:
+    """UTC with an offset and microseconds, for sinks."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def window_text(start: Column, end: Column) -> Column:
+    """D5."""
+    return F.concat_ws("/", rfc3339(start), rfc3339(end))
+
+
+def outermost_object(text: Column) -> Column:
+    """From the first ``{`` to the last ``}`` if that is JSON, else null."""
+    part = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(part).isNotNull() & (part != ""), part)
+
+
+def journal_limit(most_bytes: int) -> int:
+    """Lines to ask the journal for."""
+    return min(max(most_bytes // 80, 1_000), 300_000)
+
+
 def priority_names() -> dict[str, int]:
     """M2's companion for alerts: OTLP severity numbers."""
     return {"critical": 21, "error": 17, "warn": 13, "info": 9}

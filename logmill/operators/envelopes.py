@@ -114,6 +114,29 @@ def retry_kept(ledger: DataFrame, now: Column, ttl_hours: int, most_bytes: int,
     return fresh.withColumn("newer_bytes", F.sum("bytes").over(w)).where(F.col("newer_bytes") <= most_bytes)
 
 
+def too_large(document: Column, most: int) -> Column:
+    """Whether a JSON document has more bytes than a response may (0: any)."""
+    return F.octet_length(document) > most if most else F.lit(False)
+
+
+def quarantined(documents: DataFrame, document: str = "value", at: str = "queued_at", key: str = "host", most_bytes: int = 256 << 20) -> DataFrame:
+    """K6: documents that are no JSON, from the newest on up to the bytes."""
+    bad = documents.where(F.try_parse_json(F.col(document)).isNull())
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(document)).rowsBetween(Window.unboundedPreceding, 0)
+    return bad.withColumn("newer_bytes", F.sum(F.octet_length(document)).over(w)).where(F.col("newer_bytes") <= most_bytes)
+
+
+def crash_rate(crashes: DataFrame, key: str = "host", ts: str = "ts", seconds: int = 3600) -> DataFrame:
+    """How many crashes the hour up to each one had, itself included."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return crashes.withColumn("in_window", F.count("*").over(w))
+
+
+def numbered(records: DataFrame, source: str = "source", order: str = "received_at") -> DataFrame:
+    """L-8: each source's envelopes from 1 on."""
+    return records.withColumn("number", F.row_number().over(Window.partitionBy(source).orderBy(order)).cast("long"))
+
+
 def drain_window(ledger: DataFrame, ms: Column, start: int, end: int) -> DataFrame:
     """K7: from ``start`` on, before ``end``."""
     return ledger.where((ms >= start) & (ms < end))

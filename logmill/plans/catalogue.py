@@ -397,3 +397,35 @@ def dedup_ratio(spark, sf):
 def set_union_intersect(spark, sf):
     own = events(spark, sf)
     return own.where("event_type = 'click'").select("user_id").intersect(own.where("event_type = 'view'").select("user_id"))
+
+
+@query
+def rfc3339_window(spark, sf):
+    """The half-hour window of an event."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 1800) * 1800)
+    return events(spark, sf).select("event_id", scalars.rfc3339(F.col("ts").cast("timestamp")).alias("at"), scalars.window_text(start, start + F.expr("interval 30 minutes")).alias("window"))
+
+
+@query
+def crash_rate_1h(spark, sf):
+    crashes = lines(spark, sf).where(F.contains("raw", F.lit("segfault at"))).select("host", "ts", "event_id")
+    return v.crash_rate(crashes, seconds=6 * 3600)
+
+
+@query
+def size_guard(spark, sf):
+    body = v.envelopes(groups(spark, sf, cycle=v.CYCLE_S)).select("host", "cycle", F.to_json("by_category").alias("document"))
+    return body.select("host", "cycle", v.too_large(F.col("document"), 60).alias("too_large"))
+
+
+@query
+def envelope_list(spark, sf):
+    return v.numbered(records(spark, sf).select(F.col("host").alias("source"), "received_at"))
+
+
+@query
+def quarantine(spark, sf):
+    """Every ninth document is cut short; nothing in SQL says which text is JSON in both engines alike, but the rule does."""
+    n = F.col("event_id")
+    own = events(spark, sf).select(F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string")).alias("host"), n, F.col("ts").alias("queued_at"), F.when(n % 9 == 4, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("value"))
+    return v.quarantined(own.withColumn("queued_at", F.struct("queued_at", "event_id"))).select("event_id", "host", "newer_bytes")

@@ -165,4 +165,9 @@ ORACLES |= {
     "dedup_ratio": f"WITH {PATTERNS} SELECT count(*) AS lines, count(DISTINCT template) AS templates, count(*) * 1.0 / count(DISTINCT template) AS ratio FROM patterns",
     "set_union_intersect": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'view'",
     "envelope_counts_json": f"WITH {CYCLES}, c AS (SELECT host, cycle, category, sum(n)::BIGINT AS n FROM groups GROUP BY ALL) SELECT host, cycle, '{{' || string_agg('\"' || category || '\":' || n::VARCHAR, ',' ORDER BY category) || '}}' AS by_category FROM c GROUP BY host, cycle",
+    "rfc3339_window": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at, strftime(make_timestamp(epoch_us(ts) // 1800000000 * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00/' || strftime(make_timestamp((epoch_us(ts) // 1800000000 + 1) * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS \"window\" FROM events",
+    "crash_rate_1h": f"WITH {LINES} SELECT host, ts, event_id, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM lines WHERE contains(raw, 'segfault at')",
+    "size_guard": f"WITH {CYCLES}, c AS (SELECT host, cycle, category, sum(n)::BIGINT AS n FROM groups GROUP BY ALL) SELECT host, cycle, strlen('{{' || string_agg('\"' || category || '\":' || n::VARCHAR, ',' ORDER BY category) || '}}') > 60 AS too_large FROM c GROUP BY host, cycle",
+    "envelope_list": f"WITH {RECORDS} SELECT host AS source, received_at, seq AS number FROM records",
+    "quarantine": "SELECT event_id, 'host' || (user_id % 5)::VARCHAR AS host, (4 * count(*) OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS newer_bytes FROM events WHERE event_id % 9 = 4",
 }

@@ -138,6 +138,8 @@ def test_times_and_sizes(spark):
     assert one(spark, ["sda", "sda1", "nvme0n1", "nvme0n1p1", "loop0", "vdb"], scalars.is_partition(C("t"))) == [False, True, False, True, False, False]
     assert one(spark, ["01ARZ3NDEKTSV4RRFFQ69G5FAV.json", "bad"], scalars.ulid_ms(C("t"))) == [1469922850259, None]
     assert one(spark, ["512", "2048", str(3 << 20)], scalars.human_bytes(C("t").cast("long"))) == ["512B", "2.0KB", "3.0MB"]
+    assert one(spark, ['say {"a": {"b": 1}} end', "no {broken", "none"], scalars.outermost_object(C("t"))) == ['{"a": {"b": 1}}', None, None]
+    assert [scalars.journal_limit(n) for n in (0, 800_000, 10**9)] == [1000, 10000, 300000]
     bucket = scalars.TokenBucket(6)
     assert [bucket.take(0) for _ in range(7)][-2:] == [0, 600] and bucket.take(600) == 0
 
