@@ -39,6 +39,7 @@ WINDOW = 13
 BLOCK_BYTES = 3_000_000
 LOAD = 8
 DEPTH = 2
+RANGE_WINDOWS = 6_000_000
 NULL_ID = 2**63 - 1
 
 BLOCKS = "block long, windows long, payload binary"
@@ -291,7 +292,8 @@ def _apply(docs: DataFrame, *, key: str, text: str, window: int, block_bytes: in
     bits = max(16, (load * total).bit_length())
     if bits > 63:
         raise ValueError("more windows than counters can be addressed")
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # so many that the counters of a range fit into a task, whatever the session's number of partitions
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_WINDOWS)
 
     def read(payload):
         table = _unpacked(payload)
