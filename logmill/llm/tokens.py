@@ -1,24 +1,28 @@
-"""Token ids of the public tokenizer files, with fast exact paths.
+"""Token ids of the public tokenizer files, all of them from the tokenizers library.
 
-The library's result is the standard.  Texts of a plain character set without the start of a special string take a
-faster way that gives the same ids (held against the library in the tests); all others go through the library.
+No id of either file reaches across white space, but for the one space before a word, and a special string has no
+white space in it.  So a text is cut at its spaces, the library encodes each distinct piece once, and what it gave is
+remembered.  Texts in which a space is followed by more white space go to the library whole where spaces count.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Printable ASCII, tab, line ends, and the Latin letters and signs up to U+024F (no control, no odd space).
-_ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ]|<\\|")
+#: Pieces that a process remembers, and the longest of them in characters: some 200 MB at most.
+REMEMBERED = 1_000_000
+LONGEST = 40
+
+#: Where a space doesn't simply start the next piece: more white space follows, or a special string may take it in.
+_WHOLE = re.compile(r" \s|<\|")
 
 
 def path_of(name: str) -> str:
@@ -37,108 +41,63 @@ def version_of(path: str) -> str:
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
+    out = Tokenizer.from_file(path)
+    out.no_padding()
+    out.no_truncation()
+    return out
 
-def _by_library(path: str, text: str) -> np.ndarray:
-    return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
+class Encoder:
+    """Ids of texts under a tokenizer file; ``spaced``: pieces carry the space before them, else white space has no ids."""
 
-class ByteBpe:
-    """``byte_bpe_50k.json``; its ``.tiktoken`` twin has the same vocabulary and gives the same ids some four times as fast."""
+    def __init__(self, path: str, spaced: bool, remembered: int = REMEMBERED):
+        self.path, self.spaced, self.remembered = path, spaced, remembered
+        self._tokenizer = _library(path)
+        self._code = "H" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self._known: dict[str, bytes] = {}
 
-    def __init__(self, path: str | None = None, twin: str | None = None):
-        import public_tokenizers
-        import tiktoken
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array(self._code, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        self.path = path or path_of("byte_bpe_50k.json")
-        with open(twin or path_of("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def _bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _WHOLE.search(text) if self.spaced else "<|" in text:
+            return self._encode([text])[0]
+        pieces, first = text.split(" "), ""
+        if self.spaced:
+            first = pieces.pop(0)
+        known = self._known
+        try:
+            rest = b"".join([known[p] for p in pieces])
+        except KeyError:
+            rest = self._with_misses(pieces)
+        return self._encode([first])[0] + rest if first else rest
+
+    def _with_misses(self, pieces: list[str]) -> bytes:
+        if len(self._known) + len(pieces) > self.remembered:
+            self._known.clear()
+        missing = [p for p in set(pieces) if p not in self._known]
+        got = dict(zip(missing, self._encode([" " + p for p in missing] if self.spaced else missing), strict=True))
+        out = b"".join([got[p] if p in got else self._known[p] for p in pieces])
+        self._known.update((p, ids) for p, ids in got.items() if len(p) <= LONGEST)
+        if len(self._known) > self.remembered:  # one text of very many words
+            self._known.clear()
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if _ODD.search(text):
-            return _by_library(self.path, text)
-        return np.array(self._fast.encode_ordinary(text), np.uint32)
+        """Unsigned integers, of 16 bits where the vocabulary allows."""
+        return np.frombuffer(self._bytes(text), np.dtype(self._code))
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        return len(_by_library(self.path, text)) if _ODD.search(text) else len(self._fast.encode_ordinary(text))
-
-
-#: The pre-tokenizer's pattern of word_bpe_49k.json for the plain character set (fixed value).
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Characters of the plain set that are left to the library: numbers that are no digits, and a letter whose lower case is two characters.
-_NUMBERS = re.compile("[²³¹¼-¾İ]")
-#: Characters of the plain set with which a pre-token doesn't end just where the class of a byte changes.
-_UNEVEN = re.compile("['¡-©«-´¶-¹»-¿×÷]")
-#: End of a pre-token; a control character, so no plain text has it.
-_STOP = b"\x01"
-_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
-_CLASS = np.array([_SPACE if b in b" \t\n\r" else _DIGIT if chr(b).isdigit() and b < 128 else _LETTER if b >= 128 or chr(b).isalpha() else _OTHER for b in range(256)], np.uint8)
-
-
-def _stopped(text: str) -> str:
-    """Pre-tokens of a lower-case text without white space, each with a stop after it."""
-    if _UNEVEN.search(text):
-        return "".join(w + "\x01" for w in _WORDS.findall(text))
-    data = np.frombuffer(text.encode(), np.uint8)
-    kind = _CLASS[data]
-    ends = (kind != np.append(kind[1:], _SPACE)) | (kind == _DIGIT)
-    keep = np.flatnonzero(kind)
-    ends = ends[keep]
-    out = np.full(len(keep) + int(ends.sum()), _STOP[0], np.uint8)
-    out[np.arange(len(keep)) + np.cumsum(ends) - ends] = data[keep]
-    return out.tobytes().decode()
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class WordBpe:
-    """``word_bpe_49k.json``: byte pairs are merged by a second library, under ranks made from the tokenizer file's own merges.
-
-    A stop byte takes the place of the vocabulary's mark of word ends; it joins the last byte before all other merges.
-    """
-
-    def __init__(self, path: str | None = None):
-        import tiktoken
-
-        self.path = path or path_of("word_bpe_49k.json")
-        with open(self.path) as f:
-            model = json.load(f)["model"]
-        vocabulary, letters, end = model["vocab"], _byte_letters(), model["end_of_word_suffix"]
-
-        def spelt(token: str) -> bytes:
-            return bytes(letters[c] for c in token.removesuffix(end)) + (_STOP if token.endswith(end) else b"")
-
-        single = [c for c in letters if letters[c] != _STOP[0]]
-        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        order = [*single, None, *(c + end for c in single), *merged]
-        self._ids = np.array([0 if t is None else vocabulary[t] for t in order], np.uint16)
-        self._fast = tiktoken.Encoding("word_bpe_49k", pat_str="[^\x01]+\x01", mergeable_ranks={_STOP if t is None else spelt(t): i for i, t in enumerate(order)}, special_tokens={})
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids; they are below 65,536 and come as 16-bit integers."""
-        if not text:
-            return np.empty(0, np.uint16)
-        if _ODD.search(text) or _NUMBERS.search(text):
-            return _by_library(self.path, text).astype(np.uint16)
-        return self._ids[np.array(self._fast.encode_ordinary(_stopped(text.lower())), np.int64)]
+        return len(self._bytes(text)) // array(self._code).itemsize
 
 
 @cache
-def byte_bpe() -> ByteBpe:
-    return ByteBpe()
+def byte_bpe() -> Encoder:
+    return Encoder(path_of("byte_bpe_50k.json"), spaced=True)
 
 
 @cache
-def word_bpe() -> WordBpe:
-    return WordBpe()
+def word_bpe() -> Encoder:
+    return Encoder(path_of("word_bpe_49k.json"), spaced=False)

@@ -16,25 +16,37 @@ def library(name):
     return tokens._library(tokens.path_of(name))
 
 
+def same(text):
+    for own, name in ((tokens.byte_bpe(), "byte_bpe_50k.json"), (tokens.word_bpe(), "word_bpe_49k.json")):
+        assert own.ids(text).tolist() == library(name).encode(text, add_special_tokens=False).ids, repr(text)
+        assert own.count(text) == len(own.ids(text))
+
+
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(), st.text(alphabet="aB'é ß\n\t09.,-_$<|>²½ÀşĳǅİKſ \u0085", max_size=60)))
-def test_fast_paths_give_the_library_s_ids(text):
-    assert tokens.byte_bpe().ids(text).tolist() == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
-    assert tokens.word_bpe().ids(text).tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+@given(st.one_of(st.text(), st.text(alphabet="aB'é ß\n\t09.,-_$<|>²½ÀşĳǅİKſ \u0085\u0301\x1c字Σ", max_size=60)))
+def test_pieces_give_the_library_s_ids(text):
+    same(text)
 
 
-def test_every_character_of_the_fast_path():
-    own = [chr(c) for c in range(0x250) if not tokens._ODD.search(chr(c))]
-    for c in own:
-        for text in (c, f"a{c}b", f" {c}{c} 1{c}", f"{c}'s", f"x{c}"):
-            assert tokens.byte_bpe().ids(text).tolist() == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids, repr(text)
-            assert tokens.word_bpe().ids(text).tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids, repr(text)
+def test_white_space_and_marks_beside_every_kind_of_character():
+    odd = [*"\t\n\v\f\r\x1c\x1f\x85\xa0", "\u1680", "\u2000", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\u0301", "\u0308", "\ufeff", "\u1100", "字", "я", "é", "İ", "Σ", "½", "1", "'s", "_", "-", "<|endoftext|>", "<|startoftext|>"]
+    for c in odd:
+        for text in (c, f"a{c}b", f"a {c}b", f"a{c} b", f"a {c} b", f" {c}", f"{c} ", f"a  {c}", f"e {c}{c} 1{c}", f"a {c}\nb"):
+            same(text)
 
 
-def test_fast_paths_on_whole_documents(spark):
+def test_whole_documents(spark):
     for r in common.table(spark, SF_MID, "documents").collect():
-        assert tokens.byte_bpe().ids(r.text).tolist() == library("byte_bpe_50k.json").encode(r.text, add_special_tokens=False).ids
-        assert tokens.word_bpe().ids(r.text).tolist() == library("word_bpe_49k.json").encode(r.text, add_special_tokens=False).ids
+        same(r.text or "")
+
+
+def test_what_is_remembered_is_bounded():
+    for spaced, name in ((True, "byte_bpe_50k.json"), (False, "word_bpe_49k.json")):
+        small = tokens.Encoder(tokens.path_of(name), spaced, remembered=5)
+        for i in range(20):
+            text = f"alpha beta{i} gamma{i} {'x' * 100} alpha" + " many words of one text" * (i % 3)
+            assert small.ids(text).tolist() == library(name).encode(text, add_special_tokens=False).ids
+            assert len(small._known) <= 5 and all(len(p) <= tokens.LONGEST for p in small._known)
 
 
 def test_counts_against_the_library(spark):
