@@ -21,6 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 REMEMBERED = 1_000_000
 LONGEST = 40
 
+#: Pieces whose tokens' places in a text can be told apart without doubt: printable ASCII and Latin letters and signs.
+_PLAIN = re.compile("[!-~¡-¬®-ɏ]+")
 #: Where a space doesn't simply start the next piece: more white space follows, or a special string may take it in.
 _WHOLE = re.compile(r" \s|<\|")
 
@@ -59,6 +61,16 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self._code, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of several plain pieces, from one call of the library on all of them with a space before each."""
+        found = self._tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
+        data, size = array(self._code, found.ids).tobytes(), array(self._code).itemsize
+        # a token of a piece starts at the space before it or later, and before the next space
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        spaces = np.cumsum([len(p) + 1 for p in pieces[:-1]])
+        cuts = [0, *(np.searchsorted(starts, spaces) * size).tolist(), len(data)]
+        return [data[a:z] for a, z in zip(cuts, cuts[1:])]
+
     def _bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -67,22 +79,24 @@ class Encoder:
         pieces, first = text.split(" "), ""
         if self.spaced:
             first = pieces.pop(0)
-        known = self._known
-        try:
-            rest = b"".join([known[p] for p in pieces])
-        except KeyError:
-            rest = self._with_misses(pieces)
+        rest = self._pieces(pieces)
         return self._encode([first])[0] + rest if first else rest
 
-    def _with_misses(self, pieces: list[str]) -> bytes:
-        if len(self._known) + len(pieces) > self.remembered:
-            self._known.clear()
-        missing = [p for p in set(pieces) if p not in self._known]
-        got = dict(zip(missing, self._encode([" " + p for p in missing] if self.spaced else missing), strict=True))
-        out = b"".join([got[p] if p in got else self._known[p] for p in pieces])
-        self._known.update((p, ids) for p, ids in got.items() if len(p) <= LONGEST)
-        if len(self._known) > self.remembered:  # one text of very many words
-            self._known.clear()
+    def _pieces(self, pieces: list[str]) -> bytes:
+        known = self._known
+        missing = list(set(pieces).difference(known))
+        plain = [p for p in missing if _PLAIN.fullmatch(p)]
+        if plain:
+            known.update(zip(plain, self._encode_joined(plain), strict=True))
+        other = [p for p in missing if p not in known] if len(plain) < len(missing) else []
+        if other:
+            known.update(zip(other, self._encode([" " + p for p in other] if self.spaced else other), strict=True))
+        out = b"".join(map(known.__getitem__, pieces))
+        for p in missing:
+            if len(p) > LONGEST:
+                del known[p]
+        if len(known) > self.remembered:
+            known.clear()
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
