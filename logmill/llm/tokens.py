@@ -17,8 +17,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a process remembers, and the longest of them in characters: some 200 MB at most.
-REMEMBERED = 1_000_000
+#: Pieces that a process remembers, and the longest of them in characters: some 60 MB at most.
+REMEMBERED = 300_000
 LONGEST = 40
 
 #: Pieces whose tokens' places in a text can be told apart without doubt: printable ASCII and Latin letters and signs.
@@ -56,7 +56,9 @@ class Encoder:
         self.path, self.spaced, self.remembered = path, spaced, remembered
         self._tokenizer = _library(path)
         self._code = "H" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        # pieces seen of late, and those of the time before; of the latter, the ones not seen again are forgotten
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self._code, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,11 +85,14 @@ class Encoder:
         return self._encode([first])[0] + rest if first else rest
 
     def _pieces(self, pieces: list[str]) -> bytes:
-        known = self._known
-        missing = list(set(pieces).difference(known))
+        known, before = self._known, self._before
+        missing = set(pieces).difference(known)
+        again = missing.intersection(before)
+        known.update((p, before[p]) for p in again)
+        missing -= again
         plain = [p for p in missing if _PLAIN.fullmatch(p)]
-        if plain:
-            known.update(zip(plain, self._encode_joined(plain), strict=True))
+        for i in range(0, len(plain), 10_000):
+            known.update(zip(plain[i : i + 10_000], self._encode_joined(plain[i : i + 10_000]), strict=True))
         other = [p for p in missing if p not in known] if len(plain) < len(missing) else []
         if other:
             known.update(zip(other, self._encode([" " + p for p in other] if self.spaced else other), strict=True))
@@ -95,8 +100,8 @@ class Encoder:
         for p in missing:
             if len(p) > LONGEST:
                 del known[p]
-        if len(known) > self.remembered:
-            known.clear()
+        if 2 * len(known) > self.remembered:  # but for one text of very many words, about half
+            self._before, self._known = known if len(known) <= self.remembered else {}, {}
         return out
 
     def ids(self, text: str | None) -> np.ndarray:

@@ -46,7 +46,7 @@ def test_what_is_remembered_is_bounded():
         for i in range(20):
             text = f"alpha beta{i} gamma{i} {'x' * 100} alpha" + " many words of one text" * (i % 3)
             assert small.ids(text).tolist() == library(name).encode(text, add_special_tokens=False).ids
-            assert len(small._known) <= 5 and all(len(p) <= tokens.LONGEST for p in small._known)
+            assert len(small._known) <= 5 and len(small._before) <= 5 and all(len(p) <= tokens.LONGEST for p in small._known | small._before)
 
 
 def test_counts_against_the_library(spark):
