@@ -87,9 +87,9 @@ class Encoder:
     def _pieces(self, pieces: list[str]) -> bytes:
         known, before = self._known, self._before
         missing = set(pieces).difference(known)
-        again = missing.intersection(before)
+        again = [p for p in missing if p in before]  # intersection() would run over all of ``before``
         known.update((p, before[p]) for p in again)
-        missing -= again
+        missing.difference_update(again)
         plain = [p for p in missing if _PLAIN.fullmatch(p)]
         for i in range(0, len(plain), 10_000):
             known.update(zip(plain[i : i + 10_000], self._encode_joined(plain[i : i + 10_000]), strict=True))
