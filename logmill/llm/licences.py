@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice, as running text (line ends are spaces) and line by line, since notices are wrapped
 in some files and stand alone on a line in others.  A sentence is normalised (lower case, words alone, years and holders
-of a copyright left out) and looked up among the known licence sentences.  The sequence of their identifiers, in order of
+of a copyright left out) and looked up among the known licence sentences; parts that make up a known one together count as
+that one.  The sequence of their identifiers, in order of
 place, is matched against the rules in order: a rule takes the first place where its identifiers stand one after another
 among those no earlier rule has taken, as often as it can.
 
@@ -101,6 +102,9 @@ def normalise(sentence: str) -> str:
 
 
 KNOWN = {normalise(s): name for name, forms in SENTENCES.items() for s in forms}
+#: Beginnings of known sentences by whole words, and their first words: the splitters cut inside of some sentences.
+_BEGUN = {" ".join(w[:n]) for w in map(str.split, KNOWN) for n in range(1, len(w) + 1)}
+_FIRST = {k.split()[0] for k in KNOWN}
 _LONGEST = max(map(len, KNOWN)) * 3
 
 
@@ -113,18 +117,33 @@ def sentences(text: str, end: re.Pattern) -> list[tuple[int, str]]:
     return out
 
 
+def _known(parts: list[tuple[int, str]], i: int) -> tuple[str | None, int]:
+    """The longest known sentence that the parts from ``i`` on make up together, and the part after it."""
+    first = _WORD.search(parts[i][1])
+    if not first or first[0].lower() not in _FIRST:
+        return None, i + 1
+    name, after, words = None, i + 1, ""
+    for j in range(i, len(parts)):
+        words = f"{words} {normalise(parts[j][1])}".strip()
+        if words not in _BEGUN:
+            break
+        if words in KNOWN:
+            name, after = KNOWN[words], j + 1
+    return name, after
+
+
 def identifiers(text: str | None) -> list[str]:
     """Known sentences in order of place."""
     if not text or not _MARK.search(text):
         return []
     found: dict[int, str] = {}
     for end in (_END, _LINE):
-        for at, s in sentences(text, end):
-            if len(s) > _LONGEST or not _MARK.search(s):
-                continue
+        parts, i = sentences(text, end), 0
+        while i < len(parts):
+            at, s = parts[i]
             place = at + len(s) - len(s.lstrip())
-            name = KNOWN.get(normalise(s))
-            if name is None and (m := _COPYRIGHT.match(s)):
+            name, i = _known(parts, i)
+            if name is None and len(s) <= _LONGEST and _MARK.search(s) and (m := _COPYRIGHT.match(s)):
                 name = "copyright"
                 if m["rest"]:
                     found.setdefault(place + len(s), "reserved")
