@@ -18,23 +18,25 @@ def masked(source: str, column: str, keep: str) -> str:
     return ", ".join(out)
 
 
-N = "event_id"
-HEX8, HEX4 = f"printf('%08x', ({N} * 2654435) % 4294967296)", f"printf('%04x', ({N} * 7919) % 65536)"
-PARTS = {
-    "{pid}": f"({N} % 65535 + 1)::VARCHAR",
-    "{ip}": f"concat_ws('.', '10', (({N} >> 16) & 255)::VARCHAR, (({N} >> 8) & 255)::VARCHAR, ({N} & 255)::VARCHAR)",
-    "{port}": f"({N} % 60000 + 1024)::VARCHAR",
-    "{num}": f"({N} % 100000)::VARCHAR",
-    "{digit}": f"({N} % 7 + 1)::VARCHAR",
-    "{letter}": f"['a', 'b', 'c', 'd'][{N} % 4 + 1]",
-    "{svc}": f"[{', '.join(q(s) for s in synth.SERVICES)}][{N} % {len(synth.SERVICES)} + 1]",
-    "{hex8}": HEX8,
-    "{hex4}": HEX4,
-    "{uuid}": f"concat_ws('-', {HEX8}, {HEX4}, {HEX4}, {HEX4}, {HEX8} || {HEX4})",
-    "{mac}": "concat_ws(':', " + ", ".join(f"printf('%02x', ({N} + {i}) % 256)" for i in range(6)) + ")",
+# The lines of sources/synth.py: one scrambled number k for each event, and what is drawn from it.
+K = "((event_id * 48271) % 2147483647)"
+WORD, HALF = f"printf('%08x', {K})", f"printf('%04x', {K} % 40961)"
+DRAWN = {
+    "@pid": f"({K} % 31991 + 300)::VARCHAR",
+    "@ip4": f"'192.168.' || ({K} % 251)::VARCHAR || '.' || ({K} % 239 + 1)::VARCHAR",
+    "@port": f"({K} % 28001 + 30000)::VARCHAR",
+    "@count": f"({K} % 1000003)::VARCHAR",
+    "@small": f"({K} % 9)::VARCHAR",
+    "@disk": f"substr('bcefg', ({K} % 5 + 1)::INT, 1)",
+    "@job": f"['saffron', 'tundra', 'quartz', 'willow', 'pixel', 'ripple', 'nimbus'][{K} % 7 + 1]",
+    "@long": f"{WORD} || {HALF} || {WORD} || {HALF}",
+    "@word": WORD,
+    "@half": HALF,
+    "@uuid": f"concat_ws('-', {WORD}, {HALF}, {HALF}, {HALF}, {HALF} || {WORD})",
+    "@mac": "'02:' || concat_ws(':', " + ", ".join(f"printf('%02x', {K} % {p})" for p in (251, 241, 239, 233, 229)) + ")",
 }
-_body = f"[{', '.join(q(b) for b in synth.BODIES)}][{N} % {len(synth.BODIES)} + 1]"
-for _name, _value in PARTS.items():
+_body = f"[{', '.join(q(f'{p}: {m}') for p, m in synth.MESSAGES)}][event_id % {len(synth.MESSAGES)} + 1]"
+for _name, _value in DRAWN.items():
     _body = f"replace({_body}, '{_name}', {_value})"
 LINES = f"""filled AS (SELECT *, {_body} AS body, 'host' || (user_id % 5)::VARCHAR AS host FROM events),
 lines AS (SELECT event_id, ts, user_id, host,

@@ -14,7 +14,6 @@ PATHS = {
     "debian": {"file.syslog": "/var/log/syslog", "file.auth": "/var/log/auth.log", "file.audit": "/var/log/audit/audit.log", "kernel": "/var/log/kern.log"},
     "rhel": {"file.syslog": "/var/log/messages", "file.auth": "/var/log/secure", "file.audit": "/var/log/audit/audit.log"},
 }
-RAW_EVENT = "log_parser_severity string, log_parser_source string, timestamp timestamp, host string, MESSAGE string, PRIORITY string, _SYSTEMD_UNIT string, _PID string, file_message string, file string"
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,73 +1,94 @@
-"""Deterministic log lines, one for each row of ``events`` (or of a range), from numbered bodies."""
+"""Deterministic log lines, one for each row of ``events`` (or of a range).
+
+A line's message is chosen by its number and filled in with values that are all drawn from one scrambled number, so
+that SQL can make the same lines.  The messages are written for this repository; what they share with logs elsewhere are
+the phrases that the categories look for.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Our own bodies; {x} stands for what PARTS says.
-BODIES = [
-    "sshd[{pid}]: Accepted password for root from {ip} port {port} ssh2",
-    "sshd[{pid}]: Failed password for invalid user admin from {ip} port {port} ssh2",
-    "kernel: [{num}] Out of memory: Killed process {pid} ({svc}) total-vm:{num}kB",
-    "systemd[1]: Started {svc} daemon.",
-    "{svc}[{pid}]: site={svc} code={num} duration={num}ms status=\"all ok\" user={svc}{num}",
-    "app[{pid}]: payload {\"code\": {num}, \"status\": \"done\", \"path\": \"/v1/{svc}\", \"deep\": {\"a\": 1}}",
-    "kernel: EXT4-fs error (device sda{digit}): ext4_lookup: inode #{num}: comm {svc}",
-    "kernel: blk_update_request: I/O error, dev sd{letter}, sector {num}",
-    "kernel: Memory cgroup out of memory: Killed process {pid} ({svc})",
-    "kernel: kernel BUG at mm/slub.c:{num}!",
-    "kernel: Kernel panic - not syncing: fatal exception [<{hex8}>]",
-    "kernel: {svc}[{pid}]: segfault at {num} ip 0x{hex8} sp 0x{hex8}",
-    "kernel: EXT4-fs (vda1): remounting filesystem read-only",
-    "kernel: EDAC MC0: {digit} CE memory read error on CPU_SrcID#0",
-    "smartd[{pid}]: Device: /dev/sda, SMART Usage Attribute Threshold was Exceeded {num}",
-    "kernel: nf_conntrack: table full, dropping packet from {ip}",
-    "systemd[1]: {svc}.service: failed with result exit-code.",
-    "systemd[1]: {svc}.service: Start request repeated too quickly.",
-    "sshd[{pid}]: pam_unix(sshd:auth): authentication failure; rhost={ip} user=root",
-    "CRON[{pid}]: pam_unix(cron:session): session opened for user root(uid=0)",
-    "systemd-logind[{pid}]: New session {num} of user {svc}.",
-    "chronyd[{pid}]: System clock wrong by {digit}.{num} seconds",
-    "kernel: ata{digit}: hard resetting link",
-    "audit[{pid}]: avc:  denied  { read } for comm={svc} path=/etc/{svc}/conf.d/main.cfg",
-    "kernel: NETDEV WATCHDOG: eth{digit} (e1000): transmit queue {digit} timed out",
-    "dockerd[{pid}]: container docker-{hex8}{hex8} on br-{hex8}{hex4} via veth{hex8} id={uuid}",
-    "kernel: eth{digit}: link up from {mac} peer fe80::{hex4}:{hex4} dev eth{digit},",
-    "containerd[{pid}]: mount overlay2/{hex8}{hex8} at /var/lib/docker/{hex8} on nvme0n{digit}p1",
-    "sshd[{pid}]: Accepted publickey for {svc} from {ip} port {port} ssh2: RSA SHA256:{hex8}{hex8}{hex8}",
-    "nginx[{pid}]: {ip} - - GET /{svc}/api?id={num} HTTP/1.1 200 {num}",
+#: (program, message); @name stands for a value of ``VALUES``.
+MESSAGES = [
+    ("sshd[@pid]", "Accepted password for operator from @ip4 on console @small"),
+    ("sshd[@pid]", "Failed password for invalid user guest@small (@ip4)"),
+    ("sshd[@pid]", "Accepted publickey for @job: ED25519 SHA256:@long"),
+    ("sshd[@pid]", "authentication failure while @job was asked by @ip4"),
+    ("sshd[@pid]", "Disconnected from user @job @ip4"),
+    ("CRON[@pid]", "pam_unix(cron:session): rotation of @job ended after @count"),
+    ("kernel", "Out of memory: Killed process @pid, called @job, holding @count pages"),
+    ("kernel", "Memory cgroup out of memory: Killed process @pid inside @job"),
+    ("kernel", "EXT4-fs error on dev sd@disk, block group @small: checksum @count"),
+    ("kernel", "XFS: Internal error in log of dev dm-@small"),
+    ("kernel", "remounting filesystem read-only after @count retries (dev vd@disk@small)"),
+    ("kernel", "I/O error while reading sector @count of nvme@smalln1"),
+    ("kernel", "blk_update_request: @job gave up, dev sd@disk, sector @count"),
+    ("kernel", "kernel BUG at lib/@job.c:@count"),
+    ("kernel", "Kernel panic after watchdog bite, cpu @small, code [<@word>]"),
+    ("kernel", "@job[@pid]: segfault at @word in libtide.so, error @small"),
+    ("kernel", "EDAC MC@small: corrected memory at page 0x@word"),
+    ("kernel", "nf_conntrack: table full, @ip4 was turned away"),
+    ("kernel", "ata@small: hard resetting link, port @port"),
+    ("kernel", "NETDEV WATCHDOG: wan@small stalled for @count ms"),
+    ("kernel", "bridge br-@long gained veth@word with @mac and fd00::@half:@half"),
+    ("smartd[@pid]", "SMART check: Threshold was Exceeded on /dev/sd@disk after @count hours"),
+    ("systemd[1]", "@job.service: failed with result timeout"),
+    ("systemd[1]", "@job.timer: Start request repeated too quickly"),
+    ("systemd[1]", "Reached target @job at boot step @small"),
+    ("systemd-logind[@pid]", "New session @count of user @job."),
+    ("timekeeper[@pid]", "time stepped by @small.@count seconds"),
+    ("audit[@pid]", "avc:  denied { write } by @job on /srv/@job/state/@count.db"),
+    ("@job[@pid]", "site=@job code=@port duration=@countus status=\"half done\" user=@job@small"),
+    ("@job[@pid]", "reply {\"code\": @port, \"status\": \"late\", \"path\": \"/v2/@job\", \"more\": {\"depth\": @small}}"),
+    ("podd[@pid]", "pod @uuid runs image docker-@long from overlay2/@long"),
+    ("gateway[@pid]", "@ip4:@port PUT /@job/items/@count took @small ms"),
+    ("gateway[@pid]", "peer @mac leased @ip4 for @count s"),
+    ("mailhub[@pid]", "queue @word holds @count letters for @job"),
 ]
-SERVICES = ["auth", "billing", "cache", "cart", "search", "queue", "router", "vault"]
+JOBS = ["saffron", "tundra", "quartz", "willow", "pixel", "ripple", "nimbus"]
+#: A multiplier and a prime that scramble a line's number.
+TIMES, PRIME = 48_271, 2_147_483_647
 
 
 def _hex(n: Column, width: int) -> Column:
     return F.lpad(F.lower(F.hex(n)), width, "0")
 
 
-def fill(body: Column, n: Column) -> Column:
-    """Placeholders by the row's number, with whole numbers alone."""
-    hex8, hex4 = _hex((n * 2654435) % 4294967296, 8), _hex((n * 7919) % 65536, 4)
-    parts = {
-        "{pid}": (n % 65535 + 1).cast("string"),
-        "{ip}": F.concat_ws(".", F.lit("10"), *(F.shiftright(n, k).bitwiseAND(F.lit(255)).cast("string") for k in (16, 8)), n.bitwiseAND(F.lit(255)).cast("string")),
-        "{port}": (n % 60000 + 1024).cast("string"),
-        "{num}": (n % 100000).cast("string"),
-        "{digit}": (n % 7 + 1).cast("string"),
-        "{letter}": F.element_at(F.array(*[F.lit(c) for c in "abcd"]), (n % 4 + 1).cast("int")),
-        "{svc}": F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (n % len(SERVICES) + 1).cast("int")),
-        "{hex8}": hex8,
-        "{hex4}": hex4,
-        "{uuid}": F.concat_ws("-", hex8, hex4, hex4, hex4, F.concat(hex8, hex4)),
-        "{mac}": F.concat_ws(":", *(_hex((n + i) % 256, 2) for i in range(6))),
+def _values(n: Column) -> dict[str, Column]:
+    """Placeholders; longer names come before those that they start with."""
+    k = F.pmod(n * TIMES, F.lit(PRIME))
+    word, half = _hex(k, 8), _hex(k % 40_961, 4)
+    text = lambda c: c.cast("string")
+    return {
+        "@pid": text(k % 31_991 + 300),
+        "@ip4": F.concat_ws(".", F.lit("192.168"), text(k % 251), text(k % 239 + 1)),
+        "@port": text(k % 28_001 + 30_000),
+        "@count": text(k % 1_000_003),
+        "@small": text(k % 9),
+        "@disk": F.element_at(F.array(*[F.lit(c) for c in "bcefg"]), (k % 5 + 1).cast("int")),
+        "@job": F.element_at(F.array(*[F.lit(s) for s in JOBS]), (k % len(JOBS) + 1).cast("int")),
+        "@long": F.concat(word, half, word, half),
+        "@word": word,
+        "@half": half,
+        "@uuid": F.concat_ws("-", word, half, half, half, F.concat(half, word)),
+        "@mac": F.concat_ws(":", F.lit("02"), *(_hex(k % p, 2) for p in (251, 241, 239, 233, 229))),
     }
-    for name, value in parts.items():
-        body = F.replace(body, F.lit(name), value)
-    return body
 
 
-def bodies(n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(b) for b in BODIES]), (F.pmod(n, F.lit(len(BODIES))) + 1).cast("int"))
+def fill(message: Column, n: Column, job: Column | None = None) -> Column:
+    values = _values(n)
+    if job is not None:
+        values["@job"] = job
+    for name, value in values.items():
+        message = F.replace(message, F.lit(name), value)
+    return message
+
+
+def messages(n: Column) -> Column:
+    """``program: message`` with the placeholders in it."""
+    return F.element_at(F.array(*[F.lit(f"{p}: {m}") for p, m in MESSAGES]), (F.pmod(n, F.lit(len(MESSAGES))) + 1).cast("int"))
 
 
 def synth_lines(events: DataFrame) -> DataFrame:
@@ -77,18 +98,18 @@ def synth_lines(events: DataFrame) -> DataFrame:
     ``file.auth``, the others to ``file.syslog``.
     """
     n = F.col("event_id")
-    body = fill(bodies(n), n)
+    line = fill(messages(n), n)
     host = F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string"))
-    header = F.concat(F.date_format("ts", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.lit(" "), F.date_format("ts", "HH:mm:ss"), F.lit(" "), host, F.lit(" "))
+    stamp = F.concat(F.date_format("ts", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.lit(" "), F.date_format("ts", "HH:mm:ss"))
     journal = n % 7 == 3
-    source = F.when(journal, "journald").when(body.rlike("^(sshd|CRON)"), "file.auth").otherwise("file.syslog")
-    message = F.regexp_replace(body, r"^[^\s:]+: ", "")
-    return events.select("event_id", "ts", "user_id", host.alias("host"), source.alias("source"), F.when(journal, (n % 8).cast("string")).alias("priority"), F.when(journal, message).otherwise(F.concat(header, body)).alias("raw"))
+    source = F.when(journal, "journald").when(line.rlike("^(sshd|CRON)"), "file.auth").otherwise("file.syslog")
+    message = F.regexp_replace(line, r"^[^\s:]+: ", "")
+    return events.select("event_id", "ts", "user_id", host.alias("host"), source.alias("source"), F.when(journal, (n % 8).cast("string")).alias("priority"), F.when(journal, message).otherwise(F.concat_ws(" ", stamp, host, line)).alias("raw"))
 
 
 def corpus(spark: SparkSession, n: int, distinct: int = 64) -> DataFrame:
-    """``n`` header-led lines at any scale; ``distinct`` service words set how many templates there are."""
+    """``n`` lines with a header and a time ten milliseconds after the one before; ``distinct`` words set how many templates there are."""
     k = F.col("id")
-    word = F.concat(F.lit("svc"), F.translate((F.floor(k / len(BODIES)) % distinct).cast("string"), "0123456789", "abcdefghij"))
-    body = F.replace(bodies(k), F.lit("{svc}"), word)
-    return spark.range(n).select(k.alias("n"), F.concat(F.lit("Jul 16 10:23:45 node "), fill(body, k)).alias("raw"))
+    at = F.timestamp_millis(F.lit(1_709_784_729_000) + k * 10)
+    word = F.concat(F.lit("unit"), F.translate(F.pmod(F.floor(k / len(MESSAGES)), F.lit(distinct)).cast("string"), "0123456789", "ghijklmnop"))
+    return spark.range(n).select(k.alias("n"), at.alias("ts"), F.concat(F.date_format(at, "MMM d HH:mm:ss"), F.lit(" edge01 "), fill(messages(k), k, word)).alias("raw"))
