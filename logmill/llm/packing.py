@@ -8,8 +8,9 @@ of two, which need no padding.
 
 A task packs the rows that it scans: no shuffle, memory for ``OPEN`` sequences and one document.  A retried task
 reads the same rows in the same order, and sequence ids start at the task's number times 2**40.
-Null text counts as empty (its end id alone).  Repeated rows are packed as often as they occur.  An empty table
-gives no sequences.
+Null text counts as empty (its end id alone), a null prompt as none.  Repeated rows are packed as often as they occur,
+very long texts fill sequences of their own.  An empty table gives no sequences.  Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ LENGTH = 1024
 SEGMENTS = 512
 OPEN = 24
 END = 0
+END_IDS = np.array([END], np.uint32)
 
 
 @dataclass
@@ -76,16 +78,23 @@ class Packer:
         if min(limits) < 1:
             raise ValueError("each limit must be 1 at least")
         self.limits, self.most, self.cut, self.bins = limits, open_bins, cut, []
-
-    def _best(self, s: Segment) -> Bin | None:
-        demand, best, most = s.demand(), None, -1.0
-        for b in self.bins:
-            room = b.room()
-            if all(d <= r for d, r in zip(demand, room, strict=True)):
-                dot = sum(d * r / c / c for d, r, c in zip(demand, room, self.limits, strict=True))
-                if best is None or dot > most:
-                    best, most = b, dot
-        return best
+        # room in the open sequences, in their order
+        self._room = np.zeros((open_bins, 3), np.int64)
+        self._scale = 1 / np.array(limits, float) ** 2
+
+    def _best(self, demand: tuple[int, int, int]) -> int | None:
+        """The open sequence with the largest dot product of its room and the demand, the first of equal ones."""
+        if not self.bins:
+            return None
+        room, wanted = self._room[: len(self.bins)], np.array(demand)
+        dots = np.where((room >= wanted).all(axis=1), room @ (wanted * self._scale), -1.0)
+        best = int(np.argmax(dots))
+        return best if dots[best] >= 0 else None
+
+    def _close(self, i: int) -> list[Segment]:
+        n = len(self.bins)
+        self._room[i : n - 1] = self._room[i + 1 : n]
+        return self.bins.pop(i).segments
 
     def add(self, s: Segment):
         if not len(s.ids):
@@ -105,20 +114,22 @@ class Packer:
 
     def _place(self, s: Segment):
         while True:
-            if (b := self._best(s)) is None and len(self.bins) < self.most:
-                self.bins.append(b := Bin(self.limits))
-            if b is not None:
-                b.add(s)
-                if min(b.room()) == 0:
-                    self.bins.remove(b)
-                    yield b.segments
+            demand = s.demand()
+            if (i := self._best(demand)) is None and len(self.bins) < self.most:
+                i = len(self.bins)
+                self.bins.append(Bin(self.limits))
+                self._room[i] = self.limits
+            if i is not None:
+                self.bins[i].add(s)
+                self._room[i] -= demand
+                if self._room[i].min() == 0:
+                    yield self._close(i)
                 return
-            b = max(self.bins, key=lambda x: x.used[0])
-            self.bins.remove(b)
-            if self.cut and (n := s.head(b.room())):
+            i = int(np.argmin(self._room[: len(self.bins), 0]))
+            if self.cut and (n := s.head(self.bins[i].room())):
                 first, s = s.cut(n)
-                b.add(first)
-            yield b.segments
+                self.bins[i].add(first)
+            yield self._close(i)
 
     def finish(self):
         rest = [s for b in self.bins for s in b.segments]
@@ -152,12 +163,16 @@ class Packer:
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH), with_ids: bool = False) -> DataFrame:
-    """One row for each piece of a document; ``with_ids`` adds the ids themselves."""
+def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", prompt: str | None = None, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH), cut: bool = True, with_ids: bool = False) -> DataFrame:
+    """One row for each piece of a document; ``with_ids`` adds the ids themselves.
+
+    ``prompt``: a column of text that stands before the row's text and bears no loss.  Without ``cut`` a document is
+    never divided, and one that exceeds a limit is an error.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encode, packer = tokens.byte_bpe().ids, Packer(limits)
+        encoder, packer = tokens.byte_bpe(), Packer(limits, cut=cut)
         number, out = TaskContext.get().partitionId() << 40, []
 
         def flush():
@@ -173,23 +188,27 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limits: tu
             nonlocal number
             at = 0
             for s in sequence:
-                out.append((s.key, s.start, len(s.ids), crc32(s.ids.astype("<u4").tobytes()), s.whole, number, at, *([s.ids.tolist()] if with_ids else [])))
+                out.append((s.key, s.start, len(s.ids), crc32(s.ids.astype("<u4", copy=False)), s.whole, number, at, *([s.ids.tolist()] if with_ids else [])))
                 at += len(s.ids)
             number += 1
 
-        for part in common.pieces(batches):
-            for k, t in zip(part["k"].to_pylist(), part["t"].to_pylist(), strict=True):
-                ids = np.append(encode(t), np.uint32(END))
-                for sequence in packer.add(Segment(k, 0, ids, whole=len(ids))):
+        for part in tokens.slices(batches, "t"):
+            ids, bounds = encoder.encode(part["t"])
+            before, ahead = encoder.encode(part["p"]) if prompt else (ids[:0], np.zeros(part.num_rows + 1, np.int64))
+            for i, k in enumerate(part["k"].to_pylist()):
+                lead = before[ahead[i] : ahead[i + 1]]
+                own = np.concatenate((lead, ids[bounds[i] : bounds[i + 1]], END_IDS), dtype=np.uint32)
+                loss = np.arange(len(own)) >= len(lead) if prompt else None
+                for sequence in packer.add(Segment(k, 0, own, loss, len(own))):
                     put(sequence)
-            if len(out) > 4096:
-                yield flush()
+                if len(out) > 4096:
+                    yield flush()
         for sequence in packer.finish():
             put(sequence)
         if out:
             yield flush()
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.col(prompt).alias("p")] if prompt else []))
     found = rows.mapInArrow(run, f"k {kind}, {PIECES}" + ", ids array<long>" * with_ids)
     return found.withColumnRenamed("k", key)
 

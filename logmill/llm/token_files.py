@@ -25,6 +25,7 @@ from . import common, elias_fano, tokens
 
 END = 1
 BLOCK_IDS = 2_000_000
+SHARD_BYTES = 128_000_000
 FORMAT = "shard long, block long, first long, n_docs long, n_ids long, width int, ids binary, ends binary, keys binary"
 
 
@@ -40,16 +41,22 @@ def _keys_of(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
 
 
+def _bytes_of(rows: DataFrame) -> int:
+    """Bytes that the optimiser expects of the scan; where it can't tell, those of the texts are added up."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+
+
 def write(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write the token ids of every row's text in the format above."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     tie = F.xxhash64("t")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_of(rows) // SHARD_BYTES))
     dealt = rows.repartitionByRange(shards, F.col("k"), tie).sortWithinPartitions(F.col("k"), tie)
 
     def run(batches):
-        encode, shard, block, first = tokens.word_bpe().ids, TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, first = tokens.word_bpe(), TaskContext.get().partitionId(), 0, 0
         parts, keys, ends, total, kind = [], [], [], 0, None
         end = np.array([END], "<u2").tobytes()
 
@@ -58,12 +65,13 @@ def write(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text"
             row = {"shard": [shard], "block": [block], "first": [first], "n_docs": [len(keys)], "n_ids": [total], "width": [2], "ids": [ids], "ends": [elias_fano.encode(np.array(ends, np.uint64), total + 1)], "keys": [_keys_to_bytes(keys, kind)]}
             return pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
 
-        for part in common.pieces(batches):
+        for part in tokens.slices(batches, "t"):
             kind = part["k"].type
-            for k, t in zip(part["k"].to_pylist(), part["t"].to_pylist(), strict=True):
-                ids = encode(t)
-                parts += [ids.astype("<u2").tobytes(), end]
-                total += len(ids) + 1
+            found, bounds = encoder.encode(part["t"])
+            data, bounds = memoryview(found.astype("<u2", copy=False)).cast("B"), bounds.tolist()
+            for i, k in enumerate(part["k"].to_pylist()):
+                parts += [data[2 * bounds[i] : 2 * bounds[i + 1]], end]
+                total += bounds[i + 1] - bounds[i] + 1
                 keys.append(k)
                 ends.append(total)
                 if total >= block_ids:

@@ -3,6 +3,7 @@
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, SF_MID
 from fixtures import edge, empty
@@ -23,7 +24,7 @@ def same(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(), st.text(alphabet="aB'é ß\n\t09.,-_$<|>²½ÀşĳǅİKſ \u0085\u0301\x1c字Σ", max_size=60)))
+@given(st.one_of(st.text(), st.text(alphabet="aB'é ß\n\t09.,;!?\0-_$<|>²½ÀşĳǅİKſ \u0085\u0301\x1c字Σ", max_size=60)))
 def test_pieces_give_the_library_s_ids(text):
     same(text)
 
@@ -35,6 +36,23 @@ def test_white_space_and_marks_beside_every_kind_of_character():
             same(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB'é ß\n\t0.,?\0<|Σ\u0301", max_size=30)), max_size=12))
+def test_many_texts_at_once(texts):
+    for own, name in ((tokens.byte_bpe(), "byte_bpe_50k.json"), (tokens.word_bpe(), "word_bpe_49k.json")):
+        ids, bounds = own.encode(pa.array(["not in the slice", *texts], pa.string()).slice(1))
+        want = [library(name).encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == want
+        assert own.counts(pa.array(texts, pa.string())).tolist() == [len(w) for w in want]
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(["abc", None, "", "x" * 50, "de", "f" * 9, "g"])})
+    parts = list(tokens.slices([batch, batch.slice(0, 0)], "t", 10))
+    assert [x for p in parts for x in p["t"].to_pylist()] == batch["t"].to_pylist()
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p["t"].to_pylist()) <= 10 for p in parts)
+
+
 def test_whole_documents(spark):
     for r in common.table(spark, SF_MID, "documents").collect():
         same(r.text or "")
@@ -168,3 +186,104 @@ def test_token_files_edge_rows(spark):
     path = common.scratch(spark, "files")
     token_files.write(empty(spark), path)
     assert token_files.read(spark, path).count() == 0
+
+
+def test_a_warm_store_moves_no_text(spark, monkeypatch):
+    store = common.scratch(spark, "store")
+    docs = edge(spark)
+    first = sorted(map(tuple, token_counts.count_tokens(docs, store).collect()), key=str)
+    seen = []
+    real = token_counts._texts_of_misses
+
+    def spy(rows, known):
+        seen.append(real(rows, known))
+        return seen[-1]
+
+    monkeypatch.setattr(token_counts, "_texts_of_misses", spy)
+    assert sorted(map(tuple, token_counts.count_tokens(docs, store).collect()), key=str) == first and seen == [None]
+    more = docs.union(spark.createDataFrame([(99, "something new", "en", "s", 1, *["own"] * 7)], docs.schema))
+    token_counts.count_tokens(more, store).collect()
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.index("BroadcastHashJoin") > plan.index("SortAggregate")
+    monkeypatch.setattr(token_counts, "FEW_MISSES", 0)
+    most = more.union(spark.createDataFrame([(100, "newer still", "en", "s", 1, *["own"] * 7)], docs.schema))
+    assert token_counts.count_tokens(most, store).count() == 16
+    assert "BroadcastHashJoin" not in seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert spark.read.parquet(store).groupBy("digest").count().where("count > 1").isEmpty()
+
+
+class PlainPacker:
+    """Dot-product placement by the book: every open sequence is looked at for every segment."""
+
+    def __init__(self, limits, most):
+        self.limits, self.most, self.open = limits, most, []
+
+    def place(self, demand):
+        """(index of the sequence, whether it is new)."""
+        best, at = -1.0, None
+        for i, room in enumerate(self.open):
+            if all(d <= r for d, r in zip(demand, room)):
+                dot = sum(d * r / c**2 for d, r, c in zip(demand, room, self.limits))
+                if dot > best:
+                    best, at = dot, i
+        return at
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 16), st.integers(0, 16)), min_size=1, max_size=40), st.sampled_from([(16, 4, 16), (32, 8, 8), (64, 2, 16)]))
+def test_placement_is_the_largest_dot_product(sizes, limits):
+    packer = packing.Packer(limits, open_bins=3, cut=False)
+    for number, (n, loss) in enumerate(sizes):
+        mask = np.arange(n) < min(loss, n, limits[2])
+        s = packing.Segment(number, 0, np.arange(n), mask, n)
+        plain = PlainPacker(limits, 3)
+        plain.open = [b.room() for b in packer.bins]
+        before, rooms = list(packer.bins), len(packer.bins)
+        want = plain.place(s.demand())
+        list(packer.add(s))
+        if want is not None:
+            assert before[want].segments[-1] is s
+        elif rooms < 3:
+            assert all(s not in b.segments for b in before)
+    rest = list(packer.finish())
+    assert all(sum(x.demand()[i] for x in b) <= limits[i] for b in rest for i in range(3))
+
+
+def _sums(rows, bears):
+    out = {}
+    for r in rows:
+        n, k, loss = out.get(r.sequence_id, (0, 0, 0))
+        out[r.sequence_id] = n + r.length, k + 1, loss + bears(r)
+    return list(out.values())
+
+
+def test_each_of_three_limits_binds_on_instruction_data(spark):
+    talk = common.table(spark, SF, "conversations").selectExpr("concat_ws('/', conv_id, turn, role) AS id", "if(role = 'assistant', NULL, text) AS asked", "if(role = 'assistant', text, '') AS answer")
+    texts = {r.id: r for r in talk.collect()}
+    lead = {k: tokens.byte_bpe().count(r.asked) for k, r in texts.items()}
+    whole = {k: lead[k] + tokens.byte_bpe().count(r.answer) + 1 for k, r in texts.items()}
+
+    def bears(r):
+        return max(0, r.start + r.length - max(r.start, lead[r.id]))
+
+    for limits, binding in (((256, 64, 256), 0), ((4096, 8, 4096), 1), ((4096, 64, 128), 2)):
+        rows = packing.pack(talk.coalesce(1), key="id", text="answer", prompt="asked", limits=limits, with_ids=True).collect()
+        sums = _sums(rows, bears)
+        assert all(x <= c for s in sums for x, c in zip(s, limits))
+        tight = [sum(s[i] == limits[i] for s in sums) for i in range(3)]
+        assert tight[binding] >= 0.5 * len(sums), (limits, tight, len(sums))
+        parts = {}
+        for r in rows:
+            assert r.doc_tokens == whole[r.id]
+            parts.setdefault(r.id, []).append((r.start, r.ids))
+        for k, found in parts.items():
+            want = [*tokens.byte_bpe().ids(texts[k].asked).tolist(), *tokens.byte_bpe().ids(texts[k].answer).tolist(), 0]
+            assert [i for _, ids in sorted(found) for i in ids] == want
+        assert parts.keys() == texts.keys()
+
+
+def test_examples_can_be_kept_whole(spark):
+    docs = spark.createDataFrame([(i, "word " * (3 + i % 7), "ask " * (i % 5)) for i in range(200)], "id long, text string, prompt string")
+    rows = packing.pack(docs.coalesce(1), key="id", prompt="prompt", limits=(32, 8, 16), cut=False).collect()
+    assert len(rows) == 200 and all(r.start == 0 and r.length == r.doc_tokens for r in rows)
+    assert all(a <= b for s in _sums(rows, lambda r: r.length - r.id % 5 - (r.id % 5 > 0)) for a, b in zip(s, (32, 8, 17)))
