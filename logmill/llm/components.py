@@ -46,6 +46,10 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return common.batch_of(u=pa.array(a[:, 0], pa.int64()), v=pa.array(a[:, 1], pa.int64()))
 
 
+def edge_table(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_batches([edge_batch(edges)])
+
+
 def _contract(batches, most: int = 1_000_000):
     found = UnionFind()
     for b in batches:
@@ -61,7 +65,16 @@ def _contract(batches, most: int = 1_000_000):
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # repeated edges do no harm: the small star, which follows, makes them one
+    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _open(edges: DataFrame) -> bool:
+    """Whether some node has two edges down, or one down and one up: not yet stars alone."""
+    down = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    nodes = down.union(up).groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.agg(F.max((F.col("down") + F.col("up") > 1) & (F.col("down") > 0))).first()[0] or False
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -78,15 +91,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     spark = edges.sparkSession
     now, path = common.materialise(edges.where("u <> v").mapInArrow(_contract, EDGE).distinct(), name)
-    seen = None
-    while True:
+    while _open(now):
         large, at_large = common.materialise(_large_star(now), name)
         common.remove(spark, path)
         now, path = common.materialise(_small_star(large), name)
         common.remove(spark, at_large)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,8 +9,9 @@ Equal fingerprints are one class before any table is made.  A bucket of up to ``
 task; each class of a larger bucket is instead keyed by itself and by its one-bit changes outside the mask, where
 two classes within two bits share a key and classes that share a key are within two bits.  No list of pairs is made.
 
-Null and empty texts have fingerprint zero, linked like any other.  Repeated rows are kept, each with its
-component; a null doc_id is never the least of its component unless nothing else is in it.
+Null and empty texts have fingerprint zero, linked like any other; very long texts are hashed whole.  Repeated rows are
+kept, each with its component; a null doc_id is never the least of its component unless nothing else is in it.  An empty
+table gives no rows.  Other columns, whatever their names, are not read; ``keep_one`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -35,9 +36,17 @@ def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Bytes: A-Z alone are lowered, ASCII white space alone splits."""
+    return (text or "").encode().lower().split()
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles; zero without words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone splits
+    return fingerprint_of(words_of(text), width)
+
+
+def fingerprint_of(words: list[bytes], width: int = SHINGLE) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
@@ -99,13 +108,14 @@ def links(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint long, component_id): one row for each row of ``docs``."""
     prints, _ = common.materialise(fingerprints(docs, key=key, text=text), "simhash-prints")
-    classes, _ = common.materialise(prints.groupBy("f").agg(F.min("k").alias("least")), "simhash-classes")
+    classes, at_classes = common.materialise(prints.groupBy("f").agg(F.min("k").alias("least")), "simhash-classes")
     roots = components.connected_components(links(classes), "simhash-components")
     linked = roots.join(classes, roots.node == classes.f).select("f", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("f", F.col("component"))
     named = classes.join(linked, "f", "left").select("f", F.coalesce("component", "least").alias("component_id"))
     named, _ = common.materialise(named, "simhash-named")
+    common.remove(docs.sparkSession, at_classes)
     return prints.join(named, "f").select(F.col("k").alias(key), F.col("f").alias("fingerprint"), "component_id")
 
 
