@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import common, decontamination, language_mixture, near_copies, packing, simhash, substring_dedup
+from logmill.llm import common, decontamination, language_mixture, near_copies, packing, substring_dedup
 
 #: A document goes if it has no letter or no language has this share of it.
 LEAST_LANGUAGE_SHARE = 0.3
@@ -18,8 +18,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept, _ = common.materialise(simhash.keep_one(docs), "pipeline-simhash")
-    return near_copies.keep_one(kept)
+    return near_copies.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
