@@ -6,9 +6,14 @@ match that no marked word overlaps is marked again and again, what is left of an
 none of ``MIN_MATCH`` words is left.  A document is contaminated by an item whose marked share is ``COVERAGE`` or more,
 in whatever order its passages come.
 
-Test items come to the tasks in blocks of a bounded number of items and words; every block meets all documents, in one
-scan each and without a shuffle.  Null and empty texts, and items without words, match nothing; an item of fewer words
-than ``MIN_MATCH`` has to be there as a whole.  Repeated rows are judged alike.
+Seeds are joined by their hash, in the tasks that scan the documents: the test items come there as an index of seeds.
+An index has ``BLOCK_BYTES`` of text at most, as a rule all items; more of them make further blocks, one scan of the
+documents each.  Seeds that many items share are left out of the index where an item can't be covered by them alone
+(``telling``), so a stem that a whole benchmark has in common brings up none of its items.
+
+Null and empty texts, and items without words, match nothing; an item of fewer words than ``MIN_MATCH`` has to be there
+as a whole.  Repeated rows are judged alike, very long texts whole; an empty table gives no rows, and empty test items
+contaminate nothing.  Other columns, whatever their names, are not read, and ``clean`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -29,8 +34,7 @@ from . import common
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 64_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -92,60 +96,114 @@ def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]] | np.nd
     return tiles
 
 
+def _covered(places: np.ndarray, width: int, size: int) -> int:
+    """How many of ``size`` words are in the windows at ``places``."""
+    cover = np.zeros(size + 1, np.int64)
+    np.add.at(cover, places, 1)
+    np.add.at(cover, places + width, -1)
+    return int(np.count_nonzero(np.cumsum(cover)[:size]))
+
+
+def telling(shared: np.ndarray, width: int, size: int, coverage: float) -> np.ndarray:
+    """Which windows of an item of ``size`` words have to be looked for; ``shared``: how many items have each window.
+
+    Windows are passed over, those of the most items first, as long as all of them together cover less than a
+    contaminated document has to: such a document has one of the others as well.
+    """
+    if not size or shared.max(initial=1) == 1:
+        # windows in their order cover one word more each
+        passed = 0
+        while passed < len(shared) and (passed + width) / size < coverage:
+            passed += 1
+        return np.arange(passed, len(shared))
+    inside, covered, out = np.zeros(size, bool), 0, []
+    for q in np.argsort(-shared, kind="stable").tolist():
+        more = width - int(inside[q : q + width].sum())
+        if (covered + more) / size < coverage:
+            inside[q : q + width] = True
+            covered += more
+        else:
+            out.append(q)
+    return np.array(sorted(out), np.int64)
+
+
 @dataclass
 class Items:
-    """A block of test items and its seeds, in order of their hash, by seed length."""
+    """A block of test items: their words one after another, and by seed length an index from seed to items."""
 
     keys: list
-    words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    words: np.ndarray
+    bounds: np.ndarray
+    index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # seeds in order, where the items of each begin, items
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str | None]], least: int) -> Items:
-        words = [word_hashes(t) for _, t in rows]
-        by_width: dict[int, list] = defaultdict(list)
+    def of(cls, rows: list[tuple[object, np.ndarray]], least: int, coverage: float) -> Items:
+        words = [w for _, w in rows]
+        by_width: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             if len(w):
-                n = min(least, len(w))
-                h = running_hash(w, n)
-                by_width[n].append((h, np.full(len(h), i), np.arange(len(h))))
-        seeds = {}
-        for n, parts in by_width.items():
-            h, i, q = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            seeds[n] = h[order], i[order], q[order]
-        return cls([k for k, _ in rows], words, seeds)
+                by_width[min(least, len(w))].append(i)
+        index = {}
+        for n, members in by_width.items():
+            seeds = [running_hash(words[i], n) for i in members]
+            own = [np.unique(s) for s in seeds]
+            every, times = np.unique(np.concatenate(own), return_counts=True)
+            kept, holder = [], []
+            for i, s in zip(members, seeds, strict=True):
+                s = np.unique(s[telling(times[np.searchsorted(every, s)], n, len(words[i]), coverage)])
+                kept.append(s)
+                holder.append(np.full(len(s), i, np.int32))
+            kept, holder = np.concatenate(kept), np.concatenate(holder)
+            order = np.argsort(kept, kind="stable")
+            distinct, first = np.unique(kept[order], return_index=True)
+            index[n] = distinct, np.append(first, len(kept)), holder[order]
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+        return cls([k for k, _ in rows], np.concatenate(words) if words else np.zeros(0, np.uint64), bounds, index)
 
     def matches(self, text: str | None, coverage: float, least: int) -> list[tuple[object, float, int]]:
         """(item, covered share, tiles) of the items that contaminate a text."""
         if not text:
             return []
         doc, out = word_hashes(text), []
-        for n, (h, item, place) in self.seeds.items():
+        for n, (seeds, first, holders) in self.index.items():
             own = running_hash(doc, n)
-            a, z = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            pairs: dict[int, list] = defaultdict(list)
-            for p in np.flatnonzero(a < z):
-                for s in range(a[p], z[p]):
-                    pairs[int(item[s])].append((int(p), int(place[s])))
-            for i, seeds in pairs.items():
-                w = self.words[i]
-                if len({q + j for _, q in seeds for j in range(n)}) < coverage * len(w):
+            at = np.searchsorted(seeds, own)
+            found = np.unique(at[seeds[np.minimum(at, len(seeds) - 1)] == own])
+            if not len(found):
+                continue
+            found = np.unique(np.concatenate([holders[first[s] : first[s + 1]] for s in found]))
+            order = np.argsort(own, kind="stable")
+            ordered = own[order]
+            for i in found.tolist():
+                w = self.words[self.bounds[i] : self.bounds[i + 1]]
+                h = running_hash(w, n)
+                a, z = np.searchsorted(ordered, h, "left"), np.searchsorted(ordered, h, "right")
+                there = np.flatnonzero(a < z)
+                if _covered(there, n, len(w)) / len(w) < coverage:
                     continue  # the seeds together don't reach it
-                tiles = tile(doc, w, seeds, n, least)
+                pairs = [(p, q) for q in there.tolist() for p in order[a[q] : z[q]].tolist()]
+                tiles = tile(doc, w, pairs, n, least)
                 share = sum(t[2] for t in tiles) / len(w)
                 if share >= coverage:
                     out.append((self.keys[i], share, len(tiles)))
         return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str, least: int):
-    """Broadcastable blocks of at most about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text."""
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
-    n = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
+def item_blocks(items: DataFrame, key: str, text: str, least: int, coverage: float):
+    """Blocks of at most about ``BLOCK_BYTES`` of text, some 2 to 4 bytes a byte of it, which may be broadcast."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
+    n = max(1, -(-size.b // BLOCK_BYTES))
+
+    def run(batches):
+        for part in common.pieces(batches):
+            yield pa.RecordBatch.from_arrays([part["k"], pa.array([word_hashes(t).tobytes() for t in part["t"].to_pylist()], pa.binary())], names=["k", "w"])
+
+    kind = items.schema[key].dataType.simpleString()
+    hashed = items.select(F.col(key).alias("k"), F.col(text).alias("t"))
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else items
-        yield Items.of(sorted(((r[0], r[1]) for r in rows.select(key, text).collect()), key=lambda x: (x[0] is None, x[0])), least)
+        rows = hashed.where(F.pmod(F.xxhash64("k"), F.lit(n)) == i) if n > 1 else hashed
+        found = [(r.k, np.frombuffer(bytes(r.w), np.uint64)) for r in rows.mapInArrow(run, f"k {kind}, w binary").collect()]
+        yield Items.of(sorted(found, key=lambda x: (x[0] is None, x[0])), least, coverage)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
@@ -154,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = f"k {kind}, item_id {item_kind.simpleString()}, coverage double, tiles long"
     out = None
-    for block in item_blocks(items, item_key, item_text, least):
+    for block in item_blocks(items, item_key, item_text, least, coverage):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -171,7 +229,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
     """The rows that no item contaminates, columns unchanged."""
-    for block in item_blocks(items, item_key, item_text, least):
+    for block in item_blocks(items, item_key, item_text, least, coverage):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

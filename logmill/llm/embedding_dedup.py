@@ -1,13 +1,16 @@
 """Operator 8: embedding near-duplicates by spherical k-means cells.
 
 Equal vectors are one class with a multiplicity.  Centroids are fitted on at most ``SAMPLE`` classes; every class is
-indexed: it is a member of its nearest cell and is compared with the members of its ``PROBES`` nearest ones.  A cell
-is cut into blocks of about ``BLOCK`` members; a task multiplies two blocks and returns sums and a forest of the
-links, never the pairs.  Each pair is counted once: where both cells would find it, in the cell with the lesser number.
+indexed: it is a member of its nearest cell and is compared with the members of up to ``PROBES`` nearest ones, those
+left out that lie beyond ``MARGIN``.  Members and askers of a cell are cut into blocks of some megabytes; a task
+multiplies two blocks and returns sums and a forest of the links, never the pairs.  Each pair is counted once: where
+both cells would find it, in the cell with the lesser number.  Vectors travel as they came, of 4 bytes a component if
+they are floats, and are brought to length one in double precision where they are compared.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; each is kept as its own
 group.  Vectors of another length than the most common one have a cell for each length.  Repeated rows (equal ids)
-are counted as often as they occur.  An empty table gives no rows.
+are counted as often as they occur.  Ids have to be below 2**62; rows without one are counted as well, and only a group
+of none but such rows has no component.  An empty table gives no rows.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,13 @@ SAMPLE = 16_384
 CELL = 1_000
 MOST_CELLS = 4_096
 PROBES = 10
-BLOCK = 1_024
+#: Bytes of a block of members; a block of askers has four times as many.
+BLOCK_BYTES = 4_000_000
+#: A cell is left out whose border with the own cell is farther than this from the vector.  In 64 dimensions, where the rest of
+#: a vector spreads by 1/8, this leaves out pairs at the threshold with a probability of 0.002 for each such cell.
+MARGIN = 0.18
+#: Classes of rows without an id have numbers from here on.
+NAMELESS = 1 << 62
 
 
 def usable(values: list | None) -> np.ndarray | None:
@@ -40,18 +49,31 @@ def usable(values: list | None) -> np.ndarray | None:
     return v / np.linalg.norm(v)
 
 
-def _classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+def _kind(vectors: DataFrame, vector: str) -> type:
+    """Floats travel as floats: in double precision they are the same numbers."""
+    return np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+
+
+def _classes(vectors: DataFrame, key: str, vector: str, kind: type) -> DataFrame:
     def run(batches):
         for part in common.pieces(batches, 1024):
-            digests, units = [], []
+            digests, raw = [], []
             for v in part["e"].to_pylist():
-                u = usable(v)
-                units.append(None if u is None else u.tobytes())
-                digests.append(None if u is None else hashlib.blake2b((np.asarray(v, np.float64) + 0.0).tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([part["k"], pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["k", "digest", "unit"])
+                fits = usable(v) is not None
+                # no negative zero
+                raw.append((np.asarray(v, kind) + kind(0)).tobytes() if fits else None)
+                digests.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if fits else None)
+            yield pa.RecordBatch.from_arrays([part["k"], pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["k", "digest", "raw"])
+
+    key_kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(F.col(key).alias("k"), F.col(vector).alias("e")).mapInArrow(run, f"k {key_kind}, digest binary, raw binary")
+
 
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(F.col(key).alias("k"), F.col(vector).alias("e")).mapInArrow(run, f"k {kind}, digest binary, unit binary")
+def _units(raw: list[bytes], kind: type) -> np.ndarray:
+    """Vectors of one length, at length one in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -70,52 +92,57 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) ->
     return centres
 
 
-def fit(classes: DataFrame, sample: int = SAMPLE, cell: int = CELL, most: int = MOST_CELLS) -> tuple[int, np.ndarray]:
+def fit(classes: DataFrame, kind: type, sample: int = SAMPLE, cell: int = CELL, most: int = MOST_CELLS) -> tuple[int, np.ndarray]:
     """The most common dimension and its centroids, from at most ``sample`` classes chosen by digest."""
-    dims = classes.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    width = np.dtype(kind).itemsize
+    dims = classes.groupBy((F.octet_length("raw") / width).cast("int").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not dims:
         return 0, np.zeros((0, 0))
     d, n = dims[0].d, dims[0].n
     share = min(1.0, 0.9 * sample / n) if n > sample else 1.0
-    rows = classes.where((F.octet_length("unit") == 8 * d) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < share * (1 << 20))).select("unit").limit(sample).collect()
+    rows = classes.where((F.octet_length("raw") == width * d) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < share * (1 << 20))).select("raw").limit(sample).collect()
     if not rows:
         return d, np.zeros((0, d))
-    x = np.stack([np.frombuffer(r.unit, np.float64) for r in rows])
+    x = _units([bytes(r.raw) for r in rows], kind)
     x = x[np.lexsort(x.T[:4])]
     return d, spherical_kmeans(x, max(1, min(most, round(n / cell), len(x) // 4 or 1)))
 
 
-def _dealt(classes: DataFrame, d: int, centres: np.ndarray, probes: int) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(centres)
+def _dealt(classes: DataFrame, kind: type, d: int, centres: np.ndarray, probes: int, margin: float) -> DataFrame:
+    width = np.dtype(kind).itemsize
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))
+    shared = classes.sparkSession.sparkContext.broadcast((centres, apart))
 
     def run(batches):
-        c = shared.value
+        c, distance = shared.value
         for part in common.pieces(batches, 2048):
-            units = part["unit"].to_pylist()
+            raw = part["raw"].to_pylist()
             own, near = [], []
-            fits = [i for i, u in enumerate(units) if len(u) == 8 * d and len(c)]
+            fits = [i for i, u in enumerate(raw) if len(u) == width * d and len(c)]
             ranked = {}
             if fits:
-                sims = np.stack([np.frombuffer(units[i], np.float64) for i in fits]) @ c.T
+                sims = _units([raw[i] for i in fits], kind) @ c.T
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
-                ranked = dict(zip(fits, order.tolist(), strict=True))
-            for i, u in enumerate(units):
-                cells = ranked.get(i, [-(len(u) // 8)])
+                top = np.take_along_axis(sims, order, axis=1)
+                close = top[:, :1] - top <= margin * distance[order[:, :1], order]
+                ranked = {i: o[x].tolist() for i, o, x in zip(fits, order, close, strict=True)}
+            for i, u in enumerate(raw):
+                cells = ranked.get(i, [-(len(u) // width)])
                 own.append(cells[0])
                 near.append(cells)
-            yield pa.RecordBatch.from_arrays([part["id"], part["n"], part["unit"], pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names=["id", "n", "unit", "own", "probes"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["n"], part["raw"], pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names=["id", "n", "raw", "own", "probes"])
 
-    return classes.select("id", "n", "unit").mapInArrow(run, "id long, n long, unit binary, own long, probes array<long>")
+    return classes.select("id", "n", "raw").mapInArrow(run, "id long, n long, raw binary, own long, probes array<long>")
 
 
-def _compare_blocks(threshold: float):
+def _compare_blocks(threshold: float, kind: type):
     def run(table: pa.Table) -> pa.Table:
         cell = table["cell"][0].as_py()
-        role = table["role"].to_numpy()
+        asks = table["probes"].is_null().to_numpy()
         ids, own, n = (table[c].to_numpy() for c in ("id", "own", "n"))
-        probes = [set(p) for p in table["probes"].to_pylist()]
-        x = np.stack([np.frombuffer(u, np.float64) for u in table["unit"].to_pylist()])
-        members, askers = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        members, askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+        probes = dict(zip(members.tolist(), map(set, table["probes"].take(pa.array(members)).to_pylist()), strict=True))
+        x = _units(table["raw"].to_pylist(), kind)
         counts: dict[int, int] = {}
         forest = components.UnionFind()
         for a in np.array_split(askers, -(-len(askers) // 512)) if len(askers) and len(members) else []:
@@ -136,31 +163,37 @@ def _compare_blocks(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, probes: int | None = None, margin: float = MARGIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_links, component_id, kept) for each row."""
-    rows, _ = common.materialise(_classes(vectors, key, vector), "embedding-rows")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("k").cast("long").alias("least"), F.count("*").alias("n"), F.first("unit").alias("unit"))
-    classes, _ = common.materialise(classes.withColumn("id", F.coalesce("least", F.xxhash64("digest"))), "embedding-classes")
-    d, centres = fit(classes)
-    dealt, _ = common.materialise(_dealt(classes, d, centres, probes), "embedding-cells")
+    kind = _kind(vectors, vector)
+    rows, _ = common.materialise(_classes(vectors, key, vector, kind), "embedding-rows")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("k").cast("long").alias("least"), F.count("*").alias("n"), F.first("raw").alias("raw"))
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS))
+    classes, at_classes = common.materialise(classes.withColumn("id", F.coalesce("least", nameless)), "embedding-classes")
+    d, centres = fit(classes, kind)
+    probes = probes or max(PROBES, round(PROBES * (len(centres) / 256) ** 0.25))  # twice as many in 4,096 cells
+    dealt, at_dealt = common.materialise(_dealt(classes, kind, d, centres, probes, margin), "embedding-cells")
     # one row for each cell; lengths other than the common one are cells, too
-    parts = dealt.groupBy("own").agg(F.ceil(F.count("*") / block).cast("int").alias("m")).select(F.col("own").alias("cell"), "m")
-    asks = dealt.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q"))
-    sizes = parts.join(asks, "cell").select("cell", "m", "q")
-    sizes, _ = common.materialise(sizes, "embedding-sizes")
-    common_columns = ("id", "own", "probes", "n", "unit")
+    size = F.sum(F.octet_length("raw"))
+    parts = dealt.groupBy("own").agg(F.ceil(size / block_bytes).cast("int").alias("m")).select(F.col("own").alias("cell"), "m")
+    asks = dealt.select(F.explode("probes").alias("cell"), "raw").groupBy("cell").agg(F.ceil(size / (4 * block_bytes)).cast("int").alias("q"))
+    sizes, at_sizes = common.materialise(parts.join(asks, "cell").select("cell", "m", "q"), "embedding-sizes")
+    both = ("id", "own", "n", "raw")
     slot = F.xxhash64("id")
-    member = dealt.join(sizes, F.col("own") == F.col("cell")).select("cell", F.pmod(slot, F.col("m")).cast("int").alias("part_a"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("part_b"), F.lit(0).alias("role"), *common_columns)
-    asker = dealt.select(F.explode("probes").alias("asked"), *common_columns).join(sizes, F.col("asked") == F.col("cell")).select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part_a"), F.pmod(slot, F.col("q")).cast("int").alias("part_b"), F.lit(1).alias("role"), *common_columns)
-    found = member.union(asker).groupBy("cell", "part_a", "part_b").applyInArrow(_compare_blocks(threshold), "id long, links long, root long")
-    found, _ = common.materialise(found, "embedding-links")
+    member = dealt.join(sizes, F.col("own") == F.col("cell")).select("cell", F.pmod(slot, F.col("m")).cast("int").alias("part_a"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("part_b"), *both, "probes")
+    asker = dealt.select(F.explode("probes").alias("asked"), *both).join(sizes, F.col("asked") == F.col("cell")).select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part_a"), F.pmod(slot, F.col("q")).cast("int").alias("part_b"), *both, F.lit(None).cast("array<long>").alias("probes"))
+    found = member.union(asker).groupBy("cell", "part_a", "part_b").applyInArrow(_compare_blocks(threshold, kind), "id long, links long, root long")
+    found, at_found = common.materialise(found, "embedding-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components.connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), "embedding-components")
-    named = classes.join(links, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
-    named = named.select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    named = classes.select("digest", "id", "n").join(links, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
+    root = F.coalesce("root", "id")
+    named = named.select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(root < NAMELESS, root).alias("component_id"))
     named, _ = common.materialise(named, "embedding-named")
+    for path in (at_classes, at_dealt, at_sizes, at_found):
+        common.remove(vectors.sparkSession, path)
     out = rows.select("k", "digest").join(named, "digest", "left")
-    group = F.coalesce("component_id", F.col("k").cast("long"))
+    group = F.when(F.col("digest").isNull(), F.col("k").cast("long")).otherwise(F.col("component_id"))
     return out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), group.alias("component_id"), F.coalesce(F.col("k") == group, F.lit(True)).alias("kept"))
 
 

@@ -7,8 +7,11 @@ that one.  The sequence of their identifiers, in order of
 place, is matched against the rules in order: a rule takes the first place where its identifiers stand one after another
 among those no earlier rule has taken, as often as it can.
 
+SPDX tags are read by their names, several of them where they are joined by OR or AND.
+
 Each row gets its licences in order of place, once each (``""``: none).  Licence sentences that no rule takes give
-``unknown`` after them.  Null and empty texts have no licence.  Repeated rows get equal results.
+``unknown`` after them.  Null and empty texts have no licence.  Very long texts and sentences are read whole.  Repeated rows
+get equal results, and an empty table gives no rows.  Other columns, whatever their names, are returned unchanged.
 """
 
 from __future__ import annotations
@@ -18,94 +21,29 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
-
-# Licence sentences by identifier.
-SENTENCES = {
-    "spdx-mit": ["SPDX-License-Identifier: MIT"],
-    "spdx-apache-2": ["SPDX-License-Identifier: Apache-2.0"],
-    "spdx-bsd-3": ["SPDX-License-Identifier: BSD-3-Clause"],
-    "spdx-gpl-3": ["SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0"],
-    "spdx-gpl-2": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0"],
-    "mit-name": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License", "The MIT License", "MIT License"],
-    "apache-2-name": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License)", "Released under the Apache License, Version 2.0", "This project is licensed under the Apache License, Version 2.0", "Apache License, Version 2.0"],
-    "apache-2-use": ["you may not use this file except in compliance with the License"],
-    "apache-2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "gpl-3-name": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "Licensed under the GPL version 3", "Licensed under the GPLv3", "GNU General Public License version 3"],
-    "gpl-2-name": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2", "Licensed under the GPL version 2", "Licensed under the GPLv2"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-free-2": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "lgpl-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "gpl-see": ["See the GNU General Public License for more details"],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "as-is": ["THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
-    "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "cc-by-name": ["Licensed under CC BY 4.0", "Released under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa-name": ["Licensed under CC BY-SA 4.0", "Released under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-nc-name": ["Licensed under CC BY-NC 4.0", "Released under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc0-name": ["Licensed under CC0 1.0", "Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright to this work"],
-    "mpl-2-name": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0"],
-    "public-domain": ["This work is in the public domain", "Released into the public domain"],
-    "reserved": ["All rights reserved"],
-    "copyright": ["Copyright"],
-}
-
-# Rules in order of priority.
-RULES = [
-    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    ("Apache-2.0", ["apache-2-name", "apache-2-use", "apache-2-copy"]),
-    ("MIT", ["mit-name", "mit-grant", "mit-notice", "as-is"]),
-    ("MIT", ["mit-grant", "mit-notice", "as-is"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see"]),
-    ("GPL-2.0-or-later", ["gpl-free-2", "gpl-warranty", "gpl-see"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
-    ("GPL-2.0-or-later", ["gpl-free-2"]),
-    ("LGPL-2.1-or-later", ["lgpl-free"]),
-    ("MIT", ["mit-grant"]),
-    ("Apache-2.0", ["apache-2-name"]),
-    ("MIT", ["mit-name"]),
-    ("GPL-3.0", ["gpl-3-name"]),
-    ("GPL-2.0", ["gpl-2-name"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-name"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-name"]),
-    ("CC-BY-4.0", ["cc-by-name"]),
-    ("CC0-1.0", ["cc0-name"]),
-    ("MPL-2.0", ["mpl-2-name"]),
-    ("public-domain", ["public-domain"]),
-    ("MIT", ["spdx-mit"]),
-    ("Apache-2.0", ["spdx-apache-2"]),
-    ("BSD-3-Clause", ["spdx-bsd-3"]),
-    ("GPL-3.0", ["spdx-gpl-3"]),
-    ("GPL-2.0", ["spdx-gpl-2"]),
-    ("all-rights-reserved", ["copyright", "reserved"]),
-]
-#: Every known sentence holds one of these (held in the tests): texts without them have no licence sentence.
-MARKS = ("licen", "copyright", "permission", "redistribut", "warrant", "apache", "gpl", "public domain", "cc by", "cc0", "rights reserved", "without restriction", "merchantab")
-#: Identifiers that alone are no sign of a licence.
-SILENT = {"copyright", "reserved", "as-is", "gpl-warranty", "gpl-see", "mit-notice"}
+from . import common, licence_table
 
-_MARK = re.compile("|".join(MARKS), re.IGNORECASE)
+SENTENCES, RULES, _SPDX = licence_table.build()
+SILENT = licence_table.SILENT | {name for name in SENTENCES if name.endswith("-short")}
+#: Every known sentence holds one of these (held in the tests): texts without them have no licence sentence.
+MARKS = ("licen", "licens", "copyright", "permission", "redistribut", "warrant", "apache", "gpl", "public domain", "cc by", "cc0", "rights reserved", "without restriction", "merchantab", "compliance", "anyone is free", "spdx", " under ", "mpl", "creative commons", "attribution", "illinois", "bsd")
+_MARK = re.compile("|".join(MARKS) + r"|\(c\)|©", re.IGNORECASE)
 _END = re.compile(r"[.!?;:](?=\s|$)|\n[^\S\n]*\n")
 _LINE = re.compile(r"\n|[.!?;](?=\s|$)")
-_COPYRIGHT = re.compile(r"\W*(?:copyright\b|\(c\)).*?(?P<rest>all rights reserved)?\W*$", re.IGNORECASE | re.DOTALL)
-_WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+_COPYRIGHT = re.compile(r"\W{0,20}(?:copyright\b|\(c\)|©)", re.IGNORECASE)
+_TAG = re.compile(r"SPDX-License-Identifier:[^\S\n]*([^\n*#;]*[^\s*#;/\-])", re.IGNORECASE)
+_WORD = re.compile(r"\w+(?:[.\-]\w+)*\+?")
+_SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "https": "http"}
 
 
 def normalise(sentence: str) -> str:
-    return " ".join(_WORD.findall(sentence.lower()))
+    return " ".join(_SAME.get(w, w) for w in _WORD.findall(sentence.lower()))
 
 
 KNOWN = {normalise(s): name for name, forms in SENTENCES.items() for s in forms}
 #: Beginnings of known sentences by whole words, and their first words: the splitters cut inside of some sentences.
 _BEGUN = {" ".join(w[:n]) for w in map(str.split, KNOWN) for n in range(1, len(w) + 1)}
 _FIRST = {k.split()[0] for k in KNOWN}
-_LONGEST = max(map(len, KNOWN)) * 3
 
 
 def sentences(text: str, end: re.Pattern) -> list[tuple[int, str]]:
@@ -120,7 +58,7 @@ def sentences(text: str, end: re.Pattern) -> list[tuple[int, str]]:
 def _known(parts: list[tuple[int, str]], i: int) -> tuple[str | None, int]:
     """The longest known sentence that the parts from ``i`` on make up together, and the part after it."""
     first = _WORD.search(parts[i][1])
-    if not first or first[0].lower() not in _FIRST:
+    if not first or _SAME.get(first[0].lower(), first[0].lower()) not in _FIRST:
         return None, i + 1
     name, after, words = None, i + 1, ""
     for j in range(i, len(parts)):
@@ -132,22 +70,33 @@ def _known(parts: list[tuple[int, str]], i: int) -> tuple[str | None, int]:
     return name, after
 
 
+def tagged(text: str):
+    """(place, identifier) of each licence named by an SPDX tag; one that isn't known is ``spdx-other``."""
+    for m in _TAG.finditer(text):
+        for w in _WORD.finditer(m[1]):
+            if w[0].upper() in ("OR", "AND"):
+                continue
+            if w[0].upper() == "WITH" or m[1][: w.start()].rstrip().upper().endswith(" WITH"):
+                continue  # an exception
+            yield m.start(1) + w.start(), _SPDX.get(w[0].lower(), "spdx-other")
+
+
 def identifiers(text: str | None) -> list[str]:
     """Known sentences in order of place."""
     if not text or not _MARK.search(text):
         return []
-    found: dict[int, str] = {}
+    found: dict[int, str] = dict(tagged(text))
     for end in (_END, _LINE):
         parts, i = sentences(text, end), 0
         while i < len(parts):
             at, s = parts[i]
             place = at + len(s) - len(s.lstrip())
             name, i = _known(parts, i)
-            if name is None and len(s) <= _LONGEST and _MARK.search(s) and (m := _COPYRIGHT.match(s)):
+            if name is None and _COPYRIGHT.match(s):
                 name = "copyright"
-                if m["rest"]:
-                    found.setdefault(place + len(s), "reserved")
-            if name:
+                if normalise(s[-40:]).endswith("all rights reserved"):
+                    found.setdefault(at + len(s), "reserved")
+            if name and not name.startswith("spdx-"):
                 found.setdefault(place, name)
     return [found[k] for k in sorted(found)]
 

@@ -121,7 +121,7 @@ def test_embeddings_against_all_pairs(spark):
         rows.append((i, v.tolist()))
     rows += [(700, None), (701, [0.0] * 32), (702, [float("nan")] * 32), (703, [1.0, None]), (704, []), (705, [1.0, 2.0]), (706, [2.0, 4.0]), (707, [float("inf")] * 32)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block=64).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, block_bytes=64 * 32 * 8).collect()}
     check_vectors(rows, got)
 
 
@@ -143,6 +143,25 @@ def test_recall_over_many_cells(spark, monkeypatch):
     assert 0.95 * want <= got <= want
 
 
+def test_vectors_repeated_ids_no_ids_and_clashing_columns(spark):
+    near = [1.0, 0.0, 0.1]
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (3, near), (None, near), (None, [0.0, 1.0, 0.0]), (9, [0.0, 0.0, -1.0]), (9, [0.0, 0.0, -2.0]), (None, None), (4, [-0.0, 0.0, -1.0])]
+    names = ("id", "n", "raw", "digest", "own", "probes", "cell", "k", "kept", "n_links")
+    df = spark.createDataFrame([(*r, *["own"] * len(names)) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"`{c}` string" for c in names))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
+    want = [(5, 3, 3, False), (5, 3, 3, False), (3, 3, 3, True), (None, 3, 3, True), (None, 0, None, True), (9, 2, 4, False), (9, 2, 4, False), (None, 0, None, True), (4, 2, 4, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_floats_are_compared_in_double_precision(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[200:] = x[:200] + rng.normal(size=(200, 16)).astype(np.float32) * np.float32(0.45)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    check_vectors(rows, {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()})
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

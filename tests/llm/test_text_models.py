@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from conftest import SF, SF_MID
 from fixtures import edge, empty
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logmill.llm import common, decontamination, language_mixture, licences, queries, toxicity
-from conftest import SF_MID
 
 
 def test_language_on_held_out_documents(spark):
@@ -118,7 +120,7 @@ def test_licences_edge_rows(spark):
 def test_tiling_takes_longest_first_and_reordered_passages():
     item = decontamination.word_hashes(" ".join(f"i{n}" for n in range(30)))
     text = " ".join([*(f"i{n}" for n in range(20, 30)), "x", *(f"i{n}" for n in range(8)), "y", *(f"i{n}" for n in range(5, 20))])
-    block = decontamination.Items.of([(1, " ".join(f"i{n}" for n in range(30)))], 5)
+    block = decontamination.Items.of([(1, item)], 5, 0.5)
     assert [(k, n) for k, _, n in block.matches(text, 0.9, 5)] == [(1, 3)]
     doc = decontamination.word_hashes(text)
     seeds = [(p, q) for p in range(len(doc) - 4) for q in range(len(item) - 4) if (doc[p : p + 5] == item[q : q + 5]).all()]
@@ -160,6 +162,60 @@ def test_tiling_against_brute_force(seed):
     assert sum(t[2] for t in decontamination.tile(a, b, seeds, 3, 3)) == brute(doc, item, 3)
 
 
+def every_pair(docs, items, coverage=decontamination.COVERAGE, least=decontamination.MIN_MATCH):
+    """Each document against each item, with all their common seeds."""
+    words = {k: decontamination.word_hashes(t) for k, t in items}
+    out = set()
+    for d, text in docs:
+        doc = decontamination.word_hashes(text)
+        for k, w in words.items():
+            if not len(w):
+                continue
+            n = min(least, len(w))
+            at = {}
+            for p in range(len(doc) - n + 1):
+                at.setdefault(doc[p : p + n].tobytes(), []).append(p)
+            seeds = [(p, q) for q in range(len(w) - n + 1) for p in at.get(w[q : q + n].tobytes(), ())]
+            tiles = decontamination.tile(doc, w, seeds, n, least)
+            if tiles and sum(t[2] for t in tiles) / len(w) >= coverage:
+                out.add((d, k, round(sum(t[2] for t in tiles) / len(w), 9), len(tiles)))
+    return out
+
+
+def test_the_query_against_every_pair(spark):
+    got = {(r.doc_id, r.item_id, round(r.coverage, 9), r.tiles) for r in queries.queries()["op2_greedy_tiling"](spark, SF).collect()}
+    docs = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").collect()]
+    assert got == every_pair(docs, [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]) and got
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=14), min_size=1, max_size=6), st.lists(st.sampled_from("abcdef"), max_size=40), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
+def test_shared_seeds_lose_no_item(items, doc, coverage):
+    # a common stem makes many windows shared
+    items = [(i, " ".join(["s1 s2 s3 s4 s5"] * (i % 3 > 0) + x)) for i, x in enumerate(items)]
+    block = decontamination.Items.of([(k, decontamination.word_hashes(t)) for k, t in items], 3, coverage)
+    for text in (" ".join(doc), "s1 s2 s3 s4 s5 " + " ".join(doc)):
+        got = {(0, k, round(share, 9), n) for k, share, n in block.matches(text, coverage, 3)}
+        assert got == every_pair([(0, text)], items, coverage, 3)
+
+
+def test_a_stem_that_all_items_share_costs_nothing():
+    import time
+
+    stem = " ".join(f"stem{i}" for i in range(10))
+    text = " ".join([*(f"x{i}" for i in range(95)), stem, *(f"y{i}" for i in range(95))])
+    took = {}
+    for n in (500, 8000):
+        items = [(i, f"{stem} " + " ".join(f"own{i}x{j}" for j in range(20))) for i in range(n)]
+        block = decontamination.Items.of([(k, decontamination.word_hashes(t)) for k, t in items], 5, 0.5)
+        began = time.process_time()
+        for _ in range(20):
+            assert block.matches(text, 0.5, 5) == []
+        took[n] = time.process_time() - began
+        assert [k for k, _, _ in block.matches(text + " " + items[7][1], 0.5, 5)] == [7]
+    assert took[8000] < 3 * took[500] + 0.05
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, items = common.table(spark, SF_MID, "documents"), common.table(spark, SF_MID, "benchmark")
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op2_greedy_tiling"](spark, SF_MID).collect()}
