@@ -92,11 +92,21 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
+def _finite(number: str) -> float:
+    if abs(value := float(number)) == float("inf"):
+        raise ValueError(number)
+    return value
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
 def json_scalars(text: str | None) -> dict[str, str] | None:
-    """Top-level scalars of that object in order of the key; None if it is no object."""
+    """Top-level scalars of that object in order of the key; None if it is no object, or has a number that JSON can't."""
     part = first_object(text)
     try:
-        found = json.loads(part) if part else None
+        found = json.loads(part, parse_float=_finite, parse_constant=_no_constant) if part else None
     except ValueError:
         return None
     if not isinstance(found, dict):

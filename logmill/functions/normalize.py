@@ -40,19 +40,26 @@ def _flag(pattern: str, unicode: bool) -> str:
     return f"(?U){pattern}" if unicode else pattern
 
 
+def _by_text(text: Column, unicode: bool | None, use) -> Column:
+    """``use(unicode)``; where it is None, the Unicode form for texts that aren't ASCII and the faster one, which gives the same, for others."""
+    if unicode is not None:
+        return use(unicode)
+    return F.when(F.octet_length(text) == F.length(text), use(False)).otherwise(use(True))
+
+
 def raw_message(journal: Column, file: Column) -> Column:
     """The journal's text, else the file's, else empty."""
     return F.coalesce(journal, file, F.lit(""))
 
 
-def strip_prefix(text: Column, unicode: bool = False) -> Column:
+def strip_prefix(text: Column, unicode: bool | None = None) -> Column:
     """Without the syslog header, of either kind, once."""
-    return F.regexp_replace(text, _flag(f"^(?:{HEADER_BSD}{TAG}|{HEADER_ISO}{TAG})", unicode), "")
+    return _by_text(text, unicode, lambda u: F.regexp_replace(text, _flag(f"^(?:{HEADER_BSD}{TAG}|{HEADER_ISO}{TAG})", u), ""))
 
 
-def syslog_program(text: Column, unicode: bool = False) -> Column:
+def syslog_program(text: Column, unicode: bool | None = None) -> Column:
     """The program of the header, null without one."""
-    return F.nullif(F.regexp_extract(text, _flag(f"^(?:{HEADER_BSD}|{HEADER_ISO}){PROGRAM_TAG}", unicode), 1), F.lit(""))
+    return F.nullif(_by_text(text, unicode, lambda u: F.regexp_extract(text, _flag(f"^(?:{HEADER_BSD}|{HEADER_ISO}){PROGRAM_TAG}", u), 1)), F.lit(""))
 
 
 def mask(text: Column, name: str, unicode: bool = False) -> Column:
@@ -93,7 +100,7 @@ def _needed(name: str, text: Column, low: Column) -> Column | None:
     return reduce(or_, needs) if needs else None
 
 
-def normalize(text: Column, unicode: bool = False) -> Column:
+def normalize(text: Column, unicode: bool | None = None) -> Column:
     """All masks in order, each only if it matches the text as it came.
 
     The text, its lower case and the state between masks run through one-element arrays, so that each is computed once,
@@ -101,6 +108,9 @@ def normalize(text: Column, unicode: bool = False) -> Column:
     """
 
     def all_masks(t: Column) -> Column:
+        return _by_text(t, unicode, lambda u: masked(t, u))
+
+    def masked(t: Column, unicode: bool) -> Column:
         def with_low(low: Column) -> Column:
             state = F.array(t)
             for name, pattern, put in MASKS:

@@ -96,11 +96,6 @@ def journal_limit(most_bytes: int) -> int:
     return min(max(most_bytes // 80, 1_000), 300_000)
 
 
-def priority_names() -> dict[str, int]:
-    """M2's companion for alerts: OTLP severity numbers."""
-    return {"critical": 21, "error": 17, "warn": 13, "info": 9}
-
-
 class TokenBucket:
     """M2: ``limit`` calls an hour; ``take(now)`` gives 0 or the seconds to wait."""
 

@@ -41,5 +41,6 @@ def finalize(initial: Column, raw: Column) -> Column:
     return once(F.lower(raw), raised)
 
 
-def rank(severity: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), severity), F.lit(4)) * -1
+def merged(severities: Column, first: Column) -> Column:
+    """A3: of lines that are merged the first one's severity stands, unless one of them is critical."""
+    return F.when(F.max(severities == "critical"), "critical").otherwise(first)

@@ -7,11 +7,12 @@ from collections import OrderedDict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logmill.functions import classify, extract, normalize, severity
 
 
-def templates(lines: DataFrame, raw: str = "raw", unicode: bool = False) -> DataFrame:
+def templates(lines: DataFrame, raw: str = "raw", unicode: bool | None = None) -> DataFrame:
     """Add program, template and severity; empty messages are dropped.
 
     Severity reads the raw line, the template the stripped one.
@@ -23,13 +24,13 @@ def templates(lines: DataFrame, raw: str = "raw", unicode: bool = False) -> Data
     return read.withColumns({"template": normalize.normalize(message, unicode), "severity": severity.finalize(initial, r)}).drop("_message")
 
 
-def category_of(raw: Column, rules: list[classify.Rule] | None = None, unicode: bool = False) -> Column:
+def category_of(raw: Column, rules: list[classify.Rule] | None = None, unicode: bool | None = None) -> Column:
     """Category of a line with its header."""
     logger = F.regexp_extract(normalize.strip_prefix(raw, unicode), r"\blogger=(\S+)", 1) if any(x.logger for x in rules or classify.RULES) else None
     return classify.categorize(raw, normalize.syslog_program(raw, unicode), logger, rules)
 
 
-def patterns(lines: DataFrame, raw: str = "raw", unicode: bool = False, rules: list[classify.Rule] | None = None) -> DataFrame:
+def patterns(lines: DataFrame, raw: str = "raw", unicode: bool | None = None, rules: list[classify.Rule] | None = None) -> DataFrame:
     """``templates`` with the category of every line."""
     return templates(lines, raw, unicode).withColumn("category", category_of(F.col(raw), rules, unicode))
 
@@ -67,6 +68,9 @@ def dedup(events: DataFrame, keys: list[str], gap_s: int = 30, samples: int = 3,
     group = [*keys, *(["cycle"] if cycle_s else []), "session"]
     ranked = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(ts, order)))
     first = [F.min_by(c, F.struct(ts, order)).alias(c) for c in carry if c not in group]
+    if "severity" in carry and "severity" not in group:  # A3: reached where severity is no key
+        first = [c for c, name in zip(first, [c for c in carry if c not in group], strict=True) if name != "severity"]
+        first.append(severity.merged(F.col("severity"), F.min_by("severity", F.struct(ts, order))).alias("severity"))
     sample = F.collect_list(F.when(F.col("_n") <= samples, F.struct(F.col("_n").alias("n"), F.col("raw").alias("raw"))))
     return ranked.groupBy(*group).agg(F.count("*").alias("count"), F.min(ts).alias("ts_first"), F.max(ts).alias("ts_last"), F.min_by("raw", F.struct(ts, order)).alias("first_raw"), *first, F.transform(F.array_sort(sample), lambda x: x["raw"]).alias("sample_raws"))
 
@@ -104,7 +108,7 @@ def fold_cap(severities: list[str], most: int) -> list[tuple[int, str]]:
 
 def cycle_cap(events: DataFrame, keys: list[str], most: int, order: str = "event_id") -> DataFrame:
     """L-6 for each cycle: add ``outcome``.  Where no cycle has more than ``most`` events all are kept without Python."""
-    schema = events.schema.add("outcome", "string")
+    schema = T.StructType([*events.schema.fields, T.StructField("outcome", T.StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -114,3 +118,9 @@ def cycle_cap(events: DataFrame, keys: list[str], most: int, order: str = "event
     small = sized.where(F.col("_n") <= most).drop("_n").withColumn("outcome", F.lit("kept"))
     large = sized.where(F.col("_n") > most).drop("_n").groupBy(*keys).applyInPandas(run, schema)
     return small.unionByName(large)
+
+
+def cap_counters(events: DataFrame, keys: list[str], most: int, order: str = "event_id") -> DataFrame:
+    """L-6: how many events of each cycle were kept, evicted and skipped."""
+    told = cycle_cap(events, keys, most, order)
+    return told.groupBy(*keys).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("kept", "evicted", "skipped")))

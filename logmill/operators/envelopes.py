@@ -24,16 +24,6 @@ def by_category(df: DataFrame, keys: list[str], weight: str = "count") -> DataFr
     return df.groupBy(*keys, "category").agg(F.sum(weight).alias("n"))
 
 
-def envelopes(events: DataFrame, host: str = "host", cycle: str = "cycle") -> DataFrame:
-    """One row for each host and cycle, with counts and events; ``seq`` counts a host's cycles."""
-    counts = by_severity(events, [host, cycle])
-    categories = by_category(events, [host, cycle]).groupBy(host, cycle).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("category").alias("key"), F.col("n").alias("value"))))).alias("by_category"))
-    data = F.struct("ts_first", "template", "severity", "category", "source", "ts_last", "count", "sample_raws")
-    body = events.groupBy(host, cycle).agg(F.array_sort(F.collect_list(data)).alias("data"), F.count("*").alias("n_events"))
-    seq = F.row_number().over(Window.partitionBy(host).orderBy(cycle)).cast("long")
-    return body.join(counts, [host, cycle]).join(categories, [host, cycle]).withColumn("seq", seq).withColumn("total_sections", F.lit(1).cast("long"))
-
-
 def idempotent(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first of each key."""
     return records.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
@@ -55,14 +45,7 @@ def logs(events: DataFrame, limit: int = 100, **equal) -> tuple[DataFrame, DataF
 def hosts(records: DataFrame) -> DataFrame:
     """A7, L-4: one row for each host; both the last and the largest sequence number."""
     sums = [F.sum(s).alias(s) for s in LEVELS]
-    return records.groupBy("host").agg(F.count("*").alias("envelopes"), F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), *sums, F.max_by("seq", F.struct("received_at", "seq")).alias("last_seq"), F.max("seq").alias("max_seq"))
-
-
-def compare(events: DataFrame, key: Column) -> DataFrame:
-    """One pattern over hosts, with the total and how many hosts have it."""
-    by_host = events.where(key).groupBy("host").agg(F.sum("count").alias("n"), F.countDistinct("cycle").alias("cycles_seen"), F.min("ts_first").alias("ts_first"), F.max("ts_last").alias("ts_last"))
-    total = by_host.agg(F.sum("n").alias("total_count"), F.count("*").alias("affected_hosts"))
-    return by_host.crossJoin(F.broadcast(total))  # one row: the sums
+    return records.groupBy("host").agg(F.count("*").alias("envelopes"), F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), *sums, F.max_by("seq", F.struct("received_at", "seq")).alias("last_seq"), F.max("seq").alias("max_seq")).orderBy(F.desc("last_seen"), "host")
 
 
 def seq_gaps(records: DataFrame, host: str = "host", seq: str = "seq") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logmill.functions import extract, normalize, scalars, severity
 from logmill.operators import dedup as d
 from logmill.operators import envelopes as v
+from logmill.operators import wire
 from logmill.plans import oracle
 from logmill.sources import readers, synth
 
@@ -54,6 +55,29 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("*", seq.alias("seq"), at.alias("received_at"), F.concat(F.lit("boot"), F.floor(F.col("cycle") / 700).cast("string")).alias("boot_id"))
 
 
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    """(host, cycle, envelope) of all cycles."""
+    boot = F.concat(F.lit("boot"), F.floor(F.col("cycle") / 700).cast("string"))
+    return wire.log_batches(d.with_fields(groups(spark, sf, cycle=v.CYCLE_S)), host_id=F.md5("host"), boot_id=boot)
+
+
+def received(spark: SparkSession, sf: str) -> DataFrame:
+    """What a receiver holds: the envelopes of ``batches``, written as JSON and read again."""
+    at = F.timestamp_seconds((F.col("cycle") + 1) * v.CYCLE_S).cast("timestamp_ntz")
+    sent = batches(spark, sf).select("cycle", at.alias("received_at"), wire.to_json(F.col("envelope")).alias("json"))
+    return sent.select("cycle", "received_at", wire.from_json(F.col("json")).alias("envelope"))
+
+
+def posted(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON texts of three kinds of envelope, one for each event; some lack a cycle or sections."""
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in wire.KINDS], F.lit("other")), (n % 4 + 1).cast("int"))
+    body = F.when(n % 5 == 0, "[]").when(n % 2 == 0, '[{"section":"logs","data":[]}]').otherwise('[{"section":"metrics","data":{"cpu":1}},{"section":"network","data":null}]')
+    cycle = F.when(n % 7 == 0, "null").otherwise(F.concat(F.lit('{"host_id":"h'), (n % 50).cast("string"), F.lit('","seq":'), n.cast("string"), F.lit("}")))
+    text = F.concat(F.lit('{"event_kind":"'), kind, F.lit('","cycle":'), cycle, F.lit(',"body":'), body, F.lit("}"))
+    return events(spark, sf).select("event_id", F.col("ts").alias("received_at"), wire.from_json(text).alias("envelope"))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("event_id")
     state = F.when(n % 3 == 0, "sent").when(n % 17 == 5, "failed").otherwise("queued")
@@ -75,7 +99,7 @@ for _name, _, _ in normalize.MASKS:
 
 
 def _normalized(df: DataFrame, key: str, text: str) -> DataFrame:
-    return readers.spread(df.select(key, text)).select(key, normalize.normalize(F.col(text)).alias("t")).select(key, F.md5("t").alias("template_md5"), F.length("t").cast("long").alias("template_chars"))
+    return readers.spread(df.select(key, text)).select(key, normalize.normalize(F.col(text), unicode=False).alias("t")).select(key, F.md5("t").alias("template_md5"), F.length("t").cast("long").alias("template_chars"))
 
 
 @query
@@ -154,7 +178,7 @@ def fields_logfmt(spark, sf):
 
 @query
 def fields_json_props(spark, sf):
-    return events(spark, sf).select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+    return events(spark, sf).select("event_id", F.element_at(extract.json_fields(F.col("props")), "k").cast("bigint").alias("k"))
 
 
 @query
@@ -206,7 +230,29 @@ def severity_category_rollup(spark, sf):
 
 @query
 def envelope_counts_json(spark, sf):
-    return v.envelopes(groups(spark, sf, cycle=v.CYCLE_S)).select("host", "cycle", F.to_json("by_category").alias("by_category"))
+    return batches(spark, sf).select("host", "cycle", F.to_json("envelope.headers.counts.by_category").alias("by_category"))
+
+
+@query
+def envelope_headers(spark, sf):
+    """Cycle and headers of each envelope, after a round trip through JSON."""
+    e = F.col("envelope")
+    severities = [e["headers"]["counts"]["by_severity"][k].alias(k) for k in wire.SEVERITIES]
+    return received(spark, sf).select(e["event_kind"].alias("event_kind"), e["cycle"]["host"].alias("host"), e["cycle"]["host_id"].alias("host_id"), e["cycle"]["boot_id"].alias("boot_id"), e["cycle"]["ts"].alias("ts"), e["cycle"]["window"].alias("window"), e["cycle"]["seq"].alias("seq"), e["headers"]["total_sections"].alias("total_sections"), e["headers"]["duration_ms"].alias("duration_ms"), *severities)
+
+
+@query
+def envelope_events(spark, sf):
+    """The events in the envelopes' sections."""
+    found = wire.events_of(received(spark, sf))
+    user = F.get_json_object(F.concat(F.lit('{"v":'), F.col("fields")["user"], F.lit("}")), "$.v")
+    return found.select("host", "seq", "section", "template", "severity", "source", "category", F.col("count").alias("n"), "ts_first", "ts_last", F.array_join("sample_raws", "\n").alias("samples"), F.coalesce(user, F.col("fields")["user"]).alias("user_name"))
+
+
+@query
+def recv_failed_users(spark, sf):
+    """F8."""
+    return wire.failed_users(wire.events_of(received(spark, sf))).groupBy(F.col("user").alias("user_name")).agg(F.sum("count").alias("n"))
 
 
 @query
@@ -220,9 +266,23 @@ def recv_hosts(spark, sf):
     return v.hosts(records(spark, sf))
 
 
+#: The fingerprint of a template of critical lines in file.syslog; the SQL names the three themselves.
+OOM = "5baade1cb3c50e8d"
+OOM_PATTERN = "template = 'Memory cgroup out of memory: Killed process <NUM> inside tundra' AND severity = 'critical' AND source = 'file.syslog'"
+
+
 @query
 def recv_compare_fp(spark, sf):
-    return v.compare(groups(spark, sf, cycle=v.CYCLE_S), F.col("category") == "kernel.bug")
+    found = wire.compare(wire.events_of(received(spark, sf)), OOM)
+    return found.withColumn("sample_raws", F.array_join("sample_raws", "\n"))
+
+
+@query
+def gold_uid_match(spark, sf):
+    """Labels for the sessions of one pattern, found by host, fingerprint and time."""
+    own = groups(spark, sf, cycle=v.CYCLE_S).where(OOM_PATTERN)
+    gold = own.select(F.concat_ws("|", "host", F.lit(OOM), scalars.rfc3339(F.col("ts_first").cast("timestamp"))).alias("uid"), F.col("event_id").alias("label"))
+    return wire.gold_matches(wire.events_of(received(spark, sf)), gold).select("host", "ts_first", "label", F.col("count").alias("n"))
 
 
 @query
@@ -234,7 +294,15 @@ def recv_idempotent(spark, sf):
 
 @query
 def recv_analyze(spark, sf):
-    return events(spark, sf).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("received"), F.max("ts").alias("latest"))
+    found = wire.analyze(posted(spark, sf))
+    return found.withColumn("section_names", F.array_join("section_names", ","))
+
+
+@query
+def bind_by_host_id(spark, sf):
+    """The last envelope of each kind for each host_id."""
+    found = wire.bound_by_host(posted(spark, sf))
+    return found.select("host_id", *(F.col(k)["cycle"]["seq"].alias(f"{k}_seq") for k in wire.KINDS))
 
 
 @query
@@ -260,6 +328,11 @@ def alert_rules(spark, sf):
 
 @query
 def error_surge(spark, sf):
+    return v.surges(records(spark, sf)).select("host", "cycle", "error", "before")
+
+
+@query
+def error_surge_x2(spark, sf):
     return v.surges(records(spark, sf), factor=2).select("host", "cycle", "error", "before")
 
 
@@ -347,13 +420,34 @@ def playbook_join(spark, sf):
 def incident_window(spark, sf):
     """A range join by host and half-hour bucket; each line goes to its own bucket, each incident to those it reaches."""
     bucket, reach = 1800, 1800
-    own = lines(spark, sf).select("host", "ts", "event_id")
+    own = lines(spark, sf).select("host", "ts", "event_id", severity.any_of(severity.CRITICAL, F.lower("raw")).alias("critical"))
     sec = F.floor(d.micros(F.col("ts")) / 1_000_000)
-    hot = own.where("event_id % 97 = 0").select(F.col("event_id").alias("incident"), "host", F.col("ts").alias("at"), F.explode(F.sequence(F.floor((sec - reach) / bucket), F.floor((sec + reach) / bucket))).alias("b"))
+    hot = own.where("critical").select(F.col("event_id").alias("incident"), "host", F.col("ts").alias("at"), F.explode(F.sequence(F.floor((sec - reach) / bucket), F.floor((sec + reach) / bucket))).alias("b"))
     near = own.withColumn("b", F.floor(sec / bucket)).join(hot, ["host", "b"]).where(F.abs(d.micros(F.col("ts")) - d.micros(F.col("at"))) <= reach * 1_000_000)
     return near.groupBy("incident").agg(F.count("*").alias("near"))
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in files by source, every third one in a rotated file."""
+    n = F.col("event_id")
+    path = F.when(F.col("source") == "file.auth", "/var/log/auth.log").otherwise("/var/log/syslog")
+    return lines(spark, sf).select("raw", F.when(F.col("source") == "file.auth", "file.auth").otherwise("file.syslog").alias("source"), F.concat(path, F.when(n % 3 == 0, ".1").otherwise("")).alias("file"), n.alias("line_no"))
+
+
+@query
+def recent_events_sos(spark, sf):
+    """S11, L-1: lines of the journal have no time and are dropped."""
+    found = readers.recent_events(_files(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp"), hours=480)
+    return found.select("template", "severity", "source", "category", F.col("count").alias("n"), F.col("ts_first").cast("timestamp_ntz").alias("ts_first"))
+
+
+@query
+def raw_scan_bytes(spark, sf):
+    """S12, F5, L-5: the range that was asked for is held to a day."""
+    found = readers.raw_scan(_files(spark, sf), F.lit("2024-01-06 00:00:00").cast("timestamp"), since_s=10**6, until_s=3600, most_bytes=60_000)
+    return found.select("source", "file", "line_no", "used_bytes", "truncated")
+
+
 @query
 def sample_delta_rate(spark, sf):
     w = Window.partitionBy("host", "dev").orderBy("ts", "event_id")
@@ -394,7 +488,7 @@ def dedup_ratio(spark, sf):
 
 
 @query
-def set_union_intersect(spark, sf):
+def set_intersect(spark, sf):
     own = events(spark, sf)
     return own.where("event_type = 'click'").select("user_id").intersect(own.where("event_type = 'view'").select("user_id"))
 
@@ -407,14 +501,14 @@ def rfc3339_window(spark, sf):
 
 
 @query
-def crash_rate_1h(spark, sf):
+def crash_rate_6h(spark, sf):
     crashes = lines(spark, sf).where(F.contains("raw", F.lit("segfault at"))).select("host", "ts", "event_id")
     return v.crash_rate(crashes, seconds=6 * 3600)
 
 
 @query
 def size_guard(spark, sf):
-    body = v.envelopes(groups(spark, sf, cycle=v.CYCLE_S)).select("host", "cycle", F.to_json("by_category").alias("document"))
+    body = batches(spark, sf).select("host", "cycle", F.to_json("envelope.headers.counts.by_category").alias("document"))
     return body.select("host", "cycle", v.too_large(F.col("document"), 60).alias("too_large"))
 
 

@@ -111,6 +111,12 @@ STARTS = q(r"^(?:<\d{1,3}>\d?\s+)?(?:\d{4}-\d{2}-\d{2}T|[A-Za-z]{3}\s+\d{1,2}\s)
 CROCK = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 _ULID = " || ".join(f"substr('{CROCK}', (((epoch_us(ts) // 1000) >> {45 - 5 * i}) & 31)::INT + 1, 1)" for i in range(10))
 
+STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
+BATCH = f"""{CYCLES}, numbers AS (SELECT host, cycle, row_number() OVER (PARTITION BY host ORDER BY cycle) - 1 AS seq FROM (SELECT DISTINCT host, cycle FROM groups)),
+batch AS (SELECT g.* EXCLUDE (ts_first, ts_last), {STAMP.format('g.ts_first')} AS ts_first, {STAMP.format('g.ts_last')} AS ts_last, least(g.n, 3) AS n_samples, numbers.seq FROM groups g JOIN numbers USING (host, cycle))"""
+OOM = "template = 'Memory cgroup out of memory: Killed process <NUM> inside tundra' AND severity = 'critical' AND source = 'file.syslog'"
+POSTED = "posted AS (SELECT event_id, ts, ['log_batch', 'stat_snapshot', 'sos_snapshot', 'other'][event_id % 4 + 1] AS kind, CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS b, CASE WHEN event_id % 7 <> 0 THEN 'h' || (event_id % 50)::VARCHAR END AS host_id FROM events)"
+
 ORACLES: dict[str, str] = {f"mask_{name}": f"WITH {LINES} SELECT event_id, regexp_replace(raw, {q(p)}, {q(m)}, 'g') AS masked FROM lines WHERE regexp_matches(raw, {q(p)})" for name, p, m in normalize.MASKS}
 ORACLES |= {
     "event_patterns": f"WITH {PATTERNS} SELECT template, severity, category, count(*) AS n FROM patterns GROUP BY ALL",
@@ -137,14 +143,24 @@ ORACLES |= {
     "severity_category_rollup": f"WITH {PATTERNS} SELECT coalesce(severity, '*') AS severity, coalesce(category, '*') AS category, count(*) AS n FROM patterns GROUP BY ROLLUP (severity, category)",
     "recv_logs_filter_limit": f"WITH {CYCLES} SELECT host, template, ts_first, event_id, n FROM groups WHERE severity = 'critical' AND category = 'kernel.oom' ORDER BY ts_first DESC, event_id LIMIT 100",
     "recv_hosts": f"WITH {RECORDS} SELECT host, count(*) AS envelopes, min(received_at) AS first_seen, max(received_at) AS last_seen, sum(critical)::BIGINT AS critical, sum(error)::BIGINT AS error, sum(warn)::BIGINT AS warn, sum(info)::BIGINT AS info, arg_max(seq, received_at) AS last_seq, max(seq) AS max_seq FROM records GROUP BY host",
-    "recv_compare_fp": f"WITH {CYCLES}, one AS (SELECT host, sum(n)::BIGINT AS n, count(DISTINCT cycle) AS cycles_seen, min(ts_first) AS ts_first, max(ts_last) AS ts_last FROM groups WHERE category = 'kernel.bug' GROUP BY host) SELECT one.*, sum(n) OVER ()::BIGINT AS total_count, count(*) OVER () AS affected_hosts FROM one",
+    "recv_compare_fp": f"""WITH {BATCH}, own AS (SELECT *, coalesce(sum(n_samples) OVER (PARTITION BY host ORDER BY cycle, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM batch WHERE {OOM}),
+one AS (SELECT host, sum(n)::BIGINT AS n, count(*) AS cycles_seen, min(ts_first) AS ts_first, max(ts_last) AS ts_last, 'critical' AS severity, 'container.oom' AS category, min(template) AS template, string_agg(samples, chr(10) ORDER BY cycle, event_id) FILTER (taken < 3) AS sample_raws FROM own GROUP BY host)
+SELECT one.*, sum(n) OVER ()::BIGINT AS total_count, count(*) OVER () AS affected_hosts FROM one""",
+    "gold_uid_match": f"WITH {BATCH} SELECT host, ts_first, event_id AS label, n FROM batch WHERE {OOM}",
+    "envelope_headers": f"WITH {RECORDS} SELECT 'log_batch' AS event_kind, host, md5(host) AS host_id, boot_id, {STAMP.format('make_timestamp(cycle * 1800000000)')} AS ts, {STAMP.format('make_timestamp(cycle * 1800000000)')} || '/' || {STAMP.format('make_timestamp((cycle + 1) * 1800000000)')} AS \"window\", seq - 1 AS seq, 1 AS total_sections, 1800000 AS duration_ms, critical, error, warn, info FROM records",
+    "envelope_events": f"WITH {BATCH}, s AS (SELECT *, regexp_replace(first_raw, {STRIP}, '') AS message FROM batch) SELECT host, seq, 'logs' AS section, template, severity, source, category, n, ts_first, ts_last, samples, {extracted('user')} AS user_name FROM s",
+    "recv_failed_users": f"WITH {BATCH}, s AS (SELECT *, regexp_replace(first_raw, {STRIP}, '') AS message FROM batch WHERE category = 'auth.failure') SELECT {extracted('user')} AS user_name, sum(n)::BIGINT AS n FROM s WHERE {extracted('user')} IS NOT NULL GROUP BY 1",
     "recv_idempotent": f"WITH {RECORDS}, twice AS (SELECT host, seq, received_at, 0 AS copy FROM records UNION ALL SELECT host, seq, received_at, 1 FROM records WHERE seq % 5 = 0) SELECT host, seq, received_at, copy FROM twice QUALIFY row_number() OVER (PARTITION BY host, seq ORDER BY received_at, copy) = 1",
-    "recv_analyze": "SELECT event_type AS kind, count(*) AS received, max(ts) AS latest FROM events GROUP BY 1",
+    "recv_analyze": f"WITH {POSTED} SELECT kind, count(*) AS received, max(ts) AS latest, CASE max(CASE WHEN b = 0 THEN 0 ELSE b END) WHEN 0 THEN '' ELSE concat_ws(',', CASE WHEN bool_or(b = 1) THEN 'logs' END, CASE WHEN bool_or(b = 2) THEN 'metrics,network' END) END AS section_names, CASE kind WHEN 'log_batch' THEN 'ingest' WHEN 'stat_snapshot' THEN 'stat' WHEN 'sos_snapshot' THEN 'sos' END AS store FROM posted GROUP BY kind",
+    "bind_by_host_id": f"WITH {POSTED} SELECT host_id, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'log_batch') AS log_batch_seq, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'stat_snapshot') AS stat_snapshot_seq, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'sos_snapshot') AS sos_snapshot_seq FROM posted GROUP BY host_id",
     "seen_anti_join": "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id = e.event_id AND s.event_id % 3 = 0)",
     "seq_gaps": f"WITH {RECORDS}, kept AS (SELECT host, seq FROM records WHERE seq % 9 <> 4), nexts AS (SELECT host, seq + 1 AS gap_from, lead(seq) OVER (PARTITION BY host ORDER BY seq) - 1 AS gap_to FROM kept) SELECT * FROM nexts WHERE gap_to >= gap_from",
     "host_silence_35m": f"WITH {RECORDS}, gaps AS (SELECT host, lag(received_at) OVER (PARTITION BY host ORDER BY received_at) AS silent_from, received_at AS silent_to FROM records) SELECT host, silent_from, silent_to, (epoch_us(silent_to) - epoch_us(silent_from)) / 60000000.0 AS minutes FROM gaps WHERE epoch_us(silent_to) - epoch_us(silent_from) > 35 * 60000000",
     "alert_rules": f"WITH {CYCLES}, a AS (SELECT host, cycle, category, n, CASE WHEN category IN ('kernel.panic', 'kernel.oom', 'container.oom', 'hw.mce', 'fs.readonly') THEN 'category' WHEN category = 'auth.bruteforce' OR n >= 10 THEN 'burst' END AS reason FROM groups) SELECT host, cycle, category, reason, count(*) AS events, sum(n)::BIGINT AS n FROM a WHERE reason IS NOT NULL GROUP BY ALL",
-    "error_surge": f"WITH {RECORDS}, b AS (SELECT host, cycle, error, lag(error) OVER (PARTITION BY host ORDER BY cycle) AS before FROM records) SELECT host, cycle, error, before FROM b WHERE before > 0 AND error >= 2 * before",
+    "error_surge": f"WITH {RECORDS}, b AS (SELECT host, cycle, error, lag(error) OVER (PARTITION BY host ORDER BY cycle) AS before FROM records) SELECT host, cycle, error, before FROM b WHERE before > 0 AND error >= 10 * before",
+    "error_surge_x2": f"WITH {RECORDS}, b AS (SELECT host, cycle, error, lag(error) OVER (PARTITION BY host ORDER BY cycle) AS before FROM records) SELECT host, cycle, error, before FROM b WHERE before > 0 AND error >= 2 * before",
+    "recent_events_sos": f"WITH {PATTERNS}, timed AS (SELECT event_id, raw, template, category, CASE WHEN source = 'file.auth' THEN 'file.auth' ELSE 'file.syslog' END AS source, CASE WHEN {contains_any(severity.CRITICAL)} THEN 'critical' WHEN {contains_any(severity.ERROR)} THEN 'error' ELSE 'info' END AS severity, date_trunc('second', ts) AS ts, CASE WHEN source = 'file.auth' THEN 'auth' ELSE 'sys' END || CASE WHEN event_id % 3 = 0 THEN '1' ELSE '' END AS f FROM patterns WHERE event_id % 7 <> 3), fresh AS (SELECT * FROM timed WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 480 HOUR AND ts <= TIMESTAMP '2024-01-21 00:00:00'), marked AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 14400000000 THEN 1 ELSE 0 END AS s FROM fresh WINDOW w AS (PARTITION BY template, severity, source ORDER BY ts, f, event_id)), placed AS (SELECT *, sum(s) OVER (PARTITION BY template, severity, source ORDER BY ts, f, event_id ROWS UNBOUNDED PRECEDING) AS session FROM marked) SELECT template, severity, source, arg_min(category, (ts, f, event_id)) AS category, count(*) AS n, min(ts) AS ts_first FROM placed GROUP BY template, severity, source, session ORDER BY ts_first DESC, source, template LIMIT 500",
+    "raw_scan_bytes": f"WITH {LINES}, timed AS (SELECT event_id, raw, CASE WHEN source = 'file.auth' THEN 'file.auth' ELSE 'file.syslog' END AS source, CASE WHEN source = 'file.auth' THEN '/var/log/auth.log' ELSE '/var/log/syslog' END AS base, event_id % 3 = 0 AS old, CASE WHEN event_id % 7 <> 3 THEN date_trunc('second', ts) END AS told FROM lines), kept AS (SELECT *, base || CASE WHEN old THEN '.1' ELSE '' END AS file FROM timed WHERE told IS NULL OR told BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-05 23:00:00'), sized AS (SELECT *, strlen(raw) + 1 + CASE WHEN row_number() OVER (PARTITION BY base ORDER BY old DESC, event_id) = 1 THEN strlen('==> ' || source || ' (' || base || ') <==') + 1 ELSE 0 END AS b FROM kept), run AS (SELECT source, file, event_id AS line_no, sum(b) OVER (ORDER BY source DESC, old DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used_bytes, sum(b) OVER () > 60000 AS truncated FROM sized) SELECT * FROM run WHERE used_bytes <= 60000",
     "boot_changes": f"WITH {RECORDS}, b AS (SELECT host, seq, boot_id, lag(boot_id) OVER (PARTITION BY host ORDER BY received_at) AS boot_before FROM records) SELECT * FROM b WHERE boot_before <> boot_id",
     "restart_loop_having": f"WITH {LINES}, {STRIPPED}, u AS (SELECT host, {extracted('unit')} AS unit FROM stripped) SELECT host, unit, count(*) AS n FROM u WHERE unit IS NOT NULL GROUP BY ALL HAVING count(*) >= 3",
     "raw_byte_budget": f"WITH {LINES}, b AS (SELECT host, event_id, sum(strlen(raw) + 1) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used_bytes FROM lines) SELECT * FROM b WHERE used_bytes <= 20000",
@@ -158,17 +174,17 @@ ORACLES |= {
     "topk_by_size": f"WITH {LEDGER}, r AS (SELECT host, name, bytes, row_number() OVER (PARTITION BY host ORDER BY bytes DESC, name) AS rank FROM ledger) SELECT * FROM r WHERE rank <= 20",
     "uid_lookup_join": "SELECT e.event_id, coalesce(c.c_name, e.user_id::VARCHAR) AS user_name FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON c.c_custkey = e.user_id",
     "playbook_join": f"WITH {PATTERNS}, {PLAYBOOK} SELECT p.event_id, p.category, b.remedy FROM patterns p LEFT JOIN playbook b USING (category)",
-    "incident_window": f"WITH {LINES}, hot AS (SELECT event_id AS incident, host, ts FROM lines WHERE event_id % 97 = 0) SELECT h.incident, count(*) AS near FROM hot h JOIN lines l ON l.host = h.host AND l.ts BETWEEN h.ts - INTERVAL 30 MINUTE AND h.ts + INTERVAL 30 MINUTE GROUP BY h.incident",
+    "incident_window": f"WITH {LINES}, hot AS (SELECT event_id AS incident, host, ts FROM lines WHERE {contains_any(severity.CRITICAL)}) SELECT h.incident, count(*) AS near FROM hot h JOIN lines l ON l.host = h.host AND l.ts BETWEEN h.ts - INTERVAL 30 MINUTE AND h.ts + INTERVAL 30 MINUTE GROUP BY h.incident",
     "sample_delta_rate": f"WITH {SAMPLES}, d AS (SELECT host, dev, event_id, counter - lag(counter) OVER w AS moved, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us FROM samples WINDOW w AS (PARTITION BY host, dev ORDER BY ts, event_id)) SELECT host, dev, event_id, CASE WHEN us > 0 THEN round(greatest(moved, 0) * 1000000.0 / us, 2) END AS rate FROM d WHERE moved IS NOT NULL",
     "parse_memory": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 900) * 1048576 WHEN 1 THEN (event_id % 900) * 1073741824 ELSE NULL END AS bytes FROM events",
     "human_bytes": f"WITH {LEDGER} SELECT event_id, {BYTES} AS size FROM ledger",
     "backoff": "SELECT event_id, least(5.0 * pow(2.0, event_id % 12), 300.0) AS wait FROM events",
     "is_partition": "SELECT event_id, ['sda', 'sda1', 'nvme0n1', 'nvme0n1p2', 'loop3', 'vdb2', 'dm-0'][event_id % 7 + 1] AS dev, [false, true, false, true, false, true, true][event_id % 7 + 1] AS partition FROM events",
     "dedup_ratio": f"WITH {PATTERNS} SELECT count(*) AS lines, count(DISTINCT template) AS templates, count(*) * 1.0 / count(DISTINCT template) AS ratio FROM patterns",
-    "set_union_intersect": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'view'",
+    "set_intersect": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'view'",
     "envelope_counts_json": f"WITH {CYCLES}, c AS (SELECT host, cycle, category, sum(n)::BIGINT AS n FROM groups GROUP BY ALL) SELECT host, cycle, '{{' || string_agg('\"' || category || '\":' || n::VARCHAR, ',' ORDER BY category) || '}}' AS by_category FROM c GROUP BY host, cycle",
     "rfc3339_window": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at, strftime(make_timestamp(epoch_us(ts) // 1800000000 * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00/' || strftime(make_timestamp((epoch_us(ts) // 1800000000 + 1) * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS \"window\" FROM events",
-    "crash_rate_1h": f"WITH {LINES} SELECT host, ts, event_id, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM lines WHERE contains(raw, 'segfault at')",
+    "crash_rate_6h": f"WITH {LINES} SELECT host, ts, event_id, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM lines WHERE contains(raw, 'segfault at')",
     "size_guard": f"WITH {CYCLES}, c AS (SELECT host, cycle, category, sum(n)::BIGINT AS n FROM groups GROUP BY ALL) SELECT host, cycle, strlen('{{' || string_agg('\"' || category || '\":' || n::VARCHAR, ',' ORDER BY category) || '}}') > 60 AS too_large FROM c GROUP BY host, cycle",
     "envelope_list": f"WITH {RECORDS} SELECT host AS source, received_at, seq AS number FROM records",
     "quarantine": "SELECT event_id, 'host' || (user_id % 5)::VARCHAR AS host, (4 * count(*) OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS newer_bytes FROM events WHERE event_id % 9 = 4",

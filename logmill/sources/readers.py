@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logmill.functions import normalize, severity
+from logmill.functions import normalize, scalars, severity
+from logmill.operators import dedup, wire
 
 # Fixed values.
 EVENT_START = r"^(?:<\d{1,3}>\d?\s+)?(?:\d{4}-\d{2}-\d{2}T|[A-Za-z]{3}\s+\d{1,2}\s)"
+JOURNALS = ["/run/log/journal", "/var/log/journal"]
+SOURCES = ["file.syslog", "file.auth", "file.audit", "kernel", "journald"]
 ROTATION = [".3.gz", ".2.gz", ".1.gz", ".1", ""]
 PATHS = {
     "debian": {"file.syslog": "/var/log/syslog", "file.auth": "/var/log/auth.log", "file.audit": "/var/log/audit/audit.log", "kernel": "/var/log/kern.log"},
@@ -51,9 +54,12 @@ def source_of(path: Column) -> Column:
     return F.when(path.rlike("auth|secure"), "file.auth").when(F.contains(path, F.lit("audit")), "file.audit").otherwise("file.syslog")
 
 
-def text_source(spark: SparkSession, paths: str | list[str], modified_after: str | None = None, stream: bool = False) -> DataFrame:
-    """Lines with file and source; gzip is read as such; whole files are pruned by their time."""
-    reader = spark.readStream if stream else spark.read
+def text_source(spark: SparkSession, paths: str | list[str], modified_after: str | None = None, stream: bool = False, max_files: int = 1000, max_age: str = "1d") -> DataFrame:
+    """Lines with file and source; gzip is read as such; whole files are pruned by their time.
+
+    A stream takes at most ``max_files`` a batch (R3) and none that is older than ``max_age`` before the latest.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("maxFileAge", max_age) if stream else spark.read
     if modified_after and not stream:
         reader = reader.option("modifiedAfter", modified_after)
     df = reader.text(paths)
@@ -100,3 +106,89 @@ def merge_lines(lines: DataFrame, file: str = "file", order: str = "line_no", ra
     marked = lines.withColumn("_event", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     got = marked.groupBy(file, "_event").agg(F.min(order).alias(order), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(raw).alias("r")))).alias("_lines"))
     return got.select(file, order, F.array_join(F.transform("_lines", lambda x: x["r"]), "\n").alias(raw), F.size("_lines").cast("long").alias("n_lines"))
+
+
+def receiver_source(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(received_at, envelope) of a receiver's JSON lines; blank lines are passed over, a line that is no JSON is kept in ``bad``."""
+    text = F.col("value")
+    got = F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, f"received_at string, envelope {wire.ENVELOPE}"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(got.alias("r"), "value")
+    return rows.select("r.received_at", "r.envelope", F.when(F.col("r").isNull(), F.col("value")).alias("bad"))
+
+
+def spool_source(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, ms, envelope, bad) of a spool's ``.json`` files in order of their names, which begin with a ULID; hidden files are left out."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    rows = files.select(F.col("_metadata.file_name").alias("name"), F.trim("value").alias("value")).where(~F.startswith("name", F.lit(".")))
+    envelope = wire.from_json(F.col("value"))
+    return rows.select("name", scalars.ulid_ms(F.col("name")).alias("ms"), envelope.alias("envelope"), F.when(envelope.isNull(), F.col("value")).alias("bad")).orderBy("name")
+
+
+def recent_events(lines: DataFrame, now: Column, hours: int = 4, most: int = 500, gap_s: int = 14400) -> DataFrame:
+    """S11, L-1: patterns of the last hours in lines (raw, source, file, line_no), the latest first, at most ``most``.
+
+    Lines without a time that can be read are dropped, as are older ones.  Only two kinds of source are told apart.
+    """
+    raw = F.col("raw")
+    at = F.coalesce(scalars.parse_syslog_ts(raw, now), scalars.parse_iso_ts(raw))
+    source = F.when(F.col("file").rlike("auth|secure"), "file.auth").otherwise("file.syslog")
+    fresh = lines.where(raw != "").withColumn("ts", at).where(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))
+    own = fresh.select("raw", "ts", source.alias("source"), F.struct("file", "line_no").alias("order"))
+    found = dedup.dedup(dedup.templates(own), ["template", "severity", "source"], gap_s, order="order", carry=())
+    out = found.withColumn("category", dedup.category_of(F.col("first_raw")))
+    return out.orderBy(F.desc("ts_first"), "source", "template").limit(most)
+
+
+def raw_scan(lines: DataFrame, now: Column, since_s: int | None = None, until_s: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """S12, F5, L-5: lines (raw, source, file, line_no) of logs, each from its oldest rotated file to the newest, within a time range and a number of bytes.
+
+    ``since_s`` is held to a second and a day and is an hour where it isn't given; ``until_s`` counts if it is less than
+    that and not below zero.  Lines without a time that can be read are kept.  ``used_bytes`` counts lines and their ends
+    and a header for each log; from the first line on that goes beyond ``most_bytes`` all are left out and ``truncated`` says
+    so.  Files are counted on their own and then put one after another, so a task has the lines of one file.
+    """
+    since = min(max(3600 if since_s is None else since_s, 1), 86400)
+    until = until_s if until_s is not None and 0 <= until_s < since else 0
+    raw = F.col("raw")
+    at = F.coalesce(scalars.parse_syslog_ts(raw, now), scalars.parse_iso_ts(raw))
+    ranged = lines.where(raw != "").withColumn("ts", at).where(F.col("ts").isNull() | F.col("ts").between(now - F.make_dt_interval(secs=F.lit(since)), now - F.make_dt_interval(secs=F.lit(until))))
+    base = F.regexp_replace("file", r"(\.\d+)?(\.gz)?$", "")
+    log = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in SOURCES]), F.col("source")), F.lit(0)), F.lit(len(SOURCES) + 1))
+    placed = ranged.withColumns({"base": base, "log": log, "rank": rotation_rank(F.col("file")), "_bytes": F.octet_length(raw) + 1})
+    file = ("log", "base", "rank", "file")
+    sizes = placed.groupBy(*file).agg(F.first("source").alias("_source"), F.sum("_bytes").alias("_size"))
+    # one row for each file
+    in_log = F.row_number().over(Window.partitionBy("log", "base").orderBy("rank", "file"))
+    headed = sizes.withColumn("_head", F.when(in_log == 1, F.octet_length(section_header(F.col("_source"), F.col("base"))) + 1).otherwise(0))
+    before = Window.orderBy(*file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = headed.withColumn("_before", F.coalesce(F.sum(F.col("_size") + F.col("_head")).over(before), F.lit(0)) + F.col("_head"))
+    used = F.sum("_bytes").over(Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.join(offsets.select(*file, "_before"), list(file)).withColumn("used_bytes", F.col("_before") + used).drop("_before", "_bytes")
+    total = offsets.agg(F.coalesce(F.sum(F.col("_size") + F.col("_head")), F.lit(0)).alias("_total"))
+    out = out.crossJoin(F.broadcast(total))  # one row: the sum
+    over = F.lit(False) if most_bytes is None else F.col("_total") > most_bytes
+    out = out.withColumn("truncated", over).drop("_total")
+    return out if most_bytes is None else out.where(F.col("used_bytes") <= most_bytes)
+
+
+def section_header(source: Column, path: Column) -> Column:
+    return F.concat(F.lit("==> "), source, F.lit(" ("), path, F.lit(") <=="))
+
+
+def journal_folder(exists=lambda path: True) -> str | None:
+    """The journal's folder, the volatile one first."""
+    return next((p for p in JOURNALS if exists(p)), None)
+
+
+def build_sources(spark: SparkSession, family: str | None, exists=lambda path: True, journal: str | None = None) -> DataFrame | None:
+    """The sources that are there, as one DataFrame; ``journal``: an export of the journal.  None: there is none."""
+    found = [text_source(spark, path).withColumn("source", F.lit(name)) for name, path in log_paths(family, exists).items()]
+    if journal and exists(journal):
+        found.append(journal_source(spark, journal))
+    return union_sources(*found) if found else None
+
+
+def malformed(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that ``parse_journal`` leaves out since they are no object, for a count or a quarantine."""
+    text = F.col(column)
+    return lines.where((F.trim(text) != "") & (F.try_parse_json(text).isNull() | ~F.startswith(F.ltrim(text), F.lit("{"))))

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from logmill.functions import scalars
 
 
+#: Clock ticks a second.
+TICKS = 100
+
+
 def _number(text: Column, pattern: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("bigint"), F.lit(0))
 
 
+def _clean(text: Column) -> Column:
+    """Without white space, line ends included, at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each non-empty line, trimmed, with its words."""
     return df.select("*", F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.trim("line") != "").withColumn("words", F.split(F.trim("line"), r"\s+"))
@@ -77,13 +86,41 @@ def pressure(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("host", pct("some").alias("some_pct"), pct("full").alias("full_pct"))
 
 
-def processes(df: DataFrame, users: DataFrame | None = None, text: str = "text", status: str = "status", most: int = 20) -> DataFrame:
-    """P-7, L-2, X2: the largest by resident memory; names stand between the first ``(`` and the last ``)``."""
+def boot_time(text: Column) -> Column:
+    """Seconds since 1970 at which the host started, of its stat text."""
+    return _number(text, r"(?m)^btime\s+(\d+)")
+
+
+def processes(df: DataFrame, users: DataFrame | None = None, text: str = "text", status: str = "status", most: int = 20, boot: str | None = None, total_kb: str | None = None) -> DataFrame:
+    """P-7, L-2, X2: the largest by resident memory; names stand between the first ``(`` and the last ``)``.
+
+    ``boot`` and ``total_kb``: columns with ``boot_time`` and the host's memory, from which come ``start_time`` (D7) and,
+    at ``at``, the shares of CPU time since then and of memory.  Places in the text are those of the kernel's documentation.
+    """
     t, s = F.col(text), F.col(status)
     rest = F.split(F.trim(F.regexp_extract(t, r"(?s)^.*\)(.*)$", 1)), r"\s+")
-    rows = df.select("host", F.regexp_extract(t, r"^(\d+)", 1).try_cast("bigint").alias("pid"), F.regexp_extract(t, r"(?s)\((.*)\)", 1).alias("name"), rest[0].alias("state"), F.get(rest, F.lit(17)).try_cast("bigint").alias("threads"), F.get(rest, F.lit(19)).try_cast("bigint").alias("start_ticks"), F.floor(_number(s, r"(?m)^VmRSS:\s+(\d+)") / 1024).cast("long").alias("mem_rss_mb"), F.regexp_extract(s, r"(?m)^Uid:\s+(\d+)", 1).alias("uid"), _number(s, r"(?m)^FDSize:\s+(\d+)").alias("open_files"))
+    at = lambda i: F.get(rest, F.lit(i)).try_cast("bigint")
+    rss = _number(s, r"(?m)^VmRSS:\s+(\d+)")
+    columns = {
+        "pid": F.regexp_extract(t, r"^(\d+)", 1).try_cast("bigint"),
+        "name": F.regexp_extract(t, r"(?s)\((.*)\)", 1),
+        "state": rest[0],
+        "threads": at(17),
+        "start_ticks": at(19),
+        "mem_rss_mb": F.floor(rss / 1024).cast("long"),
+        "uid": F.regexp_extract(s, r"(?m)^Uid:\s+(\d+)", 1),
+        "open_files": _number(s, r"(?m)^FDSize:\s+(\d+)"),
+    }
+    if boot:
+        started = F.col(boot) + F.floor(at(19) / TICKS)
+        columns["start_time"] = scalars.rfc3339(F.timestamp_seconds(started))
+        lived = F.greatest(scalars.saturating_sub(F.unix_seconds(F.col("at").cast("timestamp")), started) * TICKS, F.lit(1))
+        columns["cpu_pct"] = F.round((at(11) + at(12)) * 100 / lived, 2)
+    if total_kb:
+        columns["mem_pct"] = F.round(rss * 100 / F.greatest(F.col(total_kb), F.lit(1)), 2)
+    rows = df.select("host", *(c.alias(n) for n, c in columns.items()))
     if users is not None:
-        rows = rows.join(F.broadcast(users.select(F.col("uid").cast("string").alias("uid"), "user")), "uid", "left")
+        rows = rows.join(users.select(F.col("uid").cast("string").alias("uid"), "user"), "uid", "left")
     else:
         rows = rows.withColumn("user", F.lit(None).cast("string"))
     rows = rows.withColumn("user", F.coalesce("user", "uid"))
@@ -109,6 +146,18 @@ def sockstat(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("host", _number(F.col(text), r"(?m)^TCP:.*\balloc (\d+)").alias("tcp_alloc"), _number(F.col(text), r"(?m)^UDP:.*\binuse (\d+)").alias("udp_inuse"))
 
 
+def interfaces(df: DataFrame, text: str = "text", details: str = "details") -> DataFrame:
+    """P-8: state and MTU of each interface of a net/dev text but the loopback.
+
+    ``details``: a map from interface to a struct of the texts of its ``operstate`` and ``mtu`` files.
+    """
+    rows = df.select("host", F.col(details).alias("_d"), F.explode(F.slice(F.split(F.col(text), "\n"), 3, 1 << 20)).alias("line")).where(F.contains("line", F.lit(":")))
+    rows = rows.withColumn("dev", F.trim(F.substring_index("line", ":", 1))).where("dev <> 'lo'")
+    own = F.try_element_at("_d", F.col("dev"))
+    up = F.upper(_clean(own["operstate"])) == "UP"
+    return rows.select("host", "dev", F.when(up, "UP").otherwise("DOWN").alias("state"), F.coalesce(_clean(own["mtu"]).try_cast("bigint"), F.lit(0)).alias("mtu"))
+
+
 def units(df: DataFrame, text: str = "text") -> DataFrame:
     """P-9: list-units rows of four columns or more."""
     clean = lines(df.withColumn(text, F.regexp_replace(F.col(text), r"(?m)^[●*]\s*", "")), text)
@@ -122,7 +171,7 @@ def sysctl(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def selinux(text: Column) -> Column:
-    return F.when(F.trim(text) == "1", "enforcing").when(F.trim(text) == "0", "permissive").otherwise("disabled")
+    return F.when(_clean(text) == "1", "enforcing").when(_clean(text) == "0", "permissive").otherwise("disabled")
 
 
 def modules(df: DataFrame, text: str = "text", most: int = 50) -> DataFrame:
@@ -137,9 +186,69 @@ def packages(df: DataFrame, text: str = "text", sample: int = 5) -> DataFrame:
     return df.select("host", F.size(rows).cast("long").alias("total"), F.slice(rows, 1, sample).alias("sample"))
 
 
+def rpm_packages(df: DataFrame, text: str = "text", sample: int = 5, most: int = 200) -> DataFrame:
+    """P-11: the other form of ``packages``, of which the first 200 count."""
+    first = F.array_join(F.slice(F.filter(F.split(F.col(text), "\n"), lambda x: F.contains(x, F.lit("\t"))), 1, most), "\n")
+    return packages(df.withColumn(text, first), text, sample)
+
+
 def config_file(text: Column, most: int = 4096) -> Column:
-    """The first characters."""
-    return F.substring(text, 1, most)
+    """The first bytes; what is left of a character that was cut becomes a replacement character."""
+    return F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8") if most else text
+
+
+def command_line(text: Column) -> Column:
+    """P-10: the kernel's command line, empty where it is absent."""
+    return F.coalesce(_clean(text), F.lit(""))
+
+
+def chrony(text: Column) -> Column:
+    """P-10: reference, offset in milliseconds and stratum of a tracking report, null if it has neither reference nor stratum."""
+    reference = F.regexp_extract(text, r"(?m)^Reference ID[^\n]*\(([^)\n]*)\)", 1)
+    stratum = _number(text, r"(?m)^Stratum\s*:\s*(\d+)")
+    offsets = F.regexp_extract_all(text, F.lit(r"(?m)^(?:System time|Last offset)\s*:\s*([+\-0-9.eE]+)"), F.lit(1))
+    offset = F.coalesce(F.try_element_at(offsets, F.lit(-1)).try_cast("double"), F.lit(0.0))
+    return F.when((reference != "") | (stratum > 0), F.struct(reference.alias("reference"), F.round(offset * 1000, 2).alias("offset_ms"), stratum.alias("stratum")))
+
+
+def ntpq(text: Column) -> Column:
+    """P-10: the same of a list of peers: the first that is in use, after two lines of headings."""
+    lines = F.slice(F.split(text, "\n"), 3, 1 << 20)
+    words = F.transform(F.filter(lines, lambda x: x.rlike(r"^[*+]")), lambda x: F.split(F.trim(F.substring(x, 2, 1 << 20)), r"\s+"))
+    peer = F.try_element_at(F.filter(words, lambda w: F.size(w) >= 9), F.lit(1))
+    number = lambda i, kind: F.coalesce(F.get(peer, F.lit(i)).try_cast(kind), F.lit(0).cast(kind))
+    return F.when(peer.isNotNull(), F.struct(peer[0].alias("reference"), number(8, "double").alias("offset_ms"), number(2, "bigint").alias("stratum")))
+
+
+def ntp(chronyc: Column, peers: Column) -> Column:
+    """P-10: the first of the two reports that says anything, else null."""
+    return F.coalesce(chrony(chronyc), ntpq(peers))
+
+
+def hardware_memory(text: Column) -> Column:
+    """P-12."""
+    return F.floor(_number(text, r"(?m)^MemTotal:\s+(\d+)") / 1024).cast("long")
+
+
+def disks(df: DataFrame) -> DataFrame:
+    """P-12: whole disks of rows (host, dev, model, size: texts of the device's files), sizes in sectors of 512 bytes."""
+    size = F.coalesce(_clean(F.col("size")).try_cast("bigint"), F.lit(0))
+    kept = df.where(~F.col("dev").rlike("^(loop|ram|dm-)"))
+    return kept.select("host", "dev", F.coalesce(_clean(F.col("model")), F.lit("")).alias("model"), F.floor(size * 512 / 1_000_000_000).cast("long").alias("size_gb"), F.lit("UNKNOWN").alias("smart_status"))
+
+
+def pci(df: DataFrame, text: str = "text", most: int = 20) -> DataFrame:
+    """P-12, L-9: class and device of the first lines of a PCI list; lines without either are left out."""
+    first = F.slice(F.filter(F.split(F.col(text), "\n"), lambda x: x != ""), 1, most)
+    rows = df.select("host", F.posexplode(first).alias("place", "line"))
+    rest = F.regexp_extract("line", r"^\S* (.*)$", 1)
+    return rows.where(F.contains(rest, F.lit(":"))).select("host", "place", F.trim(F.substring_index(rest, ":", 1)).alias("class"), F.trim(F.regexp_extract(rest, r"^[^:]*:(.*)$", 1)).alias("device"))
+
+
+def whole_texts(spark, paths: str | list[str], host: Column) -> DataFrame:
+    """A row (host, at, file, text) for each file, read whole; files are small and of the kernel."""
+    files = spark.read.text(paths, wholetext=True)
+    return files.select(host.alias("host"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def cpu_info(df: DataFrame, text: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ MESSAGES = [
     ("sshd[@pid]", "Accepted publickey for @job: ED25519 SHA256:@long"),
     ("sshd[@pid]", "authentication failure while @job was asked by @ip4"),
     ("sshd[@pid]", "Disconnected from user @job @ip4"),
+    ("sshd[@pid]", "Failed password for user @job via @ip4"),
     ("CRON[@pid]", "pam_unix(cron:session): rotation of @job ended after @count"),
     ("kernel", "Out of memory: Killed process @pid, called @job, holding @count pages"),
     ("kernel", "Memory cgroup out of memory: Killed process @pid inside @job"),

@@ -8,7 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from logmill.functions import classify, extract, normalize, scalars, severity
-from logmill.operators import dedup, envelopes
+from logmill.operators import dedup, envelopes, wire
 from logmill.plans import catalogue
 from logmill.sources import readers, snapshot, synth
 from logmill.streaming import patterns as streaming
@@ -48,6 +48,13 @@ def test_masks(spark):
 
 def test_unicode_digits_are_masked_on_request(spark):
     assert one(spark, ["n ٣٤"], normalize.normalize(C("t"), unicode=True)) == ["n <NUM>"]
+    assert one(spark, ["포트 ٣٤", "port 34"], normalize.normalize(C("t"))) == ["포트 <NUM>", "port <NUM>"]
+    assert one(spark, ["n ٣٤"], normalize.normalize(C("t"), unicode=False)) == ["n ٣٤"]
+
+
+def test_objects_with_numbers_that_json_cannot_hold(spark):
+    assert extract.json_scalars('{"code": NaN, "bytes": 1}') is None and extract.json_scalars('{"bytes": 1e400}') is None
+    assert extract.json_scalars('x {"b": 1.5, "a": "NaN"}') == {"a": '"NaN"', "b": "1.5"}
 
 
 HEADERS = [
@@ -179,13 +186,81 @@ def test_cap_fold(spark):
 
 
 def test_envelopes_and_receiver(spark):
-    env = envelopes.envelopes(catalogue.groups(spark, SF, cycle=1800))
-    rows = env.collect()
-    assert all(r.critical + r.error + r.warn + r["info"] == sum(r.by_category.values()) == sum(e["count"] for e in r["data"]) for r in rows)
+    rows = catalogue.received(spark, SF).collect()
     seqs = {}
     for r in rows:
-        seqs.setdefault(r.host, []).append(r.seq)
-    assert all(sorted(s) == list(range(1, len(s) + 1)) for s in seqs.values())
+        e = r.envelope
+        counts = e.headers.counts
+        body = json.loads(e.body[0].data)
+        assert len(e.body) == e.headers.total_sections == 1 and e.body[0].section == "logs" and e.event_kind == "log_batch"
+        assert sum(counts.by_severity) == sum(counts.by_category.values()) == sum(x["count"] for x in body)
+        assert all(len(x["fingerprint"]) == 16 and isinstance(x["fields"], dict) and len(x["sample_raws"]) <= 3 for x in body)
+        seqs.setdefault(e.cycle.host, []).append(e.cycle.seq)
+    assert all(sorted(x) == list(range(len(x))) for x in seqs.values())
+    numbers = [x["fields"]["pid"] for r in rows for x in json.loads(r.envelope.body[0].data) if "pid" in x["fields"]]
+    assert numbers and all(isinstance(n, int) for n in numbers)
+
+
+def test_envelopes_go_on_with_their_numbers_and_keep_to_the_cap(spark):
+    events = dedup.with_fields(catalogue.groups(spark, SF, cycle=86400)).where("host = 'host1'")
+    last = spark.createDataFrame([("host1", 41)], "host string, seq long")
+    made = {r.cycle: r.envelope for r in wire.log_batches(events, host_id=F.lit("h"), boot_id=F.lit("b"), cycle_s=86400, numbered=last, most=5).collect()}
+    assert sorted(e.cycle.seq for e in made.values()) == list(range(42, 42 + len(made)))
+    told = dedup.cycle_cap(events, ["host", "cycle"], 5).toPandas()
+    for cycle, e in made.items():
+        own = told[told.cycle == cycle]
+        assert len(json.loads(e.body[0].data)) == (own.outcome == "kept").sum() <= 5
+        assert sum(e.headers.counts.by_severity) == own[own.outcome != "skipped"]["count"].sum()
+    counters = {r.cycle: (r.kept, r.evicted, r.skipped) for r in dedup.cap_counters(events, ["host", "cycle"], 5).collect()}
+    assert counters == {c: tuple(int((x.outcome == o).sum()) for o in ("kept", "evicted", "skipped")) for c, x in told.groupby("cycle")}
+
+
+def test_json_round_trip_and_what_envelopes_lack(spark):
+    texts = ['{"event_kind":"log_batch"}', '{"event_kind":"sos_snapshot","cycle":{"host":"a","seq":3},"body":[{"section":"hardware","data":{"cpu":{"sockets":1}}}]}', "not json", '{"body":[{"section":"logs","data":[{"template":"t","count":2},{"template":"u"}]}]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", wire.from_json(C("t")).alias("envelope"))
+    rows = {r.i: r.envelope for r in df.collect()}
+    assert rows[0].cycle is None and rows[2] is None and json.loads(rows[1].body[0].data) == {"cpu": {"sockets": 1}}
+    assert [(r.i, r.host, r.template, r["count"]) for r in wire.events_of(df).orderBy("i", "place").collect()] == [(3, "unknown", "t", 2), (3, "unknown", "u", None)]
+    assert [(r.i, r.section) for r in wire.sections(df).orderBy("i").collect()] == [(1, "hardware"), (3, "logs")]
+    again = json.loads(df.where("i = 1").select(wire.to_json(C("envelope")).alias("j")).first().j)
+    assert again["body"][0]["data"] == {"cpu": {"sockets": 1}} and again["cycle"] == {"host": "a", "seq": 3}
+    assert one(spark, ["log_batch", "stat_snapshot", "sos_snapshot", "x"], wire.store_of(C("t"))) == ["ingest", "stat", "sos", None]
+
+
+def test_receiver_and_spool_files(spark, tmp_path):
+    sent = [r.j for r in catalogue.batches(spark, SF).select(wire.to_json(C("envelope")).alias("j")).limit(3).collect()]
+    store = tmp_path / "ingest.jsonl"
+    store.write_text("\n\n".join(json.dumps({"received_at": f"2024-01-0{i + 1}", "envelope": json.loads(x)}) for i, x in enumerate(sent)) + "\n{broken\n")
+    got = readers.receiver_source(spark, str(store)).collect()
+    assert [r.received_at for r in got if r.envelope] == ["2024-01-01", "2024-01-02", "2024-01-03"] and [r.bad for r in got if r.bad] == ["{broken"]
+    spool = tmp_path / "new"
+    spool.mkdir()
+    for i, name in enumerate(("01HM0000020000000000000000", "01HM0000010000000000000000", "01HM0000030000000000000000")):
+        (spool / f"{name}.json").write_text(sent[0] if i < 2 else "{half")
+    (spool / ".01HM0000000000000000000000.json").write_text(sent[0])
+    (spool / "note.txt").write_text("x")
+    rows = readers.spool_source(spark, str(spool)).collect()
+    assert [r.name[9:10] for r in rows] == ["1", "2", "3"] and rows[0].ms < rows[1].ms and rows[2].bad == "{half" and rows[0].envelope.event_kind == "log_batch"
+
+
+def test_raw_scan_keeps_lines_without_a_time_and_says_what_it_left_out(spark):
+    now = F.lit("2024-01-05 12:00:00").cast("timestamp")
+    rows = [("Jan  5 11:30:00 h a: new", "file.syslog", "/l/s", 1), ("no time", "file.syslog", "/l/s", 2), ("Jan  5 10:30:00 h a: old", "file.syslog", "/l/s.1", 1), ("Jan  5 11:10:00 h a: rotated", "file.syslog", "/l/s.1", 2), ("", "file.syslog", "/l/s", 3), ("Jan  5 11:59:00 h b: auth", "file.auth", "/l/a", 1)]
+    df = spark.createDataFrame(rows, "raw string, source string, file string, line_no long")
+    got = [(r.file, r.line_no) for r in readers.raw_scan(df, now).orderBy("used_bytes").collect()]
+    assert got == [("/l/s.1", 2), ("/l/s", 1), ("/l/s", 2), ("/l/a", 1)]
+    header = len("==> file.syslog (/l/s) <==\n")
+    few = readers.raw_scan(df, now, most_bytes=header + 29 + 25).orderBy("used_bytes").collect()
+    assert [(r.file, r.line_no, r.used_bytes, r.truncated) for r in few] == [("/l/s.1", 2, header + 29, True), ("/l/s", 1, header + 54, True)]
+    assert [r.raw for r in readers.raw_scan(df, now, since_s=600, until_s=120).orderBy("used_bytes").collect()] == ["no time"]
+    assert [r.template for r in readers.recent_events(df, now, hours=1).collect()] == ["auth", "new", "rotated"]
+
+
+def test_sources_that_are_there(spark, tmp_path):
+    assert readers.journal_folder(lambda p: p.startswith("/var")) == "/var/log/journal" and readers.journal_folder() == "/run/log/journal" and readers.journal_folder(lambda p: False) is None
+    assert readers.build_sources(spark, "debian", lambda p: False) is None
+    lines = spark.createDataFrame([('{"MESSAGE":"x"}',), ("broken",), ("",), ("[1]",)], "value string")
+    assert sorted(r.value for r in readers.malformed(lines).collect()) == ["[1]", "broken"]
 
 
 def test_delivery_policy():
@@ -252,6 +327,32 @@ def test_snapshots(spark):
     assert one(spark, ["1", "0", ""], snapshot.selinux(C("t"))) == ["enforcing", "permissive", "disabled"]
 
 
+def test_snapshots_of_processes_interfaces_clock_and_hardware(spark, tmp_path):
+    stat = "12 (x) S " + " ".join(str(i) for i in range(1, 11)) + " 300 100 " + " ".join(["0"] * 4) + " 5 0 1000 7 8"
+    row = {"host": "h", "at": dt.datetime(2024, 1, 1, 0, 1, 0, tzinfo=dt.timezone.utc), "text": stat, "status": "VmRSS:\t512 kB\nUid:\t0\n", "stat": "cpu 1\nbtime 1704067200\n"}
+    df = spark.createDataFrame([row]).withColumns({"boot": snapshot.boot_time(C("stat")), "kb": F.lit(2048).cast("long")})
+    p = snapshot.processes(df, boot="boot", total_kb="kb").first()
+    assert (p.threads, p.start_ticks, p.start_time, p.cpu_pct, p.mem_pct) == (5, 1000, "2024-01-01T00:00:10.000000+00:00", 8.0, 25.0)
+    net = spark.createDataFrame([("h", "Inter-|\n face |\n    lo: 1\n  eth0: 2\n  eth1: 3\n", {"eth0": ("up\n", "1500\n")})], "host string, text string, details map<string, struct<operstate: string, mtu: string>>")
+    assert [tuple(r) for r in snapshot.interfaces(net).orderBy("dev").collect()] == [("h", "eth0", "UP", 1500), ("h", "eth1", "DOWN", 0)]
+    track = "Reference ID    : A9FEA97B (time.example)\nStratum         : 3\nSystem time     : 0.000100000 seconds slow\nLast offset     : +0.002500000 seconds\n"
+    peers = "     remote           refid      st t when poll reach   delay   offset  jitter\n====\n-a.b .x. 1 u 1 64 377 0.1 9.0 0.1\n*c.d .y. 2 u 1 64 377 0.1 -1.25 0.1\n"
+    got = [r.x and tuple(r.x) for r in spark.createDataFrame([(track, peers), ("", peers), ("", "")], "a string, b string").select(snapshot.ntp(C("a"), C("b")).alias("x")).collect()]
+    assert got == [("time.example", 2.5, 3), ("c.d", -1.25, 2), None]
+    assert one(spark, ["MemTotal: 2048 kB"], snapshot.hardware_memory(C("t"))) == [2]
+    raw = spark.createDataFrame([("h", "sda", " Disk X \n", "2000000000\n"), ("h", "loop0", "", "1"), ("h", "sdb", None, None)], "host string, dev string, model string, size string")
+    assert [tuple(r)[1:] for r in snapshot.disks(raw).orderBy("dev").collect()] == [("sda", "Disk X", 1024, "UNKNOWN"), ("sdb", "", 0, "UNKNOWN")]
+    cards = "\n".join(f"00:{i:02d}.0 Bridge: Maker {i}: rev 1" for i in range(25))
+    devices = snapshot.pci(spark.createDataFrame([("h", cards)], "host string, text string")).collect()
+    assert len(devices) == 20 and (devices[3]["class"], devices[3].device) == ("Bridge", "Maker 3: rev 1")
+    many = spark.createDataFrame([("h", "\n".join(f"p{i}\t{i}" for i in range(300)))], "host string, text string")
+    assert (snapshot.rpm_packages(many).first().total, snapshot.packages(many).first().total) == (200, 300)
+    assert one(spark, ["ä" * 3000, "short"], F.octet_length(snapshot.config_file(C("t")))) == [4096, 5] and one(spark, [" a=b \n"], snapshot.command_line(C("t"))) == ["a=b \n".strip()]
+    (tmp_path / "meminfo").write_text("MemTotal: 1 kB\nMemFree: 1 kB\n")
+    whole = snapshot.whole_texts(spark, str(tmp_path), F.lit("h")).first()
+    assert whole.text.count("\n") == 2 and whole.file.endswith("meminfo")
+
+
 def test_corpus_cardinality(spark):
     templates = [synth.corpus(spark, 3000, n).select(normalize.normalize(normalize.strip_prefix(C("raw"))).alias("t")).distinct().count() for n in (1, 8)]
     assert synth.corpus(spark, 3000, 4).count() == 3000 and templates[0] < templates[1]
@@ -271,12 +372,16 @@ def test_streaming_equals_batch(spark, tmp_path, kind):
     rows = [(i, base + dt.timedelta(seconds=s), "h", "s", f"Jan  1 00:00:00 h app: value {i}") for i, s in enumerate([0, 10, 29, 60, 89.5, 200])]
     last = [(99, base + dt.timedelta(hours=2), "other", "s", "end")]
     stream = as_stream(spark, str(tmp_path / "in"), [rows, last, [(100, base + dt.timedelta(hours=4), "other", "s", "end")]])
-    out = streaming.session_patterns(stream) if kind == "built-in" else streaming.stateful_patterns(stream)
+    out = streaming.session_patterns(stream) if kind == "built-in" else streaming.stateful_patterns(stream, idle_s=3600)
     name = f"out_{kind.replace('-', '_')}"
     run = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
-    got = sorted((r.ts_first, r.ts_last, r["count"]) for r in spark.table(name).where("host = 'h'").collect())
+    rest = []
+    if kind == "built-in":
+        run.processAllAvailable()
+        run.stop()
+    else:  # without a watermark the last session is still open
+        rest = streaming.stop(run, spark, str(tmp_path / "cp")).where("host = 'h'").collect()
+    got = sorted((r.ts_first, r.ts_last, r["count"]) for r in [*spark.table(name).where("host = 'h'").collect(), *rest])
     batch = dedup.dedup(dedup.patterns(spark.createDataFrame(rows, "event_id long, ts timestamp, host string, source string, raw string")), catalogue.KEYS, 30)
     assert got == sorted((r.ts_first, r.ts_last, r["count"]) for r in batch.collect()) and [c for *_, c in got] == [3, 2, 1]
 
