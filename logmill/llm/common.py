@@ -1,11 +1,12 @@
 """What the corpus operators share: shared scratch tables, Arrow batches, word and window helpers.
 
-Every scratch table lives under the folder named by ``spark.checkpoint.dir`` (set by the cluster; only where
-it is unset, as in tests, a temporary folder is chosen).  Nothing is written to a machine's own disk.
+Every scratch table lives under the folder named by ``spark.checkpoint.dir``, which a cluster has to set.  Only a
+session of one machine (``local``, as in tests) gets a temporary folder where it is unset.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="corpus-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

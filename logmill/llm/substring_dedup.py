@@ -8,8 +8,8 @@ if it is in a window whose words also start in a document with a smaller id.
    counters that it raises, as Elias-Fano code.  For each range and row of the table the sketches are merged, and
    each block gets back which of its windows have an estimate of two documents or more.  A counter only ever adds
    up, so a repeated window is never missed.
-3. Second pass: windows whose estimates in all rows are two or more, and no others, are grouped exactly, by 96 bits
-   of hash and least id in the block; each block gets back which of them also start in a block with a smaller id.
+3. Second pass: windows whose estimates in all rows are two or more, and no others, are grouped by 96 bits of hash of
+   their words (two different ones among 10**12 windows agree with a probability of 6e-6) and least id in the block; each block gets back which of them also start in a block with a smaller id.
 4. Third pass: each block removes the words.
 
 The table has ``LOAD`` counters for each window, so the share of unrepeated windows that reach the second pass
@@ -17,7 +17,9 @@ doesn't grow with the input.
 
 Null text has no words; nothing is removed from it.  Empty texts and texts of fewer words than a window are kept
 whole.  Of rows with equal ids none is smaller, so they remove nothing of each other.  Rows with a null id come
-after all others: they lose what others have, and others lose nothing to them.
+after all others: they lose what others have, and others lose nothing to them.  Ids have to be integers.  Repeated rows
+and very long texts are taken whole, and an empty table gives no rows.  ``removals`` reads no other columns, whatever
+their names; ``deduplicate`` returns them unchanged, but for the number of characters.
 """
 
 from __future__ import annotations
@@ -301,11 +303,12 @@ def _apply(docs: DataFrame, *, key: str, text: str, window: int, block_bytes: in
 
     sketches = _sketches(blocks.select("block", "payload"), read, bits, ranges, depth)
     estimates = sketches.groupBy("row", "range").applyInArrow(_merge, REPLY)
-    replies, _ = common.materialise(_replies(estimates, ["row", "range", "bits"], "replies"), "substring-estimates", codec="none")
+    replies, at_replies = common.materialise(_replies(estimates, ["row", "range", "bits"], "replies"), "substring-estimates", codec="none")
     joined = blocks.join(replies.hint("shuffle_hash"), "block", "left").select("block", "payload", "replies")
     candidates = _candidates(joined, read, bits, ranges, depth)
     exact = candidates.groupBy("range").applyInArrow(_group, "block long, ranks binary")
     found, _ = common.materialise(_replies(exact, ["ranks"], "found"), "substring-found", codec="none")
+    common.remove(spark, at_replies)
 
     def run(batches):
         for b in common.pieces(batches, 1):
