@@ -1,6 +1,11 @@
 """Corpus pipeline: language ID, near duplicates, repeated passages, benchmark leaks, packing.
 
-``run`` applies the stages in order; each one's rows are written as Parquet in the shared folder and read again.
+``run`` applies the stages in order; each one's rows are written as Parquet in the shared folder and read again, and those
+of the stage before are deleted then.
+
+All stages but the last return the columns of their input, further ones with any names included.  Null and empty texts go
+in the first stage, very long ones are read whole; repeated rows and equal texts are left with the smallest id in the second
+(rows of one id together); a row that loses all its words goes in the third.  An empty table passes all stages as such.
 """
 
 from __future__ import annotations
@@ -47,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = common.table(spark, sf_dir, "documents")
+    rows, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        rows, _ = common.materialise(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        rows, path = common.materialise(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        if before:  # the rows that the stage has read
+            common.remove(spark, before)
+        before = path
     return rows
