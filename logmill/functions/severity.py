@@ -39,8 +39,3 @@ def finalize(initial: Column, raw: Column) -> Column:
         return F.when(any_of(CRITICAL, low) | (initial == "critical"), "critical").when(any_of(ERROR, low) | (initial == "error"), "error").when(initial == "warn", "warn").otherwise("info")
 
     return once(F.lower(raw), raised)
-
-
-def merged(severities: Column, first: Column) -> Column:
-    """A3: of lines that are merged the first one's severity stands, unless one of them is critical."""
-    return F.when(F.max(severities == "critical"), "critical").otherwise(first)

@@ -62,17 +62,35 @@ def sessions(events: DataFrame, keys: list[str], gap_s: int = 30, ts: str = "ts"
 def dedup(events: DataFrame, keys: list[str], gap_s: int = 30, samples: int = 3, ts: str = "ts", order: str = "event_id", cycle_s: int | None = None, carry: tuple[str, ...] = ("severity", "category", "source", "template")) -> DataFrame:
     """A1 to A3: one row for each session, with count, ends, first samples and what the first line carries.
 
-    Samples are ranked before they are gathered: memory doesn't grow with a session's length.
+    Lines meet by key and stretch of time, where they become parts of sessions; parts that follow each other within the
+    gap are joined then.  So a key that has a large share of all lines is spread over tasks.  With ``cycle_s`` a stretch
+    is a cycle, and nothing is left to be joined.  Samples are ranked before they are gathered: memory doesn't grow with a
+    session's length.
     """
-    keyed = sessions(events, keys, gap_s, ts, order, cycle_s)
-    group = [*keys, *(["cycle"] if cycle_s else []), "session"]
+    at = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))
+    stretch = cycle_s or max(3600, 20 * gap_s)
+    keyed = sessions(events, keys, gap_s, ts, order, stretch)
+    group = [*keys, "cycle", "session"]
     ranked = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(ts, order)))
-    first = [F.min_by(c, F.struct(ts, order)).alias(c) for c in carry if c not in group]
-    if "severity" in carry and "severity" not in group:  # A3: reached where severity is no key
-        first = [c for c, name in zip(first, [c for c in carry if c not in group], strict=True) if name != "severity"]
-        first.append(severity.merged(F.col("severity"), F.min_by("severity", F.struct(ts, order))).alias("severity"))
-    sample = F.collect_list(F.when(F.col("_n") <= samples, F.struct(F.col("_n").alias("n"), F.col("raw").alias("raw"))))
-    return ranked.groupBy(*group).agg(F.count("*").alias("count"), F.min(ts).alias("ts_first"), F.max(ts).alias("ts_last"), F.min_by("raw", F.struct(ts, order)).alias("first_raw"), *first, F.transform(F.array_sort(sample), lambda x: x["raw"]).alias("sample_raws"))
+    carried = [c for c in carry if c not in keys]
+    first = F.min_by(F.struct(F.col("raw").alias("first_raw"), *carried), at).alias("_first")
+    sample = F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.struct(F.col("_n").alias("n"), F.col("raw").alias("raw"))))).alias("_samples")
+    critical = [F.max(F.col("severity") == "critical").alias("_critical")] if "severity" in carried else []
+    parts = ranked.groupBy(*group).agg(F.count("*").alias("count"), F.min(ts).alias("ts_first"), F.max(ts).alias("ts_last"), F.min(at).alias("_at"), first, sample, *critical)
+    if not cycle_s:
+        w = Window.partitionBy(*keys).orderBy("_at")
+        before = F.lag("ts_last").over(w)
+        starts = F.when(before.isNull() | (micros(F.col("ts_first")) - micros(before) >= gap_s * 1_000_000), 1).otherwise(0)
+        placed = parts.drop("session").withColumn("_starts", starts).withColumn("session", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # no part after the first ones that hold the samples has to bring its own
+        held = F.coalesce(F.sum(F.size("_samples")).over(Window.partitionBy(*keys, "session").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = placed.withColumn("_samples", F.when(held < samples, F.struct("_at", "_samples")))
+        joined = F.flatten(F.transform(F.array_sort(F.collect_list("_samples")), lambda x: x["_samples"]))
+        parts = placed.groupBy(*keys, "session").agg(F.sum("count").alias("count"), F.min("ts_first").alias("ts_first"), F.max("ts_last").alias("ts_last"), F.min_by("_first", "_at").alias("_first"), F.slice(joined, 1, samples).alias("_samples"), *([F.max("_critical").alias("_critical")] if critical else []))
+    # A3: severity is raised only where it is no key
+    told = [F.when(F.col("_critical"), "critical").otherwise(F.col("_first.severity")).alias(c) if c == "severity" else F.col(f"_first.{c}").alias(c) for c in carried]
+    own = [*keys, *(["cycle"] if cycle_s else []), "session"]
+    return parts.select(*own, "count", "ts_first", "ts_last", F.col("_first.first_raw").alias("first_raw"), *told, F.transform("_samples", lambda x: x["raw"]).alias("sample_raws"))
 
 
 def with_fields(events: DataFrame, raw: str = "first_raw") -> DataFrame:
