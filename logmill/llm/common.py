@@ -6,6 +6,8 @@ session of one machine (``local``, as in tests) gets a temporary folder where it
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -56,11 +58,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
 
 
+def release() -> None:
+    """Give free memory back to the system: workers wait for their next task beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches, rows: int = 256):
     """Slices of Arrow batches, so that Python objects exist for a few rows at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release()
 
 
 def schema_with(df: DataFrame, extra: str) -> str:

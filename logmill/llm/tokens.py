@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a process remembers, in two generations, and the longest of them in characters.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST = 40
 #: Bytes of text that are cut and encoded together; one longer text is taken alone.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 8_000_000
 
 _CUT = "\0"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -66,10 +68,8 @@ def _model(path: str):
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-    out = Tokenizer.from_file(path)
-    out.no_padding()
-    out.no_truncation()
-    out.normalizer, out.pre_tokenizer = None, CharDelimiterSplit(_CUT)
+    out = Tokenizer(_library(path).model)  # the same one, not a copy
+    out.pre_tokenizer = CharDelimiterSplit(_CUT)
     end = out.model.end_of_word_suffix or ""
     vocabulary = out.get_vocab(with_added_tokens=True)
     sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -99,6 +99,7 @@ def slices(batches, column: str, size: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    common.release()
 
 
 class Encoder:

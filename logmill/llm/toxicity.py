@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PRECISION = 0.75
+#: Probability that a learned entry is there by chance, over all candidates.
+CHANCE = 0.05
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -177,8 +179,8 @@ def learn(rows: list[tuple[str, int]], precision: float = PRECISION) -> Lexicon:
         for e in _entries(t.split()) & good:
             where[e].add(i)
     left = set(range(len(toxic)))
-    # an entry must explain more than chance agreement among a few rows
-    gain = max(support, 5) if len(toxic) >= 100 else 3
+    # so many rows that none of the candidates is likely to be in as many label-1 rows alone by chance
+    gain = max(support, math.ceil(math.log(CHANCE / max(1, len(candidates))) / math.log(len(toxic) / len(rows))))
     order, taken = sorted(where), []
     # each label-0 row that has a feature weighs as much as three that it explains
     worth = lambda e: (len(where[e] & left) - 3 * n_other[e], share[e], -len(e), e)
@@ -191,7 +193,7 @@ def learn(rows: list[tuple[str, int]], precision: float = PRECISION) -> Lexicon:
         order = [e for e in order if len(where[e] & left) >= gain]
     # features as frequent as the least of these, and nearly as precise as can be, that stand beside them in the same texts
     least = min((len(where[e]) for e in taken), default=len(toxic) + 1)
-    for e in sorted(where, key=lambda e: (-len(where[e]), len(e), e)) if len(toxic) >= 100 else ():
+    for e in sorted(where, key=lambda e: (-len(where[e]), len(e), e)):
         if len(where[e]) >= max(least, 0.01 * len(toxic)) and share[e] >= 0.97 and not any(e.startswith(x.strip(_TWICE)) or x.startswith(e.strip(_TWICE)) for x in taken):
             taken.append(e)
     taken = list(dict.fromkeys(e.strip(_TWICE) for e in taken))
