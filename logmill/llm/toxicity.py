@@ -9,8 +9,9 @@ The lexicon is learned from labelled rows outside the held-out fold: entries tha
 ``PRECISION`` or more are taken, greedily, while each explains enough label-1 rows that no other entry does.  Rows that
 share their least word-shingle hash count once, so that copies carry no weight of their own.
 
-Null and empty texts get the score of a text without entries.  Where nothing could be learned every score is 0.
-Repeated rows get equal scores.
+Null and empty texts get the score of a text without entries, very long ones are read whole.  Where nothing could be
+learned every score is 0.  Repeated rows get equal scores, and an empty table gives no rows.  Other columns, whatever their
+names, are returned unchanged.  The texts to learn from, ``most_toxic`` and ``most_other`` of them, come to the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PRECISION = 0.75
-#: Probability that a learned entry is there by chance, over all candidates.
+#: Probability that any of the candidates is in so many label-1 rows, and no others, by chance.
 CHANCE = 0.05
 THRESHOLD = 0.3
 
