@@ -36,7 +36,7 @@ GNU = [("gpl", "GPL", "General", ["2", "3"]), ("lgpl", "LGPL", "Lesser General",
 CREATIVE_COMMONS = [("cc-by", "BY", "Attribution"), ("cc-by-sa", "BY-SA", "Attribution-ShareAlike"), ("cc-by-nc", "BY-NC", "Attribution-NonCommercial"), ("cc-by-nd", "BY-ND", "Attribution-NoDerivatives"), ("cc-by-nc-sa", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nc-nd", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
 CREATIVE_COMMONS_VERSIONS = ["3.0", "4.0"]
 # Words before a name.
-LEADS = [f"{who}{how} under" for who in ("", "This project is ", "This work is ", "This software is ", "This program is ", "This library is ", "This package is ", "This file is ", "This code is ", "It is ", "Code is ", "All code is ") for how in ("licensed", "released", "distributed", "published", "available", "made available", "provided")]
+LEADS = [f"{who}{how} under" for who in ("", "This project is ", "This work is ", "This software is ", "This program is ", "This library is ", "This file is ", "This code is ", "Code is ") for how in ("licensed", "released", "distributed", "published", "available")]
 LABELS = ["License:", "Licence:", "The license is", "License is"]
 
 # Sentences of licence texts and notices, as published.
@@ -101,12 +101,12 @@ def _named() -> list[tuple[str, str, list[str], list[str]]]:
         for v in versions:
             whole = v if "." in v else f"{v}.0"
             number = [v, whole] if whole != v else [v]
-            names = [f"GNU {kind} Public License{x}" for n in number for x in (f", version {n}", f" version {n}", f" v{n}", f" {n}")]
+            names = [f"GNU {kind} Public License{x}" for n in number for x in (f" version {n}", f" v{n}", f" {n}")]
             own = stem if stem == "agpl" else f"{stem}-{v}"
             shorts = [x.format(n) for n in number for x in (f"{short} version {{}}", f"{short}v{{}}", f"{short}-{{}}", f"{short} {{}}", f"GNU {short}v{{}}", f"GNU {short} version {{}}")]
             out.append((own, f"{short}-{whole}", names, shorts))
             for end, words in (("only", ["only"]), ("or-later", ["or later", "or any later version", "or (at your option) any later version"])):
-                out.append((f"{own}-{end}", f"{short}-{whole}-{end}", [f"{x}{c}{w}" for x in names for w in words for c in (" ", ", ")], [f"{short}-{whole}-{end}", *(f"{x} {w}" for x in shorts for w in words)]))
+                out.append((f"{own}-{end}", f"{short}-{whole}-{end}", [f"{x} {w}" for x in names for w in words], [f"{short}-{whole}-{end}", *(f"{x} {w}" for x in shorts for w in words)]))
     for stem, short, kind in CREATIVE_COMMONS:
         for v in CREATIVE_COMMONS_VERSIONS:
             name = f"Creative Commons {kind} {v}"
@@ -140,7 +140,7 @@ def build() -> tuple[dict[str, list[str]], list[tuple[str, list[str]]], dict[str
         sentences[name] = forms
         rules += [(licence, [name, "gpl-warranty", "gpl-see"]), (licence, [name])]
     for stem, licence, full, short in _named():
-        led = [f"{lead} {the}{x}" for x in full + short for lead in LEADS for the in ("", "the ", "the terms of the ")] + [f"{label} {x}" for x in full + short for label in LABELS]
+        led = [f"{lead} {the}{x}" for x in full + short for lead in LEADS for the in ("", "the ")] + [f"{label} {x}" for x in full + short for label in LABELS]
         sentences[f"{stem}-name"] = [*sentences.get(f"{stem}-name", []), *full, *(f"The {x}" for x in full), *led]
         last.append((licence, [f"{stem}-name"]))
         if short:

@@ -26,10 +26,10 @@ from . import common
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a process remembers, in two generations, and the longest of them in characters.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 LONGEST = 40
 #: Bytes of text that are cut and encoded together; one longer text is taken alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 _CUT = "\0"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"

@@ -63,9 +63,11 @@ def test_notices_met_in_files(text, want):
 def brute(text):
     """Every run of whole words of a text that is a known sentence, without the splitters: longest first, from left to right."""
     words = licences.normalise(text).split()
+    lengths = sorted({len(k.split()) for k in licences.KNOWN if len(k.split()) > 1}, reverse=True)
+    first = {k.split()[0] for k in licences.KNOWN}
     out, i = [], 0
     while i < len(words):
-        n = next((n for n in range(min(120, len(words) - i), 0, -1) if " ".join(words[i : i + n]) in licences.KNOWN and (n > 2)), 0)
+        n = next((n for n in lengths if " ".join(words[i : i + n]) in licences.KNOWN), 0) if words[i] in first else 0
         if n:
             out.append(licences.KNOWN[" ".join(words[i : i + n])])
         i += n or 1
@@ -73,12 +75,12 @@ def brute(text):
 
 
 def test_documents_against_a_search_without_sentences(spark):
-    from conftest import SF_MID
+    from conftest import SF
 
     from logmill.llm import common
 
     seen = 0
-    for r in common.table(spark, SF_MID, "documents").collect():
+    for r in common.table(spark, SF, "documents").collect():
         got = {x for x in licences.identifiers(r.text) if x not in ("copyright", "reserved", "heading") and not x.endswith("-short")}
         assert got <= set(brute(r.text or "")), r.doc_id
         seen += bool(got)
