@@ -87,7 +87,7 @@ def test_toxicity_edge_rows(spark):
 
 
 def test_licence_sentences_have_marks():
-    assert all(licences._MARK.search(s) for s in licences.KNOWN if licences.KNOWN[s] not in ("reserved", "copyright"))
+    assert all(licences._MARK.search(s) for s in licences.KNOWN if licences.KNOWN[s] not in ("reserved", "copyright") and not licences.KNOWN[s].endswith("-short"))  # short names count after a heading, which has one
     assert {n for _, names in licences.RULES for n in names} <= set(licences.SENTENCES)
 
 
