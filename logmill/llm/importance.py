@@ -56,19 +56,37 @@ def features(text: bytes | None, order: int = ORDER) -> tuple[int, list[bytes]]:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in arrays))
+    """Arrays of numbers, each as its lowest bytes, its second lowest bytes and so on, which compress well."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + x for a, x in zip(arrays, planes, strict=True)))
 
 
 def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
     for kind in kinds:
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(np.frombuffer(data, kind, n, at + 8))
-        at += 8 + n * np.dtype(kind).itemsize
+        n, size = int.from_bytes(data[at : at + 8], "little"), np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at + 8).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += 8 + n * size
     return out
 
 
-#: Ids, whether there is one, words, features, and for each document its distinct features' places and counts, one after another.
+def _steps(at: np.ndarray, n: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's places in rising order as steps from one to the next, with their counts."""
+    order = np.lexsort((at, np.repeat(np.arange(len(distinct)), distinct)))
+    at, steps = at[order], at[order].copy()
+    steps[1:] -= at[:-1]
+    first = (np.cumsum(distinct) - distinct)[distinct > 0]
+    steps[first] = at[first]
+    return steps, n[order]
+
+
+def _places(steps: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+    return sums[1:] - np.repeat(sums[np.cumsum(distinct) - distinct], distinct)
+
+
+#: Ids, whether there is one, words, features, and for each document its distinct features' places, as steps, and counts.
 _ARRAYS = (np.int64, np.uint8, np.int64, np.int64, np.int64, np.uint32, np.uint32)
 
 
@@ -85,7 +103,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, order: int, block_bytes: int
             named = np.array([r[0] is not None for r in rows], np.uint8)
             at, n = np.concatenate(places_of), np.concatenate(counts_of)
             sums = np.bincount(at, weights=n, minlength=len(places)).astype(np.int64)
-            payload = _pack(ids, named, words, total, distinct, at, n)
+            payload = _pack(ids, named, words, total, distinct, *_steps(at, n, distinct))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary()), pa.array([[x.decode(errors="replace") for x in places]], pa.list_(pa.string())), pa.array([sums], pa.list_(pa.int64()))], schema=schema)
 
         for part in common.pieces(batches, 64):
@@ -128,7 +146,7 @@ def gains(own: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     total = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     real = lambda c: c.cast("double")
     share = real(F.col("t") + 1) * real(F.col("all_s") + buckets) / (real(F.col("s") + 1) * real(F.col("all_t") + buckets))
-    return both.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(share)).cast("long").alias("gain"))
+    return both.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(share)).cast("int").alias("gain"))
 
 
 def gumbel(key: Column, seed: str) -> Column:
@@ -157,7 +175,8 @@ def weights(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: st
 
     def run(batches):
         for b in common.pieces(batches, 1):
-            ids, named, words, total, distinct, at, n = _unpack(b["payload"][0].as_py(), *_ARRAYS)
+            ids, named, words, total, distinct, steps, n = _unpack(b["payload"][0].as_py(), *_ARRAYS)
+            at = _places(steps, distinct)
             gain = np.zeros(len(at) and int(at.max()) + 1, np.int64)
             if b["gains"].null_count == 0:
                 pairs = b["gains"].flatten()
