@@ -71,6 +71,12 @@ def ulid_ms(name: Column) -> Column:
     return F.when(stem.rlike(f"^[0-7][{CROCKFORD}]{{25}}$"), total)
 
 
+def ulid(ms: Column, seed: Column) -> Column:
+    """A ULID of a time and, in place of random digits, a hash of ``seed``: the same again for the same."""
+    letters = [F.substring(F.lit(CROCKFORD), (F.shiftright(ms, 45 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(10)]
+    return F.concat(*letters, F.upper(F.substring(F.md5(seed), 1, 16)))
+
+
 def saturating_sub(a: Column, b: Column) -> Column:
     return F.greatest(a - b, F.lit(0))
 

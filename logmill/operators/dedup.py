@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logmill.functions import classify, extract, normalize, severity
 
@@ -93,9 +95,11 @@ def dedup(events: DataFrame, keys: list[str], gap_s: int = 30, samples: int = 3,
     return parts.select(*own, "count", "ts_first", "ts_last", F.col("_first.first_raw").alias("first_raw"), *told, F.transform("_samples", lambda x: x["raw"]).alias("sample_raws"))
 
 
-def with_fields(events: DataFrame, raw: str = "first_raw") -> DataFrame:
-    """Fields of a session's first line alone."""
-    return events.withColumn("fields", extract.all_fields(normalize.strip_prefix(F.col(raw))))
+def with_fields(events: DataFrame, raw: str = "first_raw", extra: dict[str, Column] | None = None) -> DataFrame:
+    """Fields of a session's first line alone; F10: ``extra`` (pid, unit, priority, file, host of the source) where the line has none of that name."""
+    out = events.withColumn("fields", extract.all_fields(normalize.strip_prefix(F.col(raw))))
+    # a column of its own first: a lambda can't hold the scan of JSON
+    return out.withColumn("fields", extract.backfill(F.col("fields"), extra)) if extra else out
 
 
 def fold_cap(severities: list[str], most: int) -> list[tuple[int, str]]:
@@ -124,18 +128,51 @@ def fold_cap(severities: list[str], most: int) -> list[tuple[int, str]]:
     return list(enumerate(state))
 
 
+def cap_state(critical: np.ndarray, most: int) -> tuple[int, int]:
+    """(uncritical events that are kept, the place up to which they are taken) of a cycle of more than ``most`` events.
+
+    What is kept are always the last uncritical and the last critical ones, ``most`` together, so that the number of the
+    former says all.  It never rises once ``most`` events are there: a critical event lowers it if the oldest event
+    kept is an uncritical one.  At none the uncritical events that follow are skipped.
+    """
+    common, urgent = np.flatnonzero(~critical), np.flatnonzero(critical)
+    kept = int(np.searchsorted(common, most))
+    if not kept:
+        return 0, most
+    before = np.searchsorted(common, urgent)
+    for j in range(int(np.searchsorted(urgent, most)), len(urgent)):
+        held = most - kept
+        if not held or common[before[j] - kept] < urgent[j - held]:
+            kept -= 1
+            if not kept:
+                return 0, int(urgent[j]) + 1
+    return kept, len(critical)
+
+
 def cycle_cap(events: DataFrame, keys: list[str], most: int, order: str = "event_id") -> DataFrame:
-    """L-6 for each cycle: add ``outcome``.  Where no cycle has more than ``most`` events all are kept without Python."""
-    schema = T.StructType([*events.schema.fields, T.StructField("outcome", T.StringType())])
+    """L-6 for each cycle: add ``outcome``, as ``fold_cap`` gives it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(outcome=[s for _, s in fold_cap(pdf["severity"].tolist(), most)])
+    Of a cycle over the cap one flag an event comes together, from which ``cap_state`` tells two numbers; the events
+    themselves are only counted by a window.  Where no cycle has more than ``most`` events all are kept.
+    """
 
-    sized = events.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    small = sized.where(F.col("_n") <= most).drop("_n").withColumn("outcome", F.lit("kept"))
-    large = sized.where(F.col("_n") > most).drop("_n").groupBy(*keys).applyInPandas(run, schema)
-    return small.unionByName(large)
+    @F.pandas_udf("kept long, until long")
+    def state(flags: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cap_state(np.asarray(x, bool), most) for x in flags], columns=["kept", "until"]).astype("int64")
+
+    urgent = F.coalesce(F.col("severity") == "critical", F.lit(False))
+    names = [f"_key{i}" for i in range(len(keys))]
+    flags = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), urgent.alias("c")))), lambda x: x["c"])
+    large = events.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count("*").alias("_n"), flags.alias("_flags")).where(F.col("_n") > most)
+    large = large.select(*names, state("_flags").alias("_state"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    counted = events.join(large, same, "left").withColumns({"_place": F.row_number().over(Window.partitionBy(*keys).orderBy(order)), "_urgent": F.count_if(urgent).over(w), "_all": F.count("*").over(whole), "_all_urgent": F.count_if(urgent).over(whole)})
+    common_after = F.col("_all") - F.col("_all_urgent") - (F.col("_place") - F.col("_urgent"))
+    kept = F.when(urgent, F.col("_all_urgent") - F.col("_urgent") < most - F.col("_state.kept")).otherwise(common_after < F.col("_state.kept"))
+    outcome = F.when(F.col("_state").isNull() | kept, "kept").when(~urgent & (F.col("_place") > F.col("_state.until")), "skipped").otherwise("evicted")
+    return counted.withColumn("outcome", outcome).drop(*names, "_state", "_place", "_urgent", "_all", "_all_urgent")
 
 
 def cap_counters(events: DataFrame, keys: list[str], most: int, order: str = "event_id") -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill.functions.severity import LEVELS
+from logmill.operators.running import running_sum
 
 CYCLE_S = 1800
 # Fixed values.
 ALERTS = {"kernel.panic", "kernel.oom", "container.oom", "hw.mce", "fs.readonly"}
 
 
-def by_severity(df: DataFrame, keys: list[str], weight: str = "count") -> DataFrame:
+def severity_sums(weight: str = "count") -> list[Column]:
     """A4: sums by severity; unknown ones count as info."""
-    known = F.col("severity").isin(LEVELS[:3])
+    known = F.coalesce(F.col("severity").isin(LEVELS[:3]), F.lit(False))
     sums = [F.sum(F.when(F.col("severity") == s, F.col(weight)).otherwise(0)).alias(s) for s in LEVELS[:3]]
-    return df.groupBy(*keys).agg(*sums, F.sum(F.when(~known, F.col(weight)).otherwise(0)).alias("info"))
+    return [*sums, F.sum(F.when(~known, F.col(weight)).otherwise(0)).alias("info")]
+
+
+def by_severity(df: DataFrame, keys: list[str], weight: str = "count") -> DataFrame:
+    return df.groupBy(*keys).agg(*severity_sums(weight))
 
 
 def by_category(df: DataFrame, keys: list[str], weight: str = "count") -> DataFrame:
@@ -84,10 +89,14 @@ def time_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
     return df.where(F.col(ts).between(start, end))
 
 
-def byte_budget(lines: DataFrame, most: int, partition: str | None, order: str, raw: str = "raw") -> DataFrame:
-    """L-5: the first lines that fit, each with a line end; nothing after the first that doesn't."""
-    w = Window.partitionBy(*([partition] if partition else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("used_bytes", F.sum(F.octet_length(raw) + 1).over(w)).where(F.col("used_bytes") <= most)
+def byte_budget(lines: DataFrame, most: int, partition: str | None, order: str, stretch: Column, raw: str = "raw") -> DataFrame:
+    """L-5: the first lines that fit, each with a line end; nothing after the first that doesn't.
+
+    ``stretch`` rises with ``order`` (``running``): one host's lines are spread over tasks, and stretches beyond the
+    budget aren't read again.  A null line has no bytes but its end.
+    """
+    size = F.coalesce(F.octet_length(raw), F.lit(0)) + 1
+    return running_sum(lines, size, "used_bytes", keys=[partition] if partition else [], order=[order], stretch=stretch, most=most)
 
 
 def retry_kept(ledger: DataFrame, now: Column, ttl_hours: int, most_bytes: int, key: str = "host") -> DataFrame:
@@ -115,9 +124,9 @@ def crash_rate(crashes: DataFrame, key: str = "host", ts: str = "ts", seconds: i
     return crashes.withColumn("in_window", F.count("*").over(w))
 
 
-def numbered(records: DataFrame, source: str = "source", order: str = "received_at") -> DataFrame:
-    """L-8: each source's envelopes from 1 on."""
-    return records.withColumn("number", F.row_number().over(Window.partitionBy(source).orderBy(order)).cast("long"))
+def numbered(records: DataFrame, stretch: Column, source: str = "source", order: str = "received_at") -> DataFrame:
+    """L-8: each source's envelopes from 1 on; ``stretch`` rises with ``order`` (``running``)."""
+    return running_sum(records, F.lit(1).cast("long"), "number", keys=[source], order=[order], stretch=stretch)
 
 
 def drain_window(ledger: DataFrame, ms: Column, start: int, end: int) -> DataFrame:
@@ -137,7 +146,7 @@ def retry_wait(attempt: int, critical: bool, status: int | None, retry_after: in
     """K1, K3: seconds to wait after a failed attempt (0 on), None to give up; twice the limit for critical ones."""
     if status is not None and 200 <= status < 300:
         return 0.0
-    if status is not None and 400 <= status < 500 and status != 429:
+    if status is not None and 300 <= status < 500 and status != 429:
         return None
     if attempt + 1 >= limit * (2 if critical else 1):
         return None

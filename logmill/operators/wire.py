@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import normalize, scalars
 from logmill.operators import dedup, envelopes
+from logmill.sources import scratch
 
 # The wire format.
 SEVERITIES = ["critical", "error", "warn", "info"]
@@ -31,34 +32,45 @@ def event(df: DataFrame) -> Column:
     return F.struct("source", "severity", "category", normalize.fingerprint(F.col("template"), F.col("severity"), F.col("source")).alias("fingerprint"), "template", "sample_raws", fields.alias("fields"), *at, F.col("count").cast("bigint").alias("count"))
 
 
+def envelope(*, start: Column, end: Column, host_id: Column, boot_id: Column, restarts: Column | None = None, uptime: Column | None = None) -> Column:
+    """A log batch of ``host``, ``seq``, sums by severity, ``by_category`` and ``data``, the events' JSON texts in order; no events: no section."""
+    section = F.struct(F.lit("logs").alias("section"), F.concat(F.lit("["), F.array_join("data", ","), F.lit("]")).alias("data"))
+    body = F.when(F.size("data") > 0, F.array(section)).otherwise(F.array().cast("array<struct<section:string,data:string>>"))
+    cycle = F.struct("host", host_id.alias("host_id"), boot_id.alias("boot_id"), scalars.rfc3339(start).alias("ts"), scalars.window_text(start, end).alias("window"), F.col("seq").cast("bigint").alias("seq"))
+    health = F.struct((restarts if restarts is not None else F.lit(0)).cast("int").alias("vector_restarts_24h"), (uptime if uptime is not None else F.lit(0)).cast("bigint").alias("agent_uptime_seconds"))
+    counts = F.struct(F.struct(*SEVERITIES).alias("by_severity"), "by_category")
+    headers = F.struct(F.size(body).cast("bigint").alias("total_sections"), counts.alias("counts"), health.alias("process_health"), (F.unix_millis(end) - F.unix_millis(start)).alias("duration_ms"))
+    return F.struct(F.lit("log_batch").alias("event_kind"), cycle.alias("cycle"), headers.alias("headers"), body.alias("body"))
+
+
 def log_batches(events: DataFrame, *, host_id: Column, boot_id: Column, cycle_s: int = envelopes.CYCLE_S, numbered: DataFrame | None = None, most: int = MOST_EVENTS, restarts: Column | None = None, uptime: Column | None = None, order: str = "event_id") -> DataFrame:
     """(host, cycle, envelope) for each host and cycle of ``events`` (sessions with ``fields``).
 
     Of a cycle at most ``most`` events are in the body (L-6); those that were evicted later are counted, skipped ones are
     not.  ``seq`` goes on from ``numbered`` (host, seq: the last number of each), or from 0; cycles that have their numbers
-    already should not come again.
+    already should not come again.  The events are written once (``scratch``), since the cap, the sums and the numbers all
+    read them; sums and body come from one aggregation.
     """
     keys = ["host", "cycle"]
+    events, _ = scratch.materialise(events, "cycle-events")
     told = dedup.cycle_cap(events, keys, most, order)
-    counted = told.where("outcome <> 'skipped'")
-    sums = envelopes.by_severity(counted, keys)
-    categories = envelopes.by_category(counted, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("category").alias("key"), F.col("n").alias("value"))))).alias("by_category"))
-    kept = told.where("outcome = 'kept'")
-    data = kept.select(*keys, F.struct(F.col(order).alias("o"), event(kept).alias("e")).alias("x")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("x.o").alias("o"), F.to_json("x.e").alias("e")))), lambda x: x["e"]).alias("data"))
+    kept = F.when(F.col("outcome") == "kept", F.struct(F.col(order).alias("o"), F.to_json(event(told)).alias("e")))
+    by_category = told.where("outcome <> 'skipped'").groupBy(*keys, "category").agg(*envelopes.severity_sums(), F.sum("count").alias("n"), F.collect_list(kept).alias("part"))
+    sums = [F.sum(s).alias(s) for s in SEVERITIES]
+    categories = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("category").alias("key"), F.col("n").alias("value"))))).alias("by_category")
+    data = F.transform(F.array_sort(F.flatten(F.collect_list("part"))), lambda x: x["e"]).alias("data")
+    rows = by_category.groupBy(*keys).agg(*sums, categories, data)
+    # numbers without the bodies: a host has a row for each cycle
     place = F.row_number().over(Window.partitionBy("host").orderBy("cycle")).cast("bigint")
-    rows = sums.join(categories, keys).join(data, keys, "left").withColumn("place", place)
+    numbers = events.select(*keys).distinct().withColumn("place", place)
     if numbered is not None:
-        rows = rows.join(numbered.select("host", F.col("seq").alias("last")), "host", "left")
+        numbers = numbers.join(numbered.select("host", F.col("seq").alias("last")), "host", "left")
     else:
-        rows = rows.withColumn("last", F.lit(None).cast("bigint"))
+        numbers = numbers.withColumn("last", F.lit(None).cast("bigint"))
+    numbers = numbers.select(*keys, (F.coalesce("last", F.lit(-1)) + F.col("place")).alias("seq"))
     start = F.timestamp_seconds(F.col("cycle") * cycle_s)
-    section = F.struct(F.lit("logs").alias("section"), F.concat(F.lit("["), F.array_join("data", ","), F.lit("]")).alias("data"))
-    body = F.when(F.size("data") > 0, F.array(section)).otherwise(F.array().cast("array<struct<section:string,data:string>>"))
-    cycle = F.struct("host", host_id.alias("host_id"), boot_id.alias("boot_id"), scalars.rfc3339(start).alias("ts"), scalars.window_text(start, start + F.make_dt_interval(secs=F.lit(cycle_s))).alias("window"), (F.coalesce("last", F.lit(-1)) + F.col("place")).alias("seq"))
-    health = F.struct((restarts if restarts is not None else F.lit(0)).cast("int").alias("vector_restarts_24h"), (uptime if uptime is not None else F.lit(0)).cast("bigint").alias("agent_uptime_seconds"))
-    counts = F.struct(F.struct(*SEVERITIES).alias("by_severity"), "by_category")
-    headers = F.struct(F.size(body).cast("bigint").alias("total_sections"), counts.alias("counts"), health.alias("process_health"), F.lit(cycle_s * 1000).cast("bigint").alias("duration_ms"))
-    return rows.select("host", F.col("cycle"), F.struct(F.lit("log_batch").alias("event_kind"), cycle.alias("cycle"), headers.alias("headers"), body.alias("body")).alias("envelope"))
+    made = envelope(start=start, end=start + F.make_dt_interval(secs=F.lit(cycle_s)), host_id=host_id, boot_id=boot_id, restarts=restarts, uptime=uptime)
+    return rows.join(numbers, keys).select("host", "cycle", made.alias("envelope"))
 
 
 def to_json(envelope: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logmill.functions import extract, normalize, scalars, severity
 from logmill.operators import dedup as d
 from logmill.operators import envelopes as v
-from logmill.operators import wire
+from logmill.operators import running, wire
 from logmill.plans import oracle
 from logmill.sources import readers, synth
 
@@ -187,6 +187,15 @@ def fields_all(spark, sf):
     return d.with_fields(groups(spark, sf)).select("host", "template", "session", F.to_json("fields").alias("fields"))
 
 
+@query
+def fields_backfilled(spark, sf):
+    """what the source says of a session's first line fills in where the line itself has no such field."""
+    found = d.dedup(d.templates(lines(spark, sf)), KEYS, 14400, carry=("priority", "event_id"))
+    extra = {"pid": F.col("event_id") % 500, "unit": F.when(F.col("source") == "journald", F.concat(F.lit("u"), F.col("priority"), F.lit(".service"))), "priority": F.col("priority"), "source_host": F.col("host")}
+    told = d.with_fields(found, extra=extra)
+    return told.select("event_id", *(F.col("fields")[k].alias(k) for k in extra))
+
+
 def _sessions(gap):
     return lambda spark, sf: groups(spark, sf, gap).select(*KEYS, "session", F.col("count").alias("n"), "ts_first", "ts_last", "category", "first_raw")
 
@@ -350,7 +359,7 @@ def restart_loop_having(spark, sf):
 @query
 def raw_byte_budget(spark, sf):
     own = lines(spark, sf).withColumn("at", F.struct("ts", "event_id"))
-    return v.byte_budget(own, 20000, "host", "at").select("host", "event_id", "used_bytes")
+    return v.byte_budget(own, 20000, "host", "at", running.by_time("ts")).select("host", "event_id", "used_bytes")
 
 
 @query
@@ -420,7 +429,9 @@ def playbook_join(spark, sf):
 def incident_window(spark, sf):
     """A range join by host and half-hour bucket; each line goes to its own bucket, each incident to those it reaches."""
     bucket, reach = 1800, 1800
-    own = lines(spark, sf).select("host", "ts", "event_id", severity.any_of(severity.CRITICAL, F.lower("raw")).alias("critical"))
+    # the lower case once: it is named nine times, each with the whole line in it
+    critical = normalize.once(F.lower("raw"), lambda low: severity.any_of(severity.CRITICAL, low))
+    own = lines(spark, sf).select("host", "ts", "event_id", critical.alias("critical"))
     sec = F.floor(d.micros(F.col("ts")) / 1_000_000)
     hot = own.where("critical").select(F.col("event_id").alias("incident"), "host", F.col("ts").alias("at"), F.explode(F.sequence(F.floor((sec - reach) / bucket), F.floor((sec + reach) / bucket))).alias("b"))
     near = own.withColumn("b", F.floor(sec / bucket)).join(hot, ["host", "b"]).where(F.abs(d.micros(F.col("ts")) - d.micros(F.col("at"))) <= reach * 1_000_000)
@@ -514,7 +525,7 @@ def size_guard(spark, sf):
 
 @query
 def envelope_list(spark, sf):
-    return v.numbered(records(spark, sf).select(F.col("host").alias("source"), "received_at"))
+    return v.numbered(records(spark, sf).select(F.col("host").alias("source"), "received_at"), running.by_time("received_at"))
 
 
 @query

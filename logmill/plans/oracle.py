@@ -27,8 +27,8 @@ DRAWN = {
     "@port": f"({K} % 28001 + 30000)::VARCHAR",
     "@count": f"({K} % 1000003)::VARCHAR",
     "@small": f"({K} % 9)::VARCHAR",
-    "@disk": f"substr('bcefg', ({K} % 5 + 1)::INT, 1)",
-    "@job": f"['saffron', 'tundra', 'quartz', 'willow', 'pixel', 'ripple', 'nimbus'][{K} % 7 + 1]",
+    "@disk": f"substr('bcefg', ({K} // 89 % 5 + 1)::INT, 1)",
+    "@job": f"['saffron', 'tundra', 'quartz', 'willow', 'pixel', 'ripple', 'nimbus'][{K} // 97 % 7 + 1]",
     "@long": f"{WORD} || {HALF} || {WORD} || {HALF}",
     "@word": WORD,
     "@half": HALF,
@@ -134,6 +134,7 @@ ORACLES |= {
     "fields_regex": f"WITH {LINES}, {STRIPPED} SELECT event_id, {extracted('pid')} AS pid, {extracted('user')} AS user_name, {extracted('dev')} AS dev, {extracted('unit')} AS unit FROM stripped",
     "fields_logfmt": f"WITH {LINES}, {STRIPPED}, {LOGFMT} SELECT event_id, k AS field, v AS value FROM firsts",
     "fields_json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
+    "fields_backfilled": f"WITH {PATTERNS}, {sessions(14400)}, s AS (SELECT event_id, host, source, regexp_replace(first_raw, {STRIP}, '') AS message, CASE WHEN source = 'journald' THEN (event_id % 8)::VARCHAR END AS priority FROM groups) SELECT event_id, coalesce({extracted('pid')}, '\"' || (event_id % 500)::VARCHAR || '\"') AS pid, coalesce('\"' || {extracted('unit')} || '\"', '\"u' || priority || '.service\"') AS unit, '\"' || priority || '\"' AS priority, '\"' || host || '\"' AS source_host FROM s",
     "dedup_session_30s": f"WITH {PATTERNS}, {sessions(30)} SELECT host, template, severity, source, session::BIGINT AS session, n, ts_first, ts_last, category, first_raw FROM groups",
     "dedup_session_4h": f"WITH {PATTERNS}, {sessions(14400)} SELECT host, template, severity, source, session::BIGINT AS session, n, ts_first, ts_last, category, first_raw FROM groups",
     "sample_raws_top3": f"WITH {PATTERNS}, {sessions(14400)} SELECT host, template, severity, source, session::BIGINT AS session, samples FROM groups",

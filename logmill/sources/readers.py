@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logmill.functions import normalize, scalars, severity
-from logmill.operators import dedup, wire
+from logmill.operators import dedup, running, wire
 
 # Fixed values.
 EVENT_START = r"^(?:<\d{1,3}>\d?\s+)?(?:\d{4}-\d{2}-\d{2}T|[A-Za-z]{3}\s+\d{1,2}\s)"
@@ -99,11 +99,11 @@ def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
 def merge_lines(lines: DataFrame, file: str = "file", order: str = "line_no", raw: str = "raw") -> DataFrame:
     """A line with a header starts an event, others are added to it; what comes before a file's first header is one event.
 
-    Lines of one file come together in one task; an event's lines must fit into memory.
+    ``order`` numbers a file's lines; a long file is dealt out by stretches of them (``running``), and what a stretch begins
+    with goes to the event of the last header before it.  Only an event's own lines must fit into memory.
     """
     start = F.col(raw).rlike(EVENT_START).cast("int")
-    w = Window.partitionBy(file).orderBy(order)
-    marked = lines.withColumn("_event", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = running.running_sum(lines, start, "_event", keys=[file], order=[order], stretch=running.by_line(order))
     got = marked.groupBy(file, "_event").agg(F.min(order).alias(order), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(raw).alias("r")))).alias("_lines"))
     return got.select(file, order, F.array_join(F.transform("_lines", lambda x: x["r"]), "\n").alias(raw), F.size("_lines").cast("long").alias("n_lines"))
 
@@ -124,13 +124,20 @@ def spool_source(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("name", scalars.ulid_ms(F.col("name")).alias("ms"), envelope.alias("envelope"), F.when(envelope.isNull(), F.col("value")).alias("bad")).orderBy("name")
 
 
+def spooled_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, ms, envelope, bad) of what ``streaming.agent.write_envelopes`` wrote, in order of the names, which begin with a ULID."""
+    rows = spark.read.schema("name string, json string").json(folder)
+    envelope = wire.from_json(F.col("json"))
+    return rows.select("name", scalars.ulid_ms(F.col("name")).alias("ms"), envelope.alias("envelope"), F.when(envelope.isNull(), F.col("json")).alias("bad")).orderBy("name")
+
+
 def recent_events(lines: DataFrame, now: Column, hours: int = 4, most: int = 500, gap_s: int = 14400) -> DataFrame:
     """S11, L-1: patterns of the last hours in lines (raw, source, file, line_no), the latest first, at most ``most``.
 
     Lines without a time that can be read are dropped, as are older ones.  Only two kinds of source are told apart.
     """
     raw = F.col("raw")
-    at = F.coalesce(scalars.parse_syslog_ts(raw, now), scalars.parse_iso_ts(raw))
+    at = normalize.once(raw, lambda line: F.coalesce(scalars.parse_syslog_ts(line, now), scalars.parse_iso_ts(line)))
     source = F.when(F.col("file").rlike("auth|secure"), "file.auth").otherwise("file.syslog")
     fresh = lines.where(raw != "").withColumn("ts", at).where(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))
     own = fresh.select("raw", "ts", source.alias("source"), F.struct("file", "line_no").alias("order"))
@@ -145,12 +152,12 @@ def raw_scan(lines: DataFrame, now: Column, since_s: int | None = None, until_s:
     ``since_s`` is held to a second and a day and is an hour where it isn't given; ``until_s`` counts if it is less than
     that and not below zero.  Lines without a time that can be read are kept.  ``used_bytes`` counts lines and their ends
     and a header for each log; from the first line on that goes beyond ``most_bytes`` all are left out and ``truncated`` says
-    so.  Files are counted on their own and then put one after another, so a task has the lines of one file.
+    so.  Files are counted on their own, by stretches of their lines, and then put one after another.
     """
     since = min(max(3600 if since_s is None else since_s, 1), 86400)
     until = until_s if until_s is not None and 0 <= until_s < since else 0
     raw = F.col("raw")
-    at = F.coalesce(scalars.parse_syslog_ts(raw, now), scalars.parse_iso_ts(raw))
+    at = normalize.once(raw, lambda line: F.coalesce(scalars.parse_syslog_ts(line, now), scalars.parse_iso_ts(line)))
     ranged = lines.where(raw != "").withColumn("ts", at).where(F.col("ts").isNull() | F.col("ts").between(now - F.make_dt_interval(secs=F.lit(since)), now - F.make_dt_interval(secs=F.lit(until))))
     base = F.regexp_replace("file", r"(\.\d+)?(\.gz)?$", "")
     log = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in SOURCES]), F.col("source")), F.lit(0)), F.lit(len(SOURCES) + 1))
@@ -162,8 +169,9 @@ def raw_scan(lines: DataFrame, now: Column, since_s: int | None = None, until_s:
     headed = sizes.withColumn("_head", F.when(in_log == 1, F.octet_length(section_header(F.col("_source"), F.col("base"))) + 1).otherwise(0))
     before = Window.orderBy(*file).rowsBetween(Window.unboundedPreceding, -1)
     offsets = headed.withColumn("_before", F.coalesce(F.sum(F.col("_size") + F.col("_head")).over(before), F.lit(0)) + F.col("_head"))
-    used = F.sum("_bytes").over(Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    out = placed.join(offsets.select(*file, "_before"), list(file)).withColumn("used_bytes", F.col("_before") + used).drop("_before", "_bytes")
+    counted = running.running_sum(placed, F.col("_bytes"), "_used", keys=list(file), order=["line_no"], stretch=running.by_line("line_no"))
+    base = offsets.select(*file, F.col("_before").alias("_base"))
+    out = counted.join(base, list(file)).withColumn("used_bytes", F.col("_base") + F.col("_used")).drop("_base", "_used", "_bytes")
     total = offsets.agg(F.coalesce(F.sum(F.col("_size") + F.col("_head")), F.lit(0)).alias("_total"))
     out = out.crossJoin(F.broadcast(total))  # one row: the sum
     over = F.lit(False) if most_bytes is None else F.col("_total") > most_bytes

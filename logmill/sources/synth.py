@@ -33,7 +33,7 @@ MESSAGES = [
     ("kernel", "nf_conntrack: table full, @ip4 was turned away"),
     ("kernel", "ata@small: hard resetting link, port @port"),
     ("kernel", "NETDEV WATCHDOG: wan@small stalled for @count ms"),
-    ("kernel", "bridge br-@long gained veth@word with @mac and fd00::@half:@half"),
+    ("kernel", "bridge br-@word@half gained veth@word with @mac and fd00::@half:@half"),
     ("smartd[@pid]", "SMART check: Threshold was Exceeded on /dev/sd@disk after @count hours"),
     ("systemd[1]", "@job.service: failed with result timeout"),
     ("systemd[1]", "@job.timer: Start request repeated too quickly"),
@@ -58,7 +58,10 @@ def _hex(n: Column, width: int) -> Column:
 
 
 def _values(n: Column) -> dict[str, Column]:
-    """Placeholders; longer names come before those that they start with."""
+    """Placeholders; longer names come before those that they start with.
+
+    Jobs and disks are drawn from other bits than the remainders that choose the message, so that each message meets all.
+    """
     k = F.pmod(n * TIMES, F.lit(PRIME))
     word, half = _hex(k, 8), _hex(k % 40_961, 4)
     text = lambda c: c.cast("string")
@@ -68,8 +71,8 @@ def _values(n: Column) -> dict[str, Column]:
         "@port": text(k % 28_001 + 30_000),
         "@count": text(k % 1_000_003),
         "@small": text(k % 9),
-        "@disk": F.element_at(F.array(*[F.lit(c) for c in "bcefg"]), (k % 5 + 1).cast("int")),
-        "@job": F.element_at(F.array(*[F.lit(s) for s in JOBS]), (k % len(JOBS) + 1).cast("int")),
+        "@disk": F.element_at(F.array(*[F.lit(c) for c in "bcefg"]), (F.floor(k / 89) % 5 + 1).cast("int")),
+        "@job": F.element_at(F.array(*[F.lit(s) for s in JOBS]), (F.floor(k / 97) % len(JOBS) + 1).cast("int")),
         "@long": F.concat(word, half, word, half),
         "@word": word,
         "@half": half,

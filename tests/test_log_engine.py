@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import SF
+from conftest import SF, SF_MID
 from pyspark.sql import functions as F
 
 from logmill.functions import classify, extract, normalize, scalars, severity
@@ -372,7 +372,7 @@ def test_streaming_equals_batch(spark, tmp_path, kind):
     rows = [(i, base + dt.timedelta(seconds=s), "h", "s", f"Jan  1 00:00:00 h app: value {i}") for i, s in enumerate([0, 10, 29, 60, 89.5, 200])]
     last = [(99, base + dt.timedelta(hours=2), "other", "s", "end")]
     stream = as_stream(spark, str(tmp_path / "in"), [rows, last, [(100, base + dt.timedelta(hours=4), "other", "s", "end")]])
-    out = streaming.session_patterns(stream) if kind == "built-in" else streaming.stateful_patterns(stream, idle_s=3600)
+    out = streaming.session_patterns(stream) if kind == "built-in" else streaming.stateful_patterns(stream, order="event_id", idle_s=3600)
     name = f"out_{kind.replace('-', '_')}"
     run = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
     rest = []
@@ -415,6 +415,25 @@ def test_query(spark, duck, name):
     assert sorted((tuple(norm(r[c]) for c in columns) for r in rows), key=key) == sorted((tuple(norm(r[i]) for i in place) for r in want.fetchall()), key=key)
 
 
+#: Nothing in the fixture grows tenfold from one half hour to the next; ``error_surge_x2`` has rows, and a test of its own follows.
+EMPTY = {"error_surge"}
+
+
+def test_every_query_has_something_to_compare():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("customer", "events", "documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF_MID}/{t}.parquet'")
+    empty = {name for name, text in catalogue.ORACLES.items() if not con.sql(text).limit(1).fetchall()}
+    assert empty == EMPTY
+
+
+def test_a_surge_is_ten_times_the_cycle_before(spark):
+    df = spark.createDataFrame([("a", c, n) for c, n in enumerate([1, 9, 90, 0, 50, 500])] + [("b", 0, 100)], "host string, cycle long, error long")
+    assert sorted((r.cycle, r.error) for r in envelopes.surges(df).collect()) == [(2, 90), (5, 500)]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
