@@ -1,24 +1,24 @@
-"""Delivery of spooled envelopes: gzip, retries, a ledger of what became of each, draining and replay.
+"""Delivery of spooled envelopes in rounds: one POST for each envelope that is due, and a ledger of what became of it.
 
-The spool is a folder of JSON files (``readers.spool_source``), the ledger a table of (name, state, attempts, bytes).  An
-envelope may be sent again after a failure in between, so the receiver has to be idempotent.
+The spool is a table of (name, envelope) (``readers.spool_source`` or ``spooled_lines``).  A round is a batch: it writes its
+ledger rows in a folder of its own number, which a round that is run again replaces.  Nothing waits inside a task: an envelope
+that has to wait gets the time from which it is due, and a later round (a streaming trigger, a scheduler) takes it up.  An envelope may
+be sent again after a failure in between, so the receiver has to be idempotent.
 """
 
 from __future__ import annotations
 
 import gzip
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from logmill.operators import envelopes, wire
-from logmill.sources import readers
 
-LEDGER = "name string, state string, attempts int, bytes long"
+LEDGER = "name string, state string, attempts int, wait double, at timestamp, bytes long"
 #: Takes gzip bytes; gives the HTTP status (None: no answer) and the seconds that a 429 asks for, if any.
 Send = Callable[[bytes], tuple[int | None, int | None]]
 
@@ -42,80 +42,52 @@ def http(url: str, token: str, timeout: float = 30) -> Send:
     return send
 
 
-def deliver(pending: DataFrame, send: Send, limit: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """K1 to K3: a ledger row for each of ``pending`` (name, json, critical); JSON is made gzip once, whatever the attempts."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for name, text, critical in zip(pdf["name"], pdf["json"], pdf["critical"], strict=True):
-                data, attempt = gzip.compress(text.encode()), 0
-                while (wait := envelopes.retry_wait(attempt, bool(critical), *send(data), limit=limit)) is not None and wait > 0:
-                    sleep(wait)
-                    attempt += 1
-                out.append((name, "failed" if wait is None else "sent", attempt + 1, len(data)))
-            yield pd.DataFrame(out, columns=["name", "state", "attempts", "bytes"])
-
-    return pending.select("name", "json", "critical").mapInPandas(run, LEDGER)
-
-
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(f"{LEDGER}, round long").parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], LEDGER)
+        return spark.createDataFrame([], f"{LEDGER}, round long")
+
 
+def latest(known: DataFrame) -> DataFrame:
+    """The last row of each envelope: that of most attempts."""
+    columns = [c for c in known.columns if c != "name"]
+    return known.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("attempts", "round")).alias("r")).select("name", "r.*")
 
-def pending(spool: DataFrame, known: DataFrame, state: str | None = None) -> DataFrame:
-    """(name, json, critical) of the spool's envelopes that weren't sent yet, in order of their names; ``state``: only such as are last known so.
+
+def pending(spool: DataFrame, known: DataFrame, now: Column, again: bool = False) -> DataFrame:
+    """(name, json, critical, attempts) of envelopes that are new, that have waited long enough or, with ``again``, that failed.
 
     What is no JSON is left to quarantine.
     """
-    done = known.where("state = 'sent'").select("name")
-    rows = spool.where("envelope is not null").join(done, "name", "left_anti")
-    if state:
-        rows = rows.join(known.where(F.col("state") == state).select("name").distinct(), "name", "left_semi")
-    else:
-        rows = rows.join(known.select("name").distinct(), "name", "left_anti")
+    last = latest(known).select("name", "state", "attempts", (F.col("at") + F.make_dt_interval(secs=F.col("wait").cast("decimal(18,6)"))).alias("due"))
+    rows = spool.where("envelope is not null").join(last, "name", "left")
+    failed = F.col("state") == "failed"
+    due = F.col("state").isNull() | ((F.col("state") == "waiting") & (F.col("due") <= now)) | (failed if again else F.lit(False))
     critical = F.coalesce(F.col("envelope.headers.counts.by_severity.critical") > 0, F.lit(False))
-    return rows.select("name", wire.to_json(F.col("envelope")).alias("json"), critical.alias("critical")).orderBy("name")
-
+    attempts = F.when(failed, 0).otherwise(F.coalesce("attempts", F.lit(0)))
+    return rows.where(due).select("name", wire.to_json(F.col("envelope")).alias("json"), critical.alias("critical"), attempts.cast("int").alias("attempts"))
 
-def claim(spark: SparkSession, path: str) -> bool:
-    """K8: whether this is the one drain at a time; ``release`` ends it."""
-    at, files = _file(spark, path)
-    return files.createNewFile(at)
 
+def attempt(todo: DataFrame, send: Send, now: Column, limit: int = 5) -> DataFrame:
+    """K1 to K3: a ledger row for each envelope after one more try; JSON is made gzip once for each."""
 
-def release(spark: SparkSession, path: str) -> None:
-    at, files = _file(spark, path)
-    files.delete(at, False)
-
-
-def _file(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def run(spark: SparkSession, spool: str, to: str, send: Send, auto_drain: bool = True, sleep: Callable[[float], None] = time.sleep) -> dict[str, int]:
-    """Send what is new in the spool; after a success, and if that is wanted, what failed before as well.
-
-    Gives the numbers of envelopes by state, ``drained`` those of the second kind that were sent, and ``busy`` if another run
-    is under way.
-    """
-    if not claim(spark, f"{to}.lock"):
-        return {"busy": 1}
-    try:
-        files = readers.spool_source(spark, spool)
-        known = ledger(spark, to)
-        before = known.count()
-        deliver(pending(files, known), send, sleep=sleep).write.mode("append").parquet(to)
-        now = ledger(spark, to)
-        counts = {r.state: r["count"] for r in now.join(known.select("name").distinct(), "name", "left_anti").groupBy("state").count().collect()}
-        if auto_drain and counts.get("sent") and before and not pending(files, known, "failed").isEmpty():
-            again = deliver(pending(files, known, "failed"), send, sleep=sleep)
-            again.write.mode("append").parquet(to)
-            counts["drained"] = ledger(spark, to).where("state = 'sent'").select("name").distinct().join(known.select("name").distinct(), "name", "left_semi").count() - known.where("state = 'sent'").select("name").distinct().count()
-        return counts
-    finally:
-        release(spark, f"{to}.lock")
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for name, text, critical, before in zip(pdf["name"], pdf["json"], pdf["critical"], pdf["attempts"], strict=True):
+                data = gzip.compress(text.encode())
+                wait = envelopes.retry_wait(int(before), bool(critical), *send(data), limit=limit)
+                out.append((name, "failed" if wait is None else "waiting" if wait else "sent", int(before) + 1, wait, len(data)))
+            yield pd.DataFrame(out, columns=["name", "state", "attempts", "wait", "bytes"])
+
+    tried = todo.mapInPandas(run, "name string, state string, attempts int, wait double, bytes long")
+    return tried.select("name", "state", "attempts", "wait", now.alias("at"), "bytes")
+
+
+def run_round(spark: SparkSession, spool: DataFrame, to: str, send: Send, number: int, now: Column | None = None, again: bool = False) -> dict[str, int]:
+    """K4: try what is due and write what became of it; gives the numbers by state.  ``number`` has to rise from round to round."""
+    now = F.current_timestamp() if now is None else now
+    known = ledger(spark, to).where(F.col("round") < number)
+    attempt(pending(spool, known, now, again), send, now).write.mode("overwrite").parquet(f"{to}/round={number}")
+    return {r.state: r["count"] for r in ledger(spark, to).where(F.col("round") == number).groupBy("state").count().collect()}

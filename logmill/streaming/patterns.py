@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logmill.functions import normalize
 from logmill.operators import dedup
+from logmill.streaming import agent
 
 KEYS = ["host", "template", "severity", "source"]
-STATE = "count long, first_us long, last_us long, first_raw string, samples array<string>"
-OUT = "host string, template string, severity string, source string, count long, ts_first timestamp, ts_last timestamp, first_raw string, sample_raws array<string>"
 
 
 def session_patterns(stream: DataFrame, gap_s: int = 30, late: str = "10 minutes") -> DataFrame:
@@ -26,88 +24,41 @@ def session_patterns(stream: DataFrame, gap_s: int = 30, late: str = "10 minutes
     return events.groupBy(F.session_window("ts", gap).alias("w"), *KEYS, "category").agg(F.count("*").alias("count"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last")).drop("w")
 
 
-def fold(now: tuple | None, us: np.ndarray, raws: list[str], gap_us: int, samples: int) -> tuple[list[tuple], tuple]:
-    """(sessions that ended, the one that is open) after lines in order of arrival; a session is (count, first, last, first line, samples).
+def stateful_patterns(stream: DataFrame, *, order: str, gap_s: int = 30, samples: int = 3, idle_s: float | None = None, most: int = 50_000) -> DataFrame:
+    """R1, R2, W3, L-7: exact sessions (``agent.sessions``); no watermark, so no line is ever too late.
 
-    A line joins the open session unless it is ``gap_us`` or more after its last time, however late it comes, and the last
-    time never moves back.
+    Lines come in order of ``order``, a number that the source gives on arrival.  A batch's lines of one host must fit into
+    memory: bound the batch at the source (R3).
     """
-    before = np.maximum.accumulate(us if now is None else np.concatenate(([now[2]], us)))
-    starts = np.flatnonzero(us[1:] - before[:-1] >= gap_us) + 1 if now is None else np.flatnonzero(us - before[:-1] >= gap_us)
-    done, a = [], 0
-    for z in [*starts.tolist(), len(us)]:
-        if z > a:
-            part = us[a:z]
-            if now is None:
-                now = (z - a, int(part[0]), int(part.max()), raws[a], raws[a : min(z, a + samples)])
-            else:
-                kept = list(now[4])
-                now = (now[0] + z - a, now[1], max(now[2], int(part.max())), now[3], kept + raws[a : min(z, a + samples - len(kept))])
-        if z < len(us):
-            done.append(now)
-            now = None
-        a = z
-    return done, now
-
-
-def described(sessions: DataFrame) -> DataFrame:
-    """What a session's first line and keys tell: category, fields, fingerprint."""
-    out = sessions.withColumn("category", dedup.category_of(F.col("first_raw")))
-    out = dedup.with_fields(out).withColumn("fingerprint", normalize.fingerprint(F.col("template"), F.col("severity"), F.col("source")))
-    return out.drop("first_raw")
-
-
-def _rows(found: list[tuple]) -> pd.DataFrame:
-    at = lambda x: pd.Timestamp(x, unit="us", tz="UTC")
-    return pd.DataFrame([[*key, n, at(first), at(last), raw, list(raws)] for key, (n, first, last, raw, raws) in found], columns=[*KEYS, "count", "ts_first", "ts_last", "first_raw", "sample_raws"])
-
-
-def stateful_patterns(stream: DataFrame, gap_s: int = 30, samples: int = 3, idle_s: float | None = None, order: str = "ts") -> DataFrame:
-    """Exact sessions; no watermark, so no line is ever too late.
-
-    Lines of a batch come in order of ``order`` (an offset, where the source has one).  A session ends with the first line
-    beyond the gap, or when no line of its pattern came for ``idle_s`` seconds by the clock (``gap_s`` where not given).
-    State is kept by pattern in the state store; ``open_sessions`` reads what is still there.  A batch's lines of one pattern
-    must fit into memory: bound the batch at the source (R3).
-    """
-    gap, idle = gap_s * 1_000_000, max(1, int(1000 * (gap_s if idle_s is None else idle_s)))
-
-    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield _rows([(key, now)])
-            return
-        pdf = pd.concat(list(pdfs)).sort_values("o", kind="stable")
-        done, now = fold(now, pdf["us"].to_numpy(np.int64), pdf["raw"].tolist(), gap, samples)
-        state.update(now)
-        state.setTimeoutDuration(idle)
-        if done:
-            yield _rows([(key, x) for x in done])
-
-    events = dedup.templates(stream).select(*KEYS, "raw", F.unix_micros("ts").alias("us"), F.col(order).alias("o"))
-    return described(events.groupBy(*KEYS).applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
+    found = agent.sessions(stream, order=order, gap_s=gap_s, samples=samples, idle_s=idle_s, most=most)
+    return agent.described(found.where("command is null")).drop("first_raw", "command", "at_us", "no")
 
 
 def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The sessions that ``stateful_patterns`` holds under a checkpoint, as rows like its own.
+    """The sessions that ``stateful_patterns`` or ``agent.envelopes`` holds under a checkpoint, as rows like its own.
 
     After a graceful stop these are the rest; the next run begins with a new checkpoint, or emits them again when they end.
     """
-    kept = spark.read.format("statestore").load(checkpoint)
-    s = F.col("value.groupState")
-    at = lambda c: F.timestamp_micros(c)
-    return described(kept.select(*(F.col(f"key.{k}").alias(k) for k in KEYS), s["count"].alias("count"), at(s["first_us"]).alias("ts_first"), at(s["last_us"]).alias("ts_last"), s["first_raw"].alias("first_raw"), s["samples"].alias("sample_raws")).where("count is not null"))
+    return agent.described(agent.still_open(spark, checkpoint)).drop("first_raw")
+
 
+def settle(query, seconds: float = 600, quiet: int = 3) -> None:
+    """Wait until ``quiet`` reports one after the other found nothing new.
 
-def settle(query, seconds: float = 600) -> None:
-    """Wait until a batch found nothing new.  ``processAllAvailable`` doesn't end where state has timeouts by the clock."""
-    until = time.monotonic() + seconds
+    ``processAllAvailable`` doesn't end where state has timers by the clock, and one empty batch may have begun before the source
+    listed what is there.
+    """
+    until, empty = time.monotonic() + seconds, set()
     while query.isActive and time.monotonic() < until:
         last = query.lastProgress
-        if last and not last["numInputRows"] and not query.status["isDataAvailable"]:
-            return
-        time.sleep(0.2)
+        if last:
+            if last["numInputRows"] or query.status["isDataAvailable"]:
+                empty.clear()
+            else:
+                empty.add(last["timestamp"])
+                if len(empty) >= quiet:
+                    return
+        time.sleep(0.1)
 
 
 def stop(query, spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -122,15 +73,9 @@ def bounded_groups(host: str, us: list[int], keys: list[tuple], raws: list[str],
 
     Yields (host, key, session, early); nothing is lost, and what is open at the end comes last.
     """
-    held: dict[tuple, tuple] = {}  # in order of their last line
-    for at, key, raw in zip(us, keys, raws, strict=True):
-        now = held.pop(key, None)
-        if now is None and len(held) >= most:
-            oldest = next(iter(held))
-            yield host, oldest, held.pop(oldest), True
-        done, held[key] = fold(now, np.array([at], np.int64), [raw], gap_us, samples)
-        for session in done:
-            yield host, key, session, False
+    held: OrderedDict[tuple, tuple] = OrderedDict()
+    for key, session, early in agent.bounded(held, us, keys, raws, most, gap_us, samples):
+        yield host, key, session, early
     for key, session in held.items():
         yield host, key, session, False
 
@@ -141,17 +86,7 @@ def bounded_patterns(lines: DataFrame, most: int = 50_000, gap_s: int = 30, samp
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o", kind="stable")
         found = list(bounded_groups(pdf["host"].iloc[0], pdf["us"].tolist(), list(zip(pdf["template"], pdf["severity"], pdf["source"], strict=True)), pdf["raw"].tolist(), most, gap_s * 1_000_000, samples))
-        return _rows([((host, *key), s) for host, key, s, _ in found]).assign(early=[e for *_, e in found])
+        return pd.DataFrame([(host, *key, n, pd.Timestamp(a, unit="us", tz="UTC"), pd.Timestamp(z, unit="us", tz="UTC"), raw, list(raws), early) for host, key, (n, a, z, raw, raws), early in found], columns=[*KEYS, "count", "ts_first", "ts_last", "first_raw", "sample_raws", "early"])
 
     events = dedup.templates(lines).select(*KEYS, "raw", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col(order).alias("o"))
-    return described(events.groupBy("host").applyInPandas(run, f"{OUT}, early boolean"))
-
-
-def write_envelopes(sessions: DataFrame, path: str, checkpoint: str, cycle_s: int = 1800):
-    """Each batch as gzip JSON, once, by batch id; the checkpoint is the log from which it is resumed."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        cycle = F.floor(F.unix_seconds("ts_last") / cycle_s)
-        batch.withColumn("cycle", cycle).write.mode("overwrite").option("compression", "gzip").json(f"{path}/batch={number}")
-
-    return sessions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return agent.described(events.groupBy("host").applyInPandas(run, f"{agent.OUT}, early boolean")).drop("first_raw")

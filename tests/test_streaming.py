@@ -16,7 +16,7 @@ from test_log_engine import as_stream
 from logmill.operators import dedup, wire
 from logmill.plans import catalogue
 from logmill.sources import readers
-from logmill.streaming import delivery
+from logmill.streaming import agent, delivery
 from logmill.streaming import patterns as streaming
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -28,7 +28,7 @@ def line(i, seconds, host="h", text="value"):
 
 
 def run_stream(spark, tmp_path, batches, **options):
-    out = streaming.stateful_patterns(as_stream(spark, str(tmp_path / "in"), batches), **options)
+    out = streaming.stateful_patterns(as_stream(spark, str(tmp_path / "in"), batches), order="event_id", **options)
     name = f"t{tmp_path.name}".replace("-", "_")
     run = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
     return run, name, str(tmp_path / "cp")
@@ -49,7 +49,7 @@ def test_a_late_line_is_merged_and_never_moves_the_end_back(spark, tmp_path):
 
 def test_lines_of_a_batch_come_in_order_of_their_number(spark, tmp_path):
     lines = [line(i, 100 * (i % 2)) for i in range(8)]  # jumps forth and back
-    run, name, cp = run_stream(spark, tmp_path, [lines[::-1]], idle_s=3600, order="event_id")
+    run, name, cp = run_stream(spark, tmp_path, [lines[::-1]], idle_s=3600)
     rest = streaming.stop(run, spark, cp).collect()
     ended = spark.table(name).collect()
     # line 1 is 100 s after line 0; from there on all are late or at the end itself
@@ -83,7 +83,7 @@ def test_fold_against_line_by_line(batches):
     every, done, now = [x for b in batches for x in b], [], None
     raws, at = [str(i) for i in range(len(every))], 0
     for b in batches:
-        ended, now = streaming.fold(now, np.array(b, np.int64), raws[at : at + len(b)], 10, 3)
+        ended, now = agent.fold(now, np.array(b, np.int64), raws[at : at + len(b)], 10, 3)
         done, at = done + ended, at + len(b)
     assert [*done, now] == slow_fold(every, raws, 10, 3)
 
@@ -117,10 +117,6 @@ def Server(*statuses):
     return send
 
 
-def no_wait():
-    return lambda seconds: None
-
-
 @pytest.fixture
 def spool(spark, tmp_path):
     folder = tmp_path / "spool"
@@ -132,31 +128,35 @@ def spool(spark, tmp_path):
     return folder, texts
 
 
-def test_delivery_policy_of_a_batch(spark, spool):
-    files = readers.spool_source(spark, str(spool[0]))
-    todo = delivery.pending(files, spark.createDataFrame([], delivery.LEDGER)).coalesce(1)
-    assert [r.name[9] for r in todo.collect()] == ["0", "1", "2"]
-    for statuses, want in (((503, 429, 200), ("sent", 3)), ((400,), ("failed", 1)), ((None,), ("failed", 10))):
-        got = delivery.deliver(todo.limit(1), Server(*statuses), sleep=no_wait()).collect()[0]
-        critical = todo.first().critical
-        assert (got.state, got.attempts) == (want if want[1] < 5 or critical else ("failed", 5)) and got.bytes > 0
+def at(minute):
+    return wire.F.lit(T0 + dt.timedelta(minutes=minute))
+
+
+def test_delivery_policy_of_a_round(spark, spool, tmp_path):
+    files = readers.spool_source(spark, str(spool[0])).where("name like '01HM000000%' or name like '01HM000009%'")
+    for name, status, want in (("a", 503, "waiting"), ("b", 429, "waiting"), ("c", None, "waiting"), ("d", 400, "failed"), ("e", 302, "failed"), ("f", 204, "sent")):
+        assert delivery.run_round(spark, files, str(tmp_path / name), Server(status), 0, at(0)) == {want: 1}
+    to = str(tmp_path / "a")
+    critical = files.first().envelope.headers.counts.by_severity.critical > 0
+    assert delivery.run_round(spark, files, to, Server(503), 1, at(0)) == {}  # not due yet
+    states = [delivery.run_round(spark, files, to, Server(503), k, at(10 * k)) for k in range(2, 13)]
+    tries = 10 if critical else 5
+    assert states[: tries - 1] == [{"waiting": 1}] * (tries - 2) + [{"failed": 1}] and not any(states[tries - 1 :])
+    last = delivery.latest(delivery.ledger(spark, to)).collect()
+    assert [(r.state, r.attempts) for r in last] == [("failed", tries)] and last[0].bytes > 0
 
 
-def test_run_sends_once_drains_and_replays(spark, spool, tmp_path):
+def test_rounds_send_once_and_replay(spark, spool, tmp_path):
     folder, texts = spool
     to = str(tmp_path / "ledger")
-    first = delivery.run(spark, str(folder), to, Server(400), sleep=no_wait())
-    assert first == {"failed": 3}
-    assert delivery.run(spark, str(folder), to, Server(200), sleep=no_wait()) == {}  # nothing new, so nothing that says the way is free
+    go = lambda number, status, **more: delivery.run_round(spark, readers.spool_source(spark, str(folder)), to, Server(status), number, at(number), **more)
+    assert go(0, 400) == {"failed": 3} and go(1, 200) == {}
     (folder / "01HM0000050000000000000000.json").write_text(texts[0])
-    assert delivery.run(spark, str(folder), to, Server(200), auto_drain=False, sleep=no_wait()) == {"sent": 1}
-    (folder / "01HM0000060000000000000000.json").write_text(texts[1])
-    assert delivery.run(spark, str(folder), to, Server(200), sleep=no_wait()) == {"sent": 1, "drained": 3}
-    assert delivery.run(spark, str(folder), to, Server(200), sleep=no_wait()) == {}
-    states = delivery.ledger(spark, to).groupBy("name").agg({"state": "max"}).collect()
-    assert len(states) == 5 and all(r[1] == "sent" for r in states)
-    assert delivery.claim(spark, f"{to}.lock") and delivery.run(spark, str(folder), to, Server(200)) == {"busy": 1}
-    delivery.release(spark, f"{to}.lock")
+    assert go(2, 200) == {"sent": 1}
+    assert go(2, 200) == {"sent": 1}  # run again after a crash: the same rows in place of the first
+    assert go(3, 200, again=True) == {"sent": 3} and go(4, 200, again=True) == {}
+    states = delivery.latest(delivery.ledger(spark, to)).collect()
+    assert len(states) == 4 and all(r.state == "sent" for r in states)
 
 
 def test_http_statuses():
