@@ -218,4 +218,5 @@ def byte_bpe() -> Encoder:
 
 @cache
 def word_bpe() -> Encoder:
-    return Encoder(path_of("word_bpe_49k.json"), spaced=False)
+    # used by token files alone, whose tasks hold little else: room for more pieces
+    return Encoder(path_of("word_bpe_49k.json"), spaced=False, remembered=800_000)
