@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logmill.functions import extract, normalize, scalars, severity
 from logmill.operators import dedup as d
 from logmill.operators import envelopes as v
-from logmill.operators import running, wire
+from logmill.operators import running, snapshots, wire
 from logmill.plans import oracle
 from logmill.sources import readers, synth
 
@@ -78,6 +78,34 @@ def posted(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", F.col("ts").alias("received_at"), wire.from_json(text).alias("envelope"))
 
 
+def host_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(host, at, file, text): two samples of each host's files, with numbers counted from its events."""
+    host = F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string")).alias("host")
+    counted = events(spark, sf).groupBy(host).agg(F.count_if(F.col("event_id") % 2 == 0).alias("a"), F.count("*").alias("b"), F.max("ts").alias("end"))
+    sample = counted.select("host", "a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("s"), "end").withColumns({"n": F.when(F.col("s") == 0, F.col("a")).otherwise(F.col("b")), "at": F.when(F.col("s") == 0, F.col("end") - F.expr("interval 10 seconds")).otherwise(F.col("end"))})
+    n, a = F.col("n"), F.col("a")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    files = {
+        "/proc/stat": text("cpu  ", n * 3 + F.col("s") * (a % 10), " 0 ", n, " ", n * 5, " ", n, " 0 0 0\nbtime 1704067200\n"),
+        "/proc/meminfo": text("MemTotal: ", F.col("b") * 2048, " kB\nMemFree: ", a * 1024, " kB\nMemAvailable: ", a * 1500, " kB\nBuffers: 1024 kB\nCached: 2048 kB\nSwapTotal: ", n, " kB\n"),
+        "/proc/loadavg": text(n % 7, ".25 0.50 0.75 1/100 9\n"),
+        "/proc/diskstats": text("   8 0 sda ", n, " 0 0 0 ", n * 2, " 0 0 0 0 ", n, " 0\n   8 1 sda1 ", n, " 0 0 0 1 0 0 0 0 1 0\n"),
+        "/proc/net/dev": text("Inter-|\n face |\n    lo: 1 0 0 0 0 0 0 0 1 0\n  eth0: ", n * 100, " 0 0 0 0 0 0 0 ", n * 50, " 0\n"),
+        "/proc/net/tcp": F.concat(F.lit("  sl local rem st\n"), F.repeat(F.lit(" 0: A B 01 x\n"), (n % 5).cast("int")), F.lit(" 1: A B 06 x\n")),
+        "/proc/sys/vm/swappiness": text(n % 100, "\n"),
+        "/etc/hostname": text(F.col("host"), "\n"),
+        snapshots.REPORTS["units"]: F.concat(F.lit("* a.service loaded failed failed A\n"), F.repeat(F.lit("b.timer loaded active waiting B\n"), (n % 3).cast("int"))),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("file"), v.alias("text")) for k, v in files.items()))
+    return sample.select("host", F.col("at").cast("timestamp").alias("at"), F.explode(pairs).alias("x")).select("host", "at", "x.*")
+
+
+def snapshot_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Stat snapshots as a receiver holds them: written as JSON and read again."""
+    made = snapshots.envelopes(host_texts(spark, sf), host_id=F.md5("host"), boot_id=F.lit("boot"))
+    return made.select("host", F.col("at").alias("received_at"), wire.to_json(F.col("envelope")).alias("json")).select("host", "received_at", wire.from_json(F.col("json")).alias("envelope"))
+
+
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("event_id")
     state = F.when(n % 3 == 0, "sent").when(n % 17 == 5, "failed").otherwise("queued")
@@ -314,6 +342,33 @@ def bind_by_host_id(spark, sf):
     return found.select("host_id", *(F.col(k)["cycle"]["seq"].alias(f"{k}_seq") for k in wire.KINDS))
 
 
+@query
+def stat_snapshot_values(spark, sf):
+    """P-13, J1: values out of the sections' Variants."""
+    rows = snapshots.stored(snapshot_records(spark, sf))
+    get = lambda section, path, kind: F.max(F.when(F.col("section") == section, F.try_variant_get("data", path, kind)))
+    metrics = {"total_mb": ("$.memory.total_mb", "bigint"), "used_mb": ("$.memory.used_mb", "bigint"), "usage_pct": ("$.cpu.usage_pct", "double"), "load_1m": ("$.load_avg['1m']", "double"), "reads_per_sec": ("$.disk_io.sda.reads_per_sec", "double"), "rx_bytes_per_sec": ("$.network.eth0.rx_bytes_per_sec", "double")}
+    n_units = F.max(F.when(F.col("section") == "systemd", F.size(F.from_json(F.to_json("data"), "array<string>")))).cast("long")
+    return rows.groupBy("host").agg(*(get("metrics", path, kind).alias(k) for k, (path, kind) in metrics.items()), get("network", "$.connections.established", "bigint").alias("established"), get("static_state", "$.sysctl['vm.swappiness']", "string").alias("swappiness"), get("config", "$.files['/etc/hostname']", "string").alias("hostname"), n_units.alias("n_units"))
+
+
+@query
+def stat_snapshot_sections(spark, sf):
+    """P-13: the order of the sections, and what the headers say."""
+    e = F.col("envelope")
+    names = F.array_join(F.transform(e["body"], lambda s: s["section"]), ",")
+    return snapshot_records(spark, sf).select("host", e["event_kind"].alias("event_kind"), e["cycle"]["ts"].alias("ts"), e["cycle"]["seq"].alias("seq"), e["headers"]["total_sections"].alias("total_sections"), e["headers"]["duration_ms"].alias("duration_ms"), names.alias("sections"))
+
+
+@query
+def snapshot_bind(spark, sf):
+    """The last log batch and the last stat snapshot of each host, in one row."""
+    both = received(spark, sf).select(F.col("received_at").cast("timestamp").alias("received_at"), "envelope").union(snapshot_records(spark, sf).select("received_at", "envelope"))
+    found = wire.bound_by_host(both)
+    stat = F.parse_json(F.element_at(F.col("stat_snapshot")["body"], 1)["data"])
+    return found.select("host_id", F.col("log_batch")["cycle"]["seq"].alias("seq"), F.variant_get(stat, "$.memory.total_mb", "bigint").alias("total_mb"), F.col("sos_snapshot").isNull().alias("no_sos"))
+
+
 @query
 def seen_anti_join(spark, sf):
     own = events(spark, sf).select("event_id")

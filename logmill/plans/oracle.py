@@ -117,6 +117,9 @@ batch AS (SELECT g.* EXCLUDE (ts_first, ts_last), {STAMP.format('g.ts_first')} A
 OOM = "template = 'Memory cgroup out of memory: Killed process <NUM> inside tundra' AND severity = 'critical' AND source = 'file.syslog'"
 POSTED = "posted AS (SELECT event_id, ts, ['log_batch', 'stat_snapshot', 'sos_snapshot', 'other'][event_id % 4 + 1] AS kind, CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS b, CASE WHEN event_id % 7 <> 0 THEN 'h' || (event_id % 50)::VARCHAR END AS host_id FROM events)"
 
+#: The numbers of catalogue.host_texts and what its files say of them; a and b are the events counted in the two samples.
+HOSTS = "hosts AS (SELECT 'host' || (user_id % 5)::VARCHAR AS host, count(*) FILTER (event_id % 2 = 0) AS a, count(*) AS b, max(ts) AS last_at FROM events GROUP BY 1)"
+
 ORACLES: dict[str, str] = {f"mask_{name}": f"WITH {LINES} SELECT event_id, regexp_replace(raw, {q(p)}, {q(m)}, 'g') AS masked FROM lines WHERE regexp_matches(raw, {q(p)})" for name, p, m in normalize.MASKS}
 ORACLES |= {
     "event_patterns": f"WITH {PATTERNS} SELECT template, severity, category, count(*) AS n FROM patterns GROUP BY ALL",
@@ -154,6 +157,9 @@ SELECT one.*, sum(n) OVER ()::BIGINT AS total_count, count(*) OVER () AS affecte
     "recv_idempotent": f"WITH {RECORDS}, twice AS (SELECT host, seq, received_at, 0 AS copy FROM records UNION ALL SELECT host, seq, received_at, 1 FROM records WHERE seq % 5 = 0) SELECT host, seq, received_at, copy FROM twice QUALIFY row_number() OVER (PARTITION BY host, seq ORDER BY received_at, copy) = 1",
     "recv_analyze": f"WITH {POSTED} SELECT kind, count(*) AS received, max(ts) AS latest, CASE max(CASE WHEN b = 0 THEN 0 ELSE b END) WHEN 0 THEN '' ELSE concat_ws(',', CASE WHEN bool_or(b = 1) THEN 'logs' END, CASE WHEN bool_or(b = 2) THEN 'metrics,network' END) END AS section_names, CASE kind WHEN 'log_batch' THEN 'ingest' WHEN 'stat_snapshot' THEN 'stat' WHEN 'sos_snapshot' THEN 'sos' END AS store FROM posted GROUP BY kind",
     "bind_by_host_id": f"WITH {POSTED} SELECT host_id, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'log_batch') AS log_batch_seq, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'stat_snapshot') AS stat_snapshot_seq, arg_max(CASE WHEN host_id IS NOT NULL THEN event_id END, ts) FILTER (kind = 'sos_snapshot') AS sos_snapshot_seq FROM posted GROUP BY host_id",
+    "stat_snapshot_values": f"WITH {HOSTS} SELECT host, b * 2048 // 1024 AS total_mb, greatest(b * 2048 // 1024 - (a * 1024 // 1024 + 1 + 2), 0) AS used_mb, round((4 * (b - a) + a % 10) * 100.0 / (10 * (b - a) + a % 10), 2) AS usage_pct, b % 7 + 0.25::DOUBLE AS load_1m, round((b - a) / 10.0, 2) AS reads_per_sec, round((b - a) * 10.0, 2) AS rx_bytes_per_sec, b % 5 AS established, (b % 100)::VARCHAR AS swappiness, host || chr(10) AS hostname, 1 + b % 3 AS n_units FROM hosts",
+    "stat_snapshot_sections": f"WITH {HOSTS} SELECT host, 'stat_snapshot' AS event_kind, {STAMP.format('last_at')} AS ts, NULL::BIGINT AS seq, 7 AS total_sections, 10000 AS duration_ms, 'metrics,processes,network,systemd,static_state,config,hardware' AS sections FROM hosts",
+    "snapshot_bind": f"WITH {RECORDS}, {HOSTS} SELECT md5(host) AS host_id, max(seq) - 1 AS seq, any_value(b * 2048 // 1024) AS total_mb, true AS no_sos FROM records JOIN hosts USING (host) GROUP BY host",
     "seen_anti_join": "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id = e.event_id AND s.event_id % 3 = 0)",
     "seq_gaps": f"WITH {RECORDS}, kept AS (SELECT host, seq FROM records WHERE seq % 9 <> 4), nexts AS (SELECT host, seq + 1 AS gap_from, lead(seq) OVER (PARTITION BY host ORDER BY seq) - 1 AS gap_to FROM kept) SELECT * FROM nexts WHERE gap_to >= gap_from",
     "host_silence_35m": f"WITH {RECORDS}, gaps AS (SELECT host, lag(received_at) OVER (PARTITION BY host ORDER BY received_at) AS silent_from, received_at AS silent_to FROM records) SELECT host, silent_from, silent_to, (epoch_us(silent_to) - epoch_us(silent_from)) / 60000000.0 AS minutes FROM gaps WHERE epoch_us(silent_to) - epoch_us(silent_from) > 35 * 60000000",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill.functions import scalars
+from logmill.functions.extract import quoted  # noqa: F401
 
 
 #: Clock ticks a second.
@@ -16,7 +17,7 @@ def _number(text: Column, pattern: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("bigint"), F.lit(0))
 
 
-def _clean(text: Column) -> Column:
+def clean(text: Column) -> Column:
     """Without white space, line ends included, at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -35,7 +36,7 @@ def memory(df: DataFrame, text: str = "text") -> DataFrame:
     kb = {name: _number(F.col(text), rf"(?m)^{key}:\s+(\d+)") for name, key in (("total", "MemTotal"), ("free", "MemFree"), ("available", "MemAvailable"), ("buffers", "Buffers"), ("cached", "Cached"), ("swap_total", "SwapTotal"), ("swap_free", "SwapFree"))}
     mb = {k: F.floor(v / 1024).cast("long") for k, v in kb.items()}
     used = scalars.saturating_sub(mb["total"], mb["free"] + mb["buffers"] + mb["cached"])
-    return df.select("host", mb["total"].alias("total_mb"), used.alias("used_mb"), mb["free"].alias("free_mb"), mb["available"].alias("available_mb"), (mb["buffers"] + mb["cached"]).alias("cache_mb"), scalars.saturating_sub(mb["swap_total"], mb["swap_free"]).alias("swap_used_mb"))
+    return df.select("host", mb["total"].alias("total_mb"), used.alias("used_mb"), mb["free"].alias("free_mb"), mb["available"].alias("available_mb"), (mb["buffers"] + mb["cached"]).alias("cache_mb"), mb["swap_total"].alias("swap_total_mb"), scalars.saturating_sub(mb["swap_total"], mb["swap_free"]).alias("swap_used_mb"))
 
 
 def loadavg(df: DataFrame, text: str = "text") -> DataFrame:
@@ -86,6 +87,11 @@ def pressure(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("host", pct("some").alias("some_pct"), pct("full").alias("full_pct"))
 
 
+def total_kb(text: Column) -> Column:
+    """The host's memory, of its meminfo text."""
+    return _number(text, r"(?m)^MemTotal:\s+(\d+)")
+
+
 def boot_time(text: Column) -> Column:
     """Seconds since 1970 at which the host started, of its stat text."""
     return _number(text, r"(?m)^btime\s+(\d+)")
@@ -120,7 +126,8 @@ def processes(df: DataFrame, users: DataFrame | None = None, text: str = "text",
         columns["mem_pct"] = F.round(rss * 100 / F.greatest(F.col(total_kb), F.lit(1)), 2)
     rows = df.select("host", *(c.alias(n) for n, c in columns.items()))
     if users is not None:
-        rows = rows.join(users.select(F.col("uid").cast("string").alias("uid"), "user"), "uid", "left")
+        on = ["host", "uid"] if "host" in users.columns else ["uid"]
+        rows = rows.join(users.withColumn("uid", F.col("uid").cast("string")).select(*on, "user"), on, "left")
     else:
         rows = rows.withColumn("user", F.lit(None).cast("string"))
     rows = rows.withColumn("user", F.coalesce("user", "uid"))
@@ -129,9 +136,10 @@ def processes(df: DataFrame, users: DataFrame | None = None, text: str = "text",
 
 
 def passwd(df: DataFrame, text: str = "text") -> DataFrame:
-    """uid and user of a passwd text."""
+    """host, uid and user of a passwd text; of a uid that has several names the first by name."""
     w = F.split("line", ":")
-    return df.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.size(w) >= 3).select(w[2].alias("uid"), w[0].alias("user"))
+    rows = df.select("host", F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.size(w) >= 3)
+    return rows.groupBy("host", w[2].alias("uid")).agg(F.min(w[0]).alias("user"))
 
 
 def connections(df: DataFrame, text: str = "text") -> DataFrame:
@@ -154,8 +162,8 @@ def interfaces(df: DataFrame, text: str = "text", details: str = "details") -> D
     rows = df.select("host", F.col(details).alias("_d"), F.explode(F.slice(F.split(F.col(text), "\n"), 3, 1 << 20)).alias("line")).where(F.contains("line", F.lit(":")))
     rows = rows.withColumn("dev", F.trim(F.substring_index("line", ":", 1))).where("dev <> 'lo'")
     own = F.try_element_at("_d", F.col("dev"))
-    up = F.upper(_clean(own["operstate"])) == "UP"
-    return rows.select("host", "dev", F.when(up, "UP").otherwise("DOWN").alias("state"), F.coalesce(_clean(own["mtu"]).try_cast("bigint"), F.lit(0)).alias("mtu"))
+    up = F.upper(clean(own["operstate"])) == "UP"
+    return rows.select("host", "dev", F.when(up, "UP").otherwise("DOWN").alias("state"), F.coalesce(clean(own["mtu"]).try_cast("bigint"), F.lit(0)).alias("mtu"))
 
 
 def units(df: DataFrame, text: str = "text") -> DataFrame:
@@ -171,7 +179,7 @@ def sysctl(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def selinux(text: Column) -> Column:
-    return F.when(_clean(text) == "1", "enforcing").when(_clean(text) == "0", "permissive").otherwise("disabled")
+    return F.when(clean(text) == "1", "enforcing").when(clean(text) == "0", "permissive").otherwise("disabled")
 
 
 def modules(df: DataFrame, text: str = "text", most: int = 50) -> DataFrame:
@@ -199,7 +207,7 @@ def config_file(text: Column, most: int = 4096) -> Column:
 
 def command_line(text: Column) -> Column:
     """P-10: the kernel's command line, empty where it is absent."""
-    return F.coalesce(_clean(text), F.lit(""))
+    return F.coalesce(clean(text), F.lit(""))
 
 
 def chrony(text: Column) -> Column:
@@ -232,9 +240,9 @@ def hardware_memory(text: Column) -> Column:
 
 def disks(df: DataFrame) -> DataFrame:
     """P-12: whole disks of rows (host, dev, model, size: texts of the device's files), sizes in sectors of 512 bytes."""
-    size = F.coalesce(_clean(F.col("size")).try_cast("bigint"), F.lit(0))
+    size = F.coalesce(clean(F.col("size")).try_cast("bigint"), F.lit(0))
     kept = df.where(~F.col("dev").rlike("^(loop|ram|dm-)"))
-    return kept.select("host", "dev", F.coalesce(_clean(F.col("model")), F.lit("")).alias("model"), F.floor(size * 512 / 1_000_000_000).cast("long").alias("size_gb"), F.lit("UNKNOWN").alias("smart_status"))
+    return kept.select("host", "dev", F.coalesce(clean(F.col("model")), F.lit("")).alias("model"), F.floor(size * 512 / 1_000_000_000).cast("long").alias("size_gb"), F.lit("UNKNOWN").alias("smart_status"))
 
 
 def pci(df: DataFrame, text: str = "text", most: int = 20) -> DataFrame:
@@ -256,9 +264,3 @@ def cpu_info(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     ids = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?m)^physical id\s*:\s*(\d+)"), F.lit(1)))
     return df.select("host", F.trim(F.regexp_extract(t, r"(?m)^model name\s*:\s*(.*)$", 1)).alias("model"), F.greatest(F.size(ids), F.lit(1)).cast("long").alias("sockets"), F.greatest(_number(t, r"(?m)^cpu cores\s*:\s*(\d+)"), F.lit(1)).alias("cores_per_socket"), F.size(F.regexp_extract_all(t, F.lit(r"(?m)^(processor)\s*:"), F.lit(1))).cast("long").alias("threads"))
-
-
-def sections(parts: dict[str, Column]) -> Column:
-    """P-13: sections in their fixed order, as JSON."""
-    order = [k for k in ("metrics", "processes", "network", "systemd", "static_state", "config", "hardware", "logs") if k in parts]
-    return F.array(*[F.struct(F.lit(k).alias("section"), F.to_json(parts[k]).alias("data")) for k in order])
