@@ -31,6 +31,8 @@ NAMED = [
     ("wtfpl", "WTFPL", ["Do What The F*ck You Want To Public License"], ["WTFPL"]),
     ("cc0", "CC0-1.0", ["Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal", "Creative Commons Zero License"], ["CC0 1.0", "CC0-1.0", "CC0"]),
 ]
+# Fixed values: (identifier stem, licence) of those known by their SPDX tag alone.
+TAGGED = [("lgpl-2.0", "LGPL-2.0"), ("lgpl-2.0-only", "LGPL-2.0-only"), ("lgpl-2.0-or-later", "LGPL-2.0-or-later"), ("bsd-4", "BSD-4-Clause"), ("ms-pl", "MS-PL"), ("ms-rl", "MS-RL"), ("cc-by-2.0", "CC-BY-2.0"), ("cc-by-2.5", "CC-BY-2.5"), ("cc-by-sa-2.0", "CC-BY-SA-2.0"), ("cc-by-sa-2.5", "CC-BY-SA-2.5"), ("gfdl-1.3", "GFDL-1.3-or-later"), ("afl-3.0", "AFL-3.0"), ("osl-3.0", "OSL-3.0")]
 # The families that are named by versions.
 GNU = [("gpl", "GPL", "General", ["2", "3"]), ("lgpl", "LGPL", "Lesser General", ["2.1", "3"]), ("agpl", "AGPL", "Affero General", ["3"])]
 CREATIVE_COMMONS = [("cc-by", "BY", "Attribution"), ("cc-by-sa", "BY-SA", "Attribution-ShareAlike"), ("cc-by-nc", "BY-NC", "Attribution-NonCommercial"), ("cc-by-nd", "BY-ND", "Attribution-NoDerivatives"), ("cc-by-nc-sa", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nc-nd", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
@@ -41,7 +43,7 @@ LABELS = ["License:", "Licence:", "The license is", "License is"]
 
 # Sentences of licence texts and notices, as published.
 TEXTS = {
-    "apache-2-name": ["Licensed under the Apache License, Version 2.0 (the License)"],
+    "apache-2-name": ["Licensed under the Apache License, Version 2.0 (the License)", "The ASF licenses this file to You under the Apache License, Version 2.0 (the License)"],
     "apache-2-use": ["you may not use this file except in compliance with the License"],
     "apache-2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "gpl-warranty": [f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE" for what in ("program", "library", "software", "file")],
@@ -55,7 +57,7 @@ TEXTS = {
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsl-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following", "Distributed under the Boost Software License, Version 1.0 (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"],
     "unlicense-release": ["This is free and unencumbered software released into the public domain"],
     "unlicense-free": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
@@ -68,6 +70,7 @@ TEXTS = {
     "public-domain": ["This work is in the public domain", "Released into the public domain", "This file is in the public domain"],
     "reserved": ["All rights reserved"],
     "copyright": ["Copyright"],
+    "mit-apache-dual": [f"{lead}{names}{tail}" for lead in ("Dual-licensed under ", "Dual licensed under ", "Licensed under either of ", "Licensed under ", "This project is dual-licensed under ") for a in ("MIT", "the MIT license", "MIT license") for b in ("Apache-2.0", "Apache 2.0", "Apache License, Version 2.0", "the Apache License, Version 2.0") for both in ("and", "or") for names in (f"{a} {both} {b}", f"{b} {both} {a}") for tail in ("", " at your option")],
     "heading": ["License", "Licence", "Licensing"],
 }
 
@@ -88,6 +91,7 @@ SEQUENCES = [
     ("MPL-2.0", ["mpl-2-name", "mpl-2-copy"]),
     ("BSL-1.0", ["bsl-name", "bsl-grant"]),
     ("all-rights-reserved", ["copyright", "reserved"]),
+    ("MIT,Apache-2.0", ["mit-apache-dual"]),  # two licences
 ]
 # Rules over one sentence of a licence text.
 SINGLE = [("MIT", "mit-grant"), ("ISC", "isc-grant"), ("0BSD", "bsd-0-grant"), ("BSL-1.0", "bsl-grant"), ("Unlicense", "unlicense-release"), ("Zlib", "zlib-grant"), ("public-domain", "public-domain")]
@@ -149,6 +153,10 @@ def build() -> tuple[dict[str, list[str]], list[tuple[str, list[str]]], dict[str
         sentences[f"spdx-{stem}"] = [f"SPDX-License-Identifier: {licence}"]
         spdx[licence.lower()] = f"spdx-{stem}"
         last.append((licence, [f"spdx-{stem}"]))
+    for stem, licence in TAGGED:
+        sentences[f"spdx-{stem}"] = [f"SPDX-License-Identifier: {licence}"]
+        spdx[licence.lower()] = f"spdx-{stem}"
+        last.append((licence, [f"spdx-{stem}"]))
     rules += [(licence, [name]) for licence, name in SINGLE] + last
     # names in use before "-only" and "-or-later"
     spdx |= {f"{k.removesuffix('-or-later')}+": v for k, v in spdx.items() if k.endswith("-or-later")}

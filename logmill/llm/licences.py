@@ -2,7 +2,7 @@
 
 A text is cut into sentences twice, as running text (line ends are spaces) and line by line, since notices are wrapped
 in some files and stand alone on a line in others.  A sentence is normalised (lower case, words alone, years and holders
-of a copyright left out) and looked up among the known licence sentences; parts that make up a known one together count as
+of a copyright left out, holders within a sentence replaced by the words of the known one) and looked up among the known licence sentences; parts that make up a known one together count as
 that one.  The sequence of their identifiers, in order of
 place, is matched against the rules in order: a rule takes the first place where its identifiers stand one after another
 among those no earlier rule has taken, as often as it can.
@@ -36,6 +36,14 @@ _WORD = re.compile(r"\w+(?:[.\-]\w+)*\+?")
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "https": "http"}
 
 
+#: Names of holders within a sentence: whoever is named there, the sentence is the one with the words on the right.
+_GAP = r"[\s*#/;\-]+"
+_HOLDERS = [
+    (re.compile(rf"\bneither{_GAP}(?:the{_GAP})?names?{_GAP}of\b.{{1,300}}?\bnor{_GAP}the{_GAP}names{_GAP}of{_GAP}(?:its|their|any|other|the){_GAP}contributors\b", re.IGNORECASE | re.DOTALL), "Neither the name of the copyright holder nor the names of its contributors"),
+    (re.compile(rf"\bthe{_GAP}names?{_GAP}of\b.{{1,300}}?\bmay{_GAP}not{_GAP}be{_GAP}used{_GAP}to{_GAP}endorse{_GAP}or{_GAP}promote\b", re.IGNORECASE | re.DOTALL), "The name of the author may not be used to endorse or promote"),
+]
+
+
 def normalise(sentence: str) -> str:
     return " ".join(_SAME.get(w, w) for w in _WORD.findall(sentence.lower()))
 
@@ -85,6 +93,9 @@ def identifiers(text: str | None) -> list[str]:
     """Known sentences in order of place."""
     if not text or not _MARK.search(text):
         return []
+    if "endorse" in text.lower():
+        for pattern, words in _HOLDERS:
+            text = pattern.sub(words, text)
     found: dict[int, str] = dict(tagged(text))
     for end in (_END, _LINE):
         parts, i = sentences(text, end), 0
@@ -114,7 +125,7 @@ def match(names: list[str]) -> list[str]:
                 i += n
             else:
                 i += 1
-    out = list(dict.fromkeys(x for _, x in sorted(found)))
+    out = list(dict.fromkeys(x for _, licence in sorted(found) for x in licence.split(",")))
     return out + ["unknown"] * any(x and x not in SILENT for x in free)
 
 
