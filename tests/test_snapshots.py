@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logmill.operators import snapshots, wire
 
 T0 = dt.datetime(2024, 1, 1, 12)
-STAT = "12 (a (b) c) S 1 " + " ".join(str(i) for i in range(2, 12)) + " 300 100 " + " ".join(["0"] * 4) + " 17 0 1000 7 8"
+STAT = "12 (a (b) c) S " + " ".join(str(i) for i in range(1, 11)) + " 300 100 " + " ".join(["0"] * 4) + " 17 0 1000 7 8"
 DISK = "   8 0 sda {} 0 0 0 {} 0 0 0 0 {} 0\n   8 1 sda1 1 0 0 0 1 0 0 0 0 1 0\n"
 NET = "Inter-|\n face |\n    lo: 1 0 0 0 0 0 0 0 1 0\n  eth0: {} 0 0 0 0 0 0 0 {} 0\n"
 FULL = {
