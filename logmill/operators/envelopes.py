@@ -13,6 +13,32 @@ CYCLE_S = 1800
 ALERTS = {"kernel.panic", "kernel.oom", "container.oom", "hw.mce", "fs.readonly"}
 
 
+#: What to do first, for each category but the fallback.
+PLAYBOOK = [
+    ("kernel.oom", "add memory"),
+    ("container.oom", "raise the container's memory limit"),
+    ("kernel.bug", "update the kernel"),
+    ("kernel.panic", "collect the crash dump and reboot"),
+    ("process.crash", "read the core dump"),
+    ("fs.error", "check the file system"),
+    ("fs.readonly", "check the disk, then remount"),
+    ("hw.mce", "test memory and processor"),
+    ("disk.smart_error", "back up and replace disk"),
+    ("disk.io_error", "replace disk"),
+    ("disk.link_error", "check the cable and controller"),
+    ("net.error", "raise the connection limits"),
+    ("net.watchdog", "update the driver or replace the card"),
+    ("systemd.unit_failure", "read the unit's journal"),
+    ("systemd.restart_loop", "fix the unit's start, then reset it"),
+    ("auth.bruteforce", "block address"),
+    ("auth.failure", "check the account"),
+    ("auth.event", "confirm that the login was expected"),
+    ("session.activity", "none needed"),
+    ("ntp.drift", "check the time source"),
+    ("selinux.denial", "review the policy"),
+]
+
+
 def severity_sums(weight: str = "count") -> list[Column]:
     """A4: sums by severity; unknown ones count as info."""
     known = F.coalesce(F.col("severity").isin(LEVELS[:3]), F.lit(False))

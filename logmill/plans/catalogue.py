@@ -476,7 +476,8 @@ def uid_lookup_join(spark, sf):
 
 @query
 def playbook_join(spark, sf):
-    playbook = spark.createDataFrame([("kernel.oom", "add memory"), ("disk.io_error", "replace disk"), ("auth.bruteforce", "block address")], "category string, remedy string")
+    # a constant: one row for each category
+    playbook = spark.createDataFrame(v.PLAYBOOK, "category string, remedy string")
     return patterns(spark, sf).select("event_id", "category").join(F.broadcast(playbook), "category", "left")
 
 

@@ -91,7 +91,7 @@ RECORDS = f"""{CYCLES}, per_cycle AS (SELECT host, cycle, count(*) AS n_events,
 records AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY cycle) AS seq, make_timestamp((cycle + 1) * 1800000000) AS received_at, 'boot' || (cycle // 700)::VARCHAR AS boot_id FROM per_cycle)"""
 LEDGER = """ledger AS (SELECT event_id, 'host' || (user_id % 5)::VARCHAR AS host, ts AS queued_at, lpad(event_id::VARCHAR, 12, '0') AS name, (event_id * 7919) % 90000 + 1000 AS bytes, CASE WHEN event_id % 3 = 0 THEN 'sent' WHEN event_id % 17 = 5 THEN 'failed' ELSE 'queued' END AS state FROM events)"""
 SAMPLES = "samples AS (SELECT 'host' || (user_id % 5)::VARCHAR AS host, event_type AS dev, event_id, ts, event_id * 13 AS counter FROM events)"
-PLAYBOOK = "playbook(category, remedy) AS (VALUES ('kernel.oom', 'add memory'), ('disk.io_error', 'replace disk'), ('auth.bruteforce', 'block address'))"
+PLAYBOOK = "playbook(category, remedy) AS (VALUES ('kernel.oom', 'add memory'), ('container.oom', 'raise the container''s memory limit'), ('kernel.bug', 'update the kernel'), ('kernel.panic', 'collect the crash dump and reboot'), ('process.crash', 'read the core dump'), ('fs.error', 'check the file system'), ('fs.readonly', 'check the disk, then remount'), ('hw.mce', 'test memory and processor'), ('disk.smart_error', 'back up and replace disk'), ('disk.io_error', 'replace disk'), ('disk.link_error', 'check the cable and controller'), ('net.error', 'raise the connection limits'), ('net.watchdog', 'update the driver or replace the card'), ('systemd.unit_failure', 'read the unit''s journal'), ('systemd.restart_loop', 'fix the unit''s start, then reset it'), ('auth.bruteforce', 'block address'), ('auth.failure', 'check the account'), ('auth.event', 'confirm that the login was expected'), ('session.activity', 'none needed'), ('ntp.drift', 'check the time source'), ('selinux.denial', 'review the policy'))"
 
 
 def extracted(key: str) -> str:

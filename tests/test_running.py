@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logmill.functions import classify
 from logmill.operators import dedup, envelopes, running
 from logmill.sources import readers
 
@@ -93,3 +94,8 @@ def test_cap_of_cycles(spark):
     got = {(r.cycle, r.event_id): r.outcome for r in dedup.cycle_cap(df, ["host", "cycle"], 10).collect()}
     assert got == {(c, i): s for c, own in cycles.items() for i, s in dedup.fold_cap(own, 10)}
     assert set(got.values()) == {"kept", "evicted", "skipped"}
+
+
+def test_each_category_has_one_remedy():
+    named = [c for c, _ in envelopes.PLAYBOOK]
+    assert set(named) == {r.category for r in classify.RULES} - {classify.DEFAULT} and len(named) == len(set(named)) and all(x for _, x in envelopes.PLAYBOOK)
