@@ -11,6 +11,9 @@ An index has ``BLOCK_BYTES`` of text at most, as a rule all items; more of them
 documents each.  Seeds that many items share are left out of the index where an item can't be covered by them alone
 (``telling``), so a stem that a whole benchmark has in common brings up none of its items.
 
+Where a few words repeat so often that a list of all meeting seeds would grow with the product of both texts, the longest
+free match is searched by its length instead (``tile_repeats``), in memory of the texts' size and with the same tiles.
+
 Null and empty texts, and items without words, match nothing; an item of fewer words than ``MIN_MATCH`` has to be there
 as a whole.  Repeated rows are judged alike, very long texts whole; an empty table gives no rows, and empty test items
 contaminate nothing.  Other columns, whatever their names, are not read, and ``clean`` returns them unchanged.
@@ -35,6 +38,9 @@ from . import common
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 64_000_000
+#: most meeting seeds that are listed; more of them go by ``tile_repeats``
+MOST_PAIRS = 50_000
+BASE = 0x9E3779B97F4A7C15
 
 _WORD = re.compile(r"\w+")
 
@@ -47,7 +53,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 @cache
 def _weights(n: int) -> np.ndarray:
     """Powers of an odd base: a Karp-Rabin hash modulo 2**64."""
-    return np.array([pow(0x9E3779B97F4A7C15, n - 1 - i, 2**64) for i in range(n)], np.uint64)
+    return np.array([pow(BASE, n - 1 - i, 2**64) for i in range(n)], np.uint64)
 
 
 def running_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -96,6 +102,66 @@ def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]] | np.nd
     return tiles
 
 
+class _Windows:
+    """Karp-Rabin hashes of the windows of any length, from one pass over the words."""
+
+    def __init__(self, h: np.ndarray):
+        powers = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(h), base, np.uint64))))
+        self.up = powers(BASE)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(pow(BASE, -1, 2**64))[:-1], dtype=np.uint64)))
+
+    def free(self, n: int, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, in order, of the windows of ``n`` words without a taken one, and their hashes."""
+        marks = np.concatenate(([0], np.cumsum(taken)))
+        places = np.flatnonzero(marks[n:] == marks[: len(marks) - n]) if n < len(marks) else np.zeros(0, np.int64)
+        return places, (self.sums[places + n] - self.sums[places]) * self.up[places]
+
+
+def tile_repeats(doc: np.ndarray, item: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile``, without a list of pairs; ``places``: where in ``doc`` the item's seeds are.
+
+    The greatest length that a free match has is found by halving, and all free matches of that length are marked in one pass
+    over the item.  A pass takes time by the words that seeds cover, and there are fewer passes than lengths of tiles.
+    """
+    cover = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(cover, places, 1)
+    np.add.at(cover, places + width, -1)
+    inside = np.cumsum(cover)[:-1] > 0
+    # the covered stretches one after the other, with a taken word behind each
+    kept = np.flatnonzero(inside | np.concatenate(([False], inside[:-1])))
+    words, taken, marked = doc[kept], ~inside[kept], np.zeros(len(item), bool)
+    in_doc, in_item, tiles, most = _Windows(words), _Windows(item), [], min(len(item), len(words))
+    while True:
+        low, high = width - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            if np.isin(in_item.free(n, marked)[1], in_doc.free(n, taken)[1]).any():
+                low = n
+            else:
+                high = n - 1
+        if low < width:
+            return tiles
+        at, own = in_doc.free(low, taken)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        following: dict[int, int] = {}
+        for q, h in zip(*(x.tolist() for x in in_item.free(low, marked)), strict=True):
+            if marked[q : q + low].any():
+                continue
+            h = np.uint64(h)
+            i = following.get(h, int(np.searchsorted(own, h)))
+            while i < len(own) and own[i] == h:
+                p = int(at[order[i]])
+                if not taken[p : p + low].any():
+                    if np.array_equal(words[p : p + low], item[q : q + low]):
+                        marked[q : q + low] = taken[p : p + low] = True
+                        tiles.append((int(kept[p]), q, low))
+                    break
+                i += 1
+            following[h] = i
+        most = low - 1
+
+
 def _covered(places: np.ndarray, width: int, size: int) -> int:
     """How many of ``size`` words are in the windows at ``places``."""
     cover = np.zeros(size + 1, np.int64)
@@ -181,8 +247,11 @@ class Items:
                 there = np.flatnonzero(a < z)
                 if _covered(there, n, len(w)) / len(w) < coverage:
                     continue  # the seeds together don't reach it
-                pairs = [(p, q) for q in there.tolist() for p in order[a[q] : z[q]].tolist()]
-                tiles = tile(doc, w, pairs, n, least)
+                if int((z - a).sum()) > MOST_PAIRS:
+                    tiles = tile_repeats(doc, w, np.flatnonzero(np.isin(own, h)), n)
+                else:
+                    pairs = [(p, q) for q in there.tolist() for p in order[a[q] : z[q]].tolist()]
+                    tiles = tile(doc, w, pairs, n, least)
                 share = sum(t[2] for t in tiles) / len(w)
                 if share >= coverage:
                     out.append((self.keys[i], share, len(tiles)))

@@ -1,5 +1,7 @@
 """Language mixture, toxicity, licences, decontamination."""
 
+import time
+
 import numpy as np
 import pytest
 from conftest import SF, SF_MID
@@ -162,6 +164,25 @@ def test_tiling_against_brute_force(seed):
     assert sum(t[2] for t in decontamination.tile(a, b, seeds, 3, 3)) == brute(doc, item, 3)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 4), st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(0, 4), min_size=1, max_size=30), st.integers(1, 5))
+def test_tiles_without_pairs_are_the_same(kinds, doc, item, width):
+    doc, item = (decontamination.word_hashes(" ".join(f"w{i % kinds}" for i in words)) for words in (doc, item))
+    n = min(width, len(item))
+    a, b = decontamination.running_hash(doc, n), decontamination.running_hash(item, n)
+    seeds = [(p, q) for p in range(len(a)) for q in range(len(b)) if a[p] == b[q]]
+    assert decontamination.tile_repeats(doc, item, np.flatnonzero(np.isin(a, b)), n) == decontamination.tile(doc, item, seeds, n, n)
+
+
+def test_a_word_that_repeats_takes_time_by_the_texts_and_not_by_their_product():
+    item = "again " * 3000
+    block = decontamination.Items.of([(1, decontamination.word_hashes(item))], 5, 0.5)
+    began = time.perf_counter()
+    assert block.matches("again " * 400_000, 0.5, 5) == [(1, 1.0, 1)]
+    assert block.matches("some other words before it " + "again again again again again stop " * 50_000, 0.5, 5) == [(1, 1.0, 600)]
+    assert time.perf_counter() - began < 30  # a list of pairs would have 10**9 entries
+
+
 def every_pair(docs, items, coverage=decontamination.COVERAGE, least=decontamination.MIN_MATCH):
     """Each document against each item, with all their common seeds."""
     words = {k: decontamination.word_hashes(t) for k, t in items}
