@@ -81,11 +81,11 @@ def journal_source(spark: SparkSession, path: str, stream: bool = False) -> Data
     return parse_journal(lines)
 
 
-def parse_journal(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_journal(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     got = {k: F.get_json_object(F.col(column), f"$.{k}") for k in ("MESSAGE", "message", "PRIORITY", "_SYSTEMD_UNIT", "_PID", "host", "timestamp", "file")}
     ok = F.try_parse_json(F.col(column)).isNotNull() & F.startswith(F.ltrim(F.col(column)), F.lit("{"))
     return lines.where(ok & severity.keep(got["PRIORITY"])).select(
-        normalize.raw_message(got["MESSAGE"], got["message"]).alias("raw"), got["PRIORITY"].alias("priority"), severity.from_priority(got["PRIORITY"]).alias("initial_severity"), got["_SYSTEMD_UNIT"].alias("unit"), got["_PID"].alias("pid"), got["host"].alias("host"), got["timestamp"].try_cast("timestamp").alias("ts"), got["file"].alias("file"), F.lit("journald").alias("source")
+        normalize.raw_message(got["MESSAGE"], got["message"]).alias("raw"), got["PRIORITY"].alias("priority"), severity.from_priority(got["PRIORITY"]).alias("initial_severity"), got["_SYSTEMD_UNIT"].alias("unit"), got["_PID"].alias("pid"), got["host"].alias("host"), got["timestamp"].try_cast("timestamp").alias("ts"), got["file"].alias("file"), F.lit("journald").alias("source"), *keep
     ).where("raw <> ''")
 
 
