@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logmill.functions import extract, normalize, scalars, severity
 from logmill.operators import dedup as d
 from logmill.operators import envelopes as v
-from logmill.operators import running, snapshots, wire
+from logmill.operators import running, sketches, snapshots, wire
 from logmill.plans import oracle
 from logmill.sources import readers, synth
 
@@ -554,6 +554,23 @@ def dedup_ratio(spark, sf):
     return out.withColumn("ratio", F.col("lines") * 1.0 / F.col("templates"))
 
 
+def _sketches(spark, sf):
+    """The cycles' sketches; few templates, so that their numbers are exact."""
+    return sketches.by_cycle(d.templates(lines(spark, sf)))
+
+
+@query
+def dedup_ratio_by_day(spark, sf):
+    """Of each host and day, from the sketches of its cycles."""
+    return sketches.ratios(sketches.united(_sketches(spark, sf), "host", F.floor(F.col("cycle") * v.CYCLE_S / 86_400).alias("day")))
+
+
+@query
+def fresh_templates(spark, sf):
+    """Templates that a host's cycle before had not, added up by host."""
+    return sketches.new_templates(_sketches(spark, sf)).groupBy("host").agg(F.sum("fresh").alias("fresh"), F.count("*").alias("cycles"))
+
+
 @query
 def set_intersect(spark, sf):
     own = events(spark, sf)

@@ -188,6 +188,8 @@ SELECT one.*, sum(n) OVER ()::BIGINT AS total_count, count(*) OVER () AS affecte
     "backoff": "SELECT event_id, least(5.0 * pow(2.0, event_id % 12), 300.0) AS wait FROM events",
     "is_partition": "SELECT event_id, ['sda', 'sda1', 'nvme0n1', 'nvme0n1p2', 'loop3', 'vdb2', 'dm-0'][event_id % 7 + 1] AS dev, [false, true, false, true, false, true, true][event_id % 7 + 1] AS partition FROM events",
     "dedup_ratio": f"WITH {PATTERNS} SELECT count(*) AS lines, count(DISTINCT template) AS templates, count(*) * 1.0 / count(DISTINCT template) AS ratio FROM patterns",
+    "dedup_ratio_by_day": f"WITH {PATTERNS} SELECT host, epoch_us(ts) // 86400000000 AS day, count(*) AS lines, count(DISTINCT template) AS templates, count(*) * 1.0 / count(DISTINCT template) AS ratio FROM patterns GROUP BY ALL",
+    "fresh_templates": f"WITH {PATTERNS}, own AS (SELECT DISTINCT host, epoch_us(ts) // 1800000000 AS cycle, template FROM patterns), c AS (SELECT host, cycle, lag(cycle) OVER (PARTITION BY host ORDER BY cycle) AS before FROM (SELECT DISTINCT host, cycle FROM own)) SELECT c.host, (count(*) FILTER (own.template IS NOT NULL AND old.template IS NULL))::BIGINT AS fresh, count(DISTINCT c.cycle) AS cycles FROM c JOIN own ON own.host = c.host AND own.cycle = c.cycle LEFT JOIN own old ON old.host = c.host AND old.cycle = c.before AND old.template = own.template GROUP BY c.host",
     "set_intersect": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'view'",
     "envelope_counts_json": f"WITH {CYCLES}, c AS (SELECT host, cycle, category, sum(n)::BIGINT AS n FROM groups GROUP BY ALL) SELECT host, cycle, '{{' || string_agg('\"' || category || '\":' || n::VARCHAR, ',' ORDER BY category) || '}}' AS by_category FROM c GROUP BY host, cycle",
     "rfc3339_window": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at, strftime(make_timestamp(epoch_us(ts) // 1800000000 * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00/' || strftime(make_timestamp((epoch_us(ts) // 1800000000 + 1) * 1800000000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS \"window\" FROM events",
