@@ -3,7 +3,7 @@
 A sketch has ``2**lg_k`` bytes at most, far less for few templates, whatever the lines; the aggregation is partial on each task,
 so what is shuffled grows with hosts and cycles alone, where an exact count moves each distinct template of each of them.
 Estimates have a relative standard error of some ``1.04 / 2**(lg_k / 2)``; below about ``2**lg_k / 16`` values they are
-exact but for chance meetings of 26-bit hashes.
+exact but for chance meetings of 26-bit hashes.  ``exact_ratios`` and ``exact_new_templates`` give the true numbers from the lines.
 """
 
 from __future__ import annotations
@@ -40,6 +40,30 @@ def ratios(sketches: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.col("lines") * 1.0 / F.nullif(F.col("templates"), F.lit(0)))
 
 
+def exact_ratios(lines: DataFrame, *keys: str, value: str = "template") -> DataFrame:
+    """(keys, lines, templates, ratio) as ``ratios`` has them, with true numbers: lines are counted by template before they move."""
+    each = lines.groupBy(*keys, value).agg(F.count("*").alias("lines"))
+    out = each.groupBy(*keys).agg(F.sum("lines").alias("lines"), F.count(value).alias("templates"))
+    return out.withColumn("ratio", F.col("lines") * 1.0 / F.nullif(F.col("templates"), F.lit(0)))
+
+
+def exact_new_templates(lines: DataFrame, keys: tuple[str, ...] = ("host",), *, value: str = "template", ts: str = "ts", cycle_s: int = envelopes.CYCLE_S) -> DataFrame:
+    """(keys, cycle, fresh) as ``new_templates`` has them, with true numbers.
+
+    A template's cycle before is told for each template; of a host's cycle only those whose last one was the same come together,
+    as numbers.
+    """
+    cycle = F.floor(dedup.micros(F.col(ts)) / (1_000_000 * cycle_s)).alias("cycle")
+    own = lines.select(*keys, cycle, value).distinct()
+    seen = own.withColumn("seen", F.lag("cycle").over(Window.partitionBy(*keys, value).orderBy("cycle")))
+    each = seen.groupBy(*keys, "cycle", "seen").agg(F.count(value).alias("n"))
+    whole = each.groupBy(*keys, "cycle").agg(F.sum("n").alias("n"), F.max("seen").alias("last"), F.max_by("n", "seen").alias("again"))
+    # the latest of the cycles in which its templates were is the host's cycle before, or they share none
+    before = F.lag("cycle").over(Window.partitionBy(*keys).orderBy("cycle"))
+    found = whole.withColumn("before", before)
+    return found.select(*keys, "cycle", (F.col("n") - F.when(F.col("last") == F.col("before"), F.col("again")).otherwise(0)).alias("fresh"))
+
+
 def new_templates(stored: DataFrame, keys: tuple[str, ...] = ("host",), cycle: str = "cycle") -> DataFrame:
     """(keys, cycle, fresh): about how many templates a cycle has that its host's cycle before had not, from the two sketches alone.
 
