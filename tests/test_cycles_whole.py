@@ -1,4 +1,4 @@
-"""Cycles no longer than the gap are counted where the lines are read, as in SQL."""
+"""Lines are dealt evenly to tasks, and cycles no longer than the gap are counted where the lines are read, as in SQL."""
 
 import duckdb
 import pytest
@@ -22,6 +22,13 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
+def test_lines_are_dealt_evenly(spark, odd):
+    read = catalogue.events(spark, odd)
+    assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    held = [r["count"] for r in catalogue.lines(spark, odd).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == read.count() == 243 and max(held) < 60
+
+
 @pytest.mark.parametrize("name", [*COUNTS, "cycle_counts_by_category", "alert_rules"])
 def test_as_in_sql(spark, odd, name):
     db = duckdb.connect()
